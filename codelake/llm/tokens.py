@@ -8,6 +8,7 @@ ids (i64; a null id has the flag 1 in the u8 array that follows), their token co
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import zlib
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +26,20 @@ from codelake.session import ship
 MARK = b"CLRP1"
 STEP = 1024
 SHARD_TOKENS = 1 << 20
+GROUP_CHARS = 5_000_000  # texts encoded together
 ROUNDS, PAIRS, LEAST = 4, 1024, 64
-_MARKS = frozenset(".,;:!?")
+_SPACE, _LINE, _MARK, _LETTER = 1, 2, 3, 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x20], _KIND[0x0A] = _SPACE, _LINE
+_KIND[list(b".,;:!?")] = _MARK
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
 #: Byte-level BPE writes bytes as printable characters: these stay, the others follow from 256 on in their order.
 _STAY = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _STAY)}
-_BLANK = chr(_BYTES[0x20])
-_PACK = [struct.Struct(f"<{i}I").pack for i in range(9)]
 _HEAD = struct.Struct("<5sIIIIB")
 #: A white-space run that goes on after a blank inside it: there texts are encoded whole.
+#: Parts (in Arrow's pattern language) without white space but for a blank before them, and without any.
+_AFTER_BLANK, _BARE = r"\A [^\s\p{Z}\x{85}\v]+\z", r"\A[^\s\p{Z}\x{85}\v]+\z"
 _ODD = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -59,8 +66,14 @@ def repair(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS
         right[chosen & mask] = True
         at = np.flatnonzero(left[seq[:-1]])
         at = at[right[seq[at + 1]]]
-        rank = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
-        hit = chosen[rank] == key[at]
+        lefts, row = np.unique(chosen >> seq.dtype.type(half), return_inverse=True)
+        rights, column = np.unique(chosen & mask, return_inverse=True)
+        grid = np.full(len(lefts) * len(rights), -1, np.int32)  # number of a chosen pair by its sides' numbers
+        grid[row * len(rights) + column] = np.arange(len(chosen))
+        left_no, right_no = np.zeros(len(left), np.int32), np.zeros(len(right), np.int32)
+        left_no[lefts], right_no[rights] = np.arange(len(lefts)) * len(rights), np.arange(len(rights))
+        rank = grid[left_no[seq[at]] + right_no[seq[at + 1]]]
+        hit = rank >= 0
         at, rank = at[hit], rank[hit]
         start = np.concatenate([[True], at[1:] != at[:-1] + 1])
         run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
@@ -142,84 +155,112 @@ class Shard:
         return self.tokens(begin, begin + int(self.sizes[k]))
 
 
+def part_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Marks the bytes of joined UTF-8 texts where a part begins that the library's pattern separates too: texts,
+    blanks, marks after letters, and line ends (and what follows them) with a letter or mark before and none of white
+    space after. Other places are left alone; they only make parts longer."""
+    kind = _KIND[data]
+    before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])  # kind of the character before, as far as it is sure
+    latin = np.flatnonzero(data[:-1] == 0xC3)  # letters of two bytes but the signs of multiplication and division
+    sure = np.flatnonzero(latin + 2 < len(data))
+    latin = latin[sure]
+    letter = (data[latin + 1] != 0x97) & (data[latin + 1] != 0xB7)
+    before[latin[letter] + 2] = _LETTER
+    out = kind == _SPACE
+    out |= (kind == _MARK) & (before == _LETTER)
+    lines = np.flatnonzero((kind == _LINE) & ((before == _LETTER) | (before == _MARK)))
+    lines = lines[lines + 1 < len(data)]
+    follows = data[lines + 1]
+    lines = lines[(_KIND[follows] == _LETTER) | (_KIND[follows] == _MARK) | (follows == 0xC3)]
+    out[lines] = True
+    out[lines + 1] = True
+    out[0] = True
+    out[ends[ends < len(data)]] = True
+    return out
+
+
 class Encoder:
-    """Whole texts to ids with the tokenizers library; parts between blanks are encoded once and remembered.
+    """Whole texts to ids with the tokenizers library; each different part of a group of texts is encoded once.
 
-    Byte-level BPE never merges across the blank before a word, so a text's ids are those of its parts. Texts where
-    that does not hold (white-space runs around a blank, added tokens) are encoded whole.
+    Byte-level BPE never merges across the places that its pattern separates, so a text's ids are those of its parts.
+    Arrow numbers the parts of a group of texts, and the different ones go to the library in two joined texts, cut
+    again at the ids that begin with a blank or are a line end. Parts with other white space are encoded one by one;
+    texts where parts do not hold (white-space runs around a blank, added tokens) whole.
     """
 
-    def __init__(self, path: str, room: int = 600_000) -> None:
+    def __init__(self, path: str) -> None:
         import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.marks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = _Words(self)
-        self.older: dict[str, bytes] = {}
-        self.room = room
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self.parted = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("add_prefix_space") is False and pre.get("use_regex", True)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.parted = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("add_prefix_space") is False and pre.get("use_regex", True)
+        self.parted = self.parted and not any(c.isspace() for a in self.added for c in a)
         self.vocabulary = self.tokenizer.get_vocab_size()
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def make(self, part: str) -> bytes:
-        """The ids of a part, by the library's model alone where its pre-tokens are plain: letters are one, a mark
-        after them is one more, and a line end between two such parts is one. That skips most of the library's work."""
-        if "\n" in part:
-            pieces = part.split("\n")
-            if any(not x or x[-1].isspace() or i and x[0].isspace() for i, x in enumerate(pieces)):
-                return self._whole([part])[0]
-            return self.words["\n"].join([self.words[x] for x in pieces])
-        if part[-1:] in _MARKS and part[-2:-1].isalpha():
-            base = part[:-1]
-            if not (base[1:] if base[0] == " " else base).isalpha():
-                return self._whole([part])[0]
-            if part[-1] not in self.marks:
-                self.marks[part[-1]] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part[-1])])
-            return self.words[base] + self.marks[part[-1]]
-        if not (part[1:] if part[:1] == " " else part).isalpha():
-            return self._whole([part])[0]
-        if part.isascii():
-            tokens = self.model.tokenize(_BLANK + part[1:] if part[0] == " " else part)
-        else:
-            tokens = self.model.tokenize(part.encode("utf-8").decode("latin-1").translate(_BYTES))
-        return np.array([t.id for t in tokens], "<u4").tobytes() if len(tokens) > 8 else _PACK[len(tokens)](*[t.id for t in tokens])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
-        if len(self.words) > self.room:  # the older half goes, but for what is used again
-            self.older, self.words = self.words, _Words(self)
-        get, out = self.words.__getitem__, []
-        for t in texts:
-            if not self.parted or _ODD.search(t) or any(a in t for a in self.added):
-                out += self._whole([t])
-            else:
-                p = t.split(" ")
-                out.append(get(p[0]) + b"".join([get(" " + x) for x in p[1:]]))
-        return out
-
-
-class _Words(dict):
-    """Remembered parts; a missing one comes from the older half or is made."""
-
-    def __init__(self, encoder: Encoder) -> None:
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, part: str) -> bytes:
-        found = self.encoder.older.get(part)
-        if found is None:
-            found = self.encoder.make(part)
-        self[part] = found
-        return found
+        if self.parted:
+            vocabulary = self.tokenizer.get_vocab()
+            self.line_end = vocabulary[chr(_BYTES[0x0A])]
+            self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a blank
+            self.opens[[i for t, i in vocabulary.items() if t[0] == chr(_BYTES[0x20])]] = True
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _different(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, size): where the ids of each part are in ``ids``."""
+        begin, size, out, filled = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), [], 0
+        left = np.ones(len(parts), bool)
+        for blank, pattern in (True, _AFTER_BLANK), (False, _BARE):
+            own = pc.match_substring_regex(parts, pattern).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(own)
+            if not len(at):
+                continue
+            joined = ("" if blank else "\n").join(parts.take(pa.array(at)).to_pylist())
+            (ids,) = self._whole([joined])
+            cut = np.flatnonzero(self.opens[ids] if blank else ids == self.line_end)
+            if len(cut) != len(at) - (not blank):
+                continue  # cannot be told apart: these are encoded one by one
+            begin[at] = filled + (cut if blank else np.append(0, cut + 1))
+            size[at] = filled + np.append(cut[1:] if blank else cut, len(ids)) - begin[at]
+            left &= ~own
+            out.append(ids)
+            filled += len(ids)
+        at = np.flatnonzero(left)
+        odd = self._whole(parts.take(pa.array(at)).to_pylist())
+        size[at] = np.fromiter(map(len, odd), np.int64, len(odd))
+        begin[at] = filled + np.cumsum(size[at]) - size[at]
+        return np.concatenate([*out, *odd]), begin, size
+
+    def _by_parts(self, texts: list[str]) -> list[np.ndarray]:
+        raw = [t.encode() for t in texts]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        data = b"".join(raw)
+        if not data:
+            return [np.zeros(0, np.uint32)] * len(texts)
+        start = np.flatnonzero(part_starts(np.frombuffer(data, np.uint8), ends))
+        offsets = np.append(start, len(data)).astype(np.int64)
+        coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        flat, begin, size = self._different(coded.dictionary)
+        codes = coded.indices.to_numpy()
+        each = size[codes]
+        after = np.cumsum(each)
+        place = np.int32 if after[-1] < 1 << 31 and len(flat) < 1 << 31 else np.int64
+        ids = flat[np.repeat((begin[codes] - (after - each)).astype(place), each) + np.arange(after[-1], dtype=place)]
+        cut = np.append(0, after)[np.searchsorted(start, np.append(0, ends))].tolist()
+        return [ids[a:b] for a, b in itertools.pairwise(cut)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """u32 ids of each text."""
+        whole = [i for i, t in enumerate(texts) if not self.parted or _ODD.search(t) or any(a in t for a in self.added)]
+        out = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True))
+        rest = [i for i in range(len(texts)) if i not in out]
+        if rest:
+            out.update(zip(rest, self._by_parts([texts[i] for i in rest]), strict=True))
+        return [out[i] for i in range(len(texts))]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -236,14 +277,14 @@ def _write(tokenizer_path: str, end_id: int, shard_tokens: int):
             _encoders[tokenizer_path] = Encoder(tokenizer_path)
         encoder = _encoders[tokenizer_path]
         part, shard = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        ids: list[bytes] = []
+        end = np.array([end_id], np.uint32)
+        ids: list[np.ndarray] = []
         names: list[int | None] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
-            sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            data = pack(np.frombuffer(b"".join(ids), "<u4"), names, sizes, encoder.vocabulary)
+            sizes = np.fromiter((len(x) + 1 for x in ids), np.int64, len(ids))
+            data = pack(np.concatenate([y for x in ids for y in (x, end)]), names, sizes, encoder.vocabulary)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], ["part", "shard", "n_tokens", "data"])
 
         for b in batches:
@@ -255,11 +296,11 @@ def _write(tokenizer_path: str, end_id: int, shard_tokens: int):
                 if not last:
                     group.append((i, t))
                     chars += len(t)
-                if group and (last or chars > 500_000):
+                if group and (last or chars > GROUP_CHARS):
                     for (name, _), x in zip(group, encoder.encode([t for _, t in group]), strict=True):
                         names.append(name)
-                        ids.append(x + end)
-                        total += len(x) // 4 + 1
+                        ids.append(x)
+                        total += len(x) + 1
                         if total >= shard_tokens:
                             yield flush()
                             ids, names, total, shard = [], [], 0, shard + 1
