@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelake.llm.components import components
@@ -247,7 +247,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     k-word shingles have J >= percent/100; fewer words than k count as one shingle. Exact: cells find every linked
     pair, and pairs are verified on whole sets (of 64-bit shingle hashes).
 
-    Rounds: (1) identical sets collapse to one point; (2) in every cell each point is paired with the smallest one,
+    Rounds: (1) identical sets collapse to one point, and only one document of each makes cells, which are shuffled
+    once and kept where they hold two points; (2) in every cell each point is paired with the smallest one,
     the pairs are verified, and components formed; (3) cells that still hold several components are searched with an
     R-tree for pairs across components, again verified. So a large group of near copies costs about one pair a copy.
     Cells of over 2,048 points are searched chunk against chunk, each its own task. Keys are 64-bit; two different
@@ -262,11 +263,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     points = written(src.mapInArrow(_points(k, id_col, text_col), "doc_id long, n long, k1 long, k2 long"), "points")
     reps = written(points.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
 
-    every = src.where("doc_id is not null").mapInArrow(_cells(k, percent), "cell long, k1 long")
-    dealt = written(every.groupBy("cell", "k1").agg(F.lit(1).alias("_1")).select("cell", "k1"), "cells")
-    shared = dealt.groupBy("cell").agg(F.min("k1").alias("lead"), F.max("k1").alias("_last")).where("lead <> _last").select("cell", "lead")
-    held = written(dealt.join(shared, "cell"), "held")
-    forget(dealt)
+    one = reps.select(F.col("rep").alias("doc_id"))
+    one = F.broadcast(one) if reps.count() <= BROADCAST_ROWS else one
+    every = src.join(one, "doc_id", "left_semi").mapInArrow(_cells(k, percent), "cell long, k1 long")
+    whole = Window.partitionBy("cell")
+    every = every.withColumn("lead", F.min("k1").over(whole)).withColumn("_last", F.max("k1").over(whole))
+    held = written(every.where("lead <> _last").select("cell", "k1", "lead").distinct(), "held")
     stars = written(held.where("k1 <> lead").select(F.col("lead").alias("a"), F.col("k1").alias("b")).distinct(), "stars")
 
     wanted = written(stars.select(F.col("a").alias("k1")).union(stars.select("b")).distinct().join(reps, "k1"), "wanted")
