@@ -142,6 +142,15 @@ def needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (ra, na, va, rb, nb, vb), the pairs (ra, rb) that the overlap bound allows."""
+    for batch in batches:
+        na, nb = batch.column(1).to_numpy(), batch.column(4).to_numpy()
+        va, vb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (2, 5))
+        keep = pa.array(overlap_bound(va, vb) >= -(-percent * (na + nb) // (100 + percent)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(3).filter(keep)], ["ra", "rb"])
+
+
 def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of joined candidate rows (a, va, ta, b, vb, tb), the pairs whose sets really overlap enough."""
     for batch in batches:
@@ -272,15 +281,25 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     stars = written(held.where("k1 <> lead").select(F.col("lead").alias("a"), F.col("k1").alias("b")).distinct(), "stars")
 
     wanted = written(stars.select(F.col("a").alias("k1")).union(stars.select("b")).distinct().join(reps, "k1"), "wanted")
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
-    drawn = src.join(ids, "doc_id", "left_semi").mapInArrow(_members(k), "k1 long, k2 long, n long, vec binary, tokens binary")
-    members = written(drawn.join(wanted.select("k1", "k2", "rep"), ["k1", "k2"]).dropDuplicates(["rep", "k1", "k2"]), "members")
+
+    def drawn(sets: DataFrame, columns: list[str], name: str) -> DataFrame:
+        """Columns of ``_members`` and rep of the sets (k1, k2, rep), once each, from their own documents."""
+        ids = sets.select(F.col("rep").alias("doc_id")).distinct()
+        ids = F.broadcast(ids) if sets.count() <= BROADCAST_ROWS else ids
+        rows = src.join(ids, "doc_id", "left_semi").mapInArrow(_members(k), "k1 long, k2 long, n long, vec binary, tokens binary")
+        found = written(rows.select("k1", "k2", *columns).join(sets.select("k1", "k2", "rep"), ["k1", "k2"]), name)
+        return found if found.count() == sets.count() else written(found.dropDuplicates(["rep", "k1", "k2"]), name)  # repeated rows
+
+    members = drawn(wanted, ["n", "vec"], "members")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = members.select(F.col("k1").alias("a"), F.col("rep").alias("ra"), F.col("vec").alias("va"), F.col("tokens").alias("ta"))
-        right = members.select(F.col("k1").alias("b"), F.col("rep").alias("rb"), F.col("vec").alias("vb"), F.col("tokens").alias("tb"))
-        rows = pairs.join(left, "a").join(right, "b").select("ra", "va", "ta", "rb", "vb", "tb")
+        left, right = (members.select(F.col("k1").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("vec").alias(f"v{x}")) for x in "ab")
+        near = pairs.join(left, "a").join(right, "b").select("ra", "na", "va", "rb", "nb", "vb")
+        near = written(near.mapInArrow(lambda it: bounded(it, percent), "ra long, rb long"), "near")
+        reps_of = near.select(F.col("ra").alias("rep")).union(near.select("rb")).distinct()
+        whole = drawn(written(wanted.join(reps_of, "rep", "left_semi"), "near-sets"), ["vec", "tokens"], "tokens")
+        left, right = (whole.select(F.col("rep").alias(f"r{x}"), F.col("vec").alias(f"v{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
+        rows = near.join(left, "ra").join(right, "rb").select("ra", "va", "ta", "rb", "vb", "tb")
         return rows.mapInArrow(lambda it: linked(it, percent), "a long, b long")
 
     sure = written(verify(stars), "links")
