@@ -26,7 +26,7 @@ from codelake.session import ship
 MARK = b"CLRP1"
 STEP = 1024
 SHARD_TOKENS = 1 << 20
-GROUP_CHARS = 5_000_000  # texts encoded together
+GROUP_CHARS = 2_000_000  # texts encoded together
 ROUNDS, PAIRS, LEAST = 4, 1024, 64
 _SPACE, _LINE, _MARK, _LETTER = 1, 2, 3, 4
 _KIND = np.zeros(256, np.uint8)
