@@ -3,7 +3,7 @@
 A passage of at least ``least`` words that two documents share has the same minimisers in both, and from the first of
 them at least ``least - window + 1`` words to its end. Suffixes are kept at these positions only. A first pass counts
 the hashes of that many words; suffixes whose hash occurs once cannot be in a repeat. The others are sorted with some
-context on both sides, neighbours of different documents are compared, and matches are extended left and right.
+context on both sides, and suffixes of one hash are compared under every split of the words that are still missing.
 """
 
 from __future__ import annotations
@@ -85,12 +85,12 @@ def _suffixes(least: int, shared, bits: int):
                 right = np.where(right < place[doc + 1][:, None], short[np.minimum(right, len(hashes)) + side], 0)
                 left = at[:, None] - 1 - step
                 left = np.where(left >= place[doc][:, None], short[left + side], 0)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[s][doc].astype(np.int64)), pa.array((at - place[doc]).astype(np.int32)), _rows(right), _rows(left)], NAMES[:5])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[s][doc].astype(np.int64)), pa.array((at - place[doc]).astype(np.int32)), _rows(right), _rows(left)], NAMES)
 
     return run
 
 
-NAMES = ["h", "doc_id", "pos", "after", "before", "edge"]
+NAMES = ["h", "doc_id", "pos", "after", "before"]
 
 
 def _rows(x: np.ndarray) -> pa.Array:
@@ -99,57 +99,54 @@ def _rows(x: np.ndarray) -> pa.Array:
     return pa.array([raw[i : i + 4 * x.shape[1]] for i in range(0, len(raw), 4 * x.shape[1])] if len(x) else [], pa.binary())
 
 
-def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.cumprod((x == y) & (x > 0), axis=1).sum(1) if len(x) else np.zeros(0, np.int64)
-
-
-def _spans(t: pa.Table, least: int) -> list[np.ndarray]:
-    """(doc, start, end) rows certified by comparing every suffix with the nearest ones of other documents."""
-    n = t.num_rows
-    h, doc, pos = (t.column(c).to_numpy() for c in ("h", "doc_id", "pos"))
-    after, before = (np.frombuffer(b"".join(t.column(c).to_pylist()), ">u4").reshape(n, WINDOW) for c in ("after", "before"))
-    begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]))
-    size = np.diff(np.append(begin, n))
-    row, run = np.arange(n), np.repeat(np.arange(len(begin)), size)
-    back, on = begin[run] - 1, (begin + size)[run]
-    p, q = np.concatenate([row[back >= 0], row[on < n]]), np.concatenate([back[back >= 0], on[on < n]])
-    same = h[p] == h[q]
-    p, q = p[same], q[same]
-    right, left = _common(after[p], after[q]), _common(before[p], before[q])
-    need = least - WINDOW + 1
-    ok = (left + right + need >= least) & (doc[p] != doc[q])
-    p, q, left, right = p[ok], q[ok], left[ok], right[ok]
-    return [np.concatenate([doc[p], doc[q]]), np.concatenate([pos[p] - left, pos[q] - left]), np.concatenate([pos[p] + need + right, pos[q] + need + right])]
-
-
-def _neighbours(least: int, edges: bool):
-    """Over sorted suffixes; passes on the first and last runs as edges, for the partitions next to this one."""
-
-    def out(spans, t: pa.Table | None = None) -> pa.RecordBatch:
-        m = len(spans[0])
-        once = np.unique(np.stack([x.astype(np.int64) for x in spans], 1), axis=0) if m else np.zeros((0, 3), np.int64)
-        k = t.num_rows if t is not None else 0
-        none = lambda n, kind: pa.nulls(n, kind)
-        cols = [pa.concat_arrays([pa.array(once[:, 0]), t.column("doc_id").combine_chunks() if k else none(0, pa.int64())]), pa.concat_arrays([pa.array(once[:, 1]), t.column("pos").combine_chunks().cast(pa.int64()) if k else none(0, pa.int64())]), pa.concat_arrays([pa.array(once[:, 2]), none(k, pa.int64())])]
-        cols += [pa.concat_arrays([none(len(once), kind), t.column(c).combine_chunks() if k else none(0, kind)]) for c, kind in (("h", pa.int64()), ("after", pa.binary()), ("before", pa.binary()))]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "end", "h", "after", "before"])
+def _windows(t: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(split, suffixes that have them, hash) of the ``least`` words that take ``split`` words from a suffix's left."""
+    n, extra = t.num_rows, WINDOW - 1
+    after, before = (np.frombuffer(b"".join(t.column(c).to_pylist()), ">u4").reshape(n, WINDOW)[:, :extra].T.astype(np.uint32) for c in ("after", "before"))
+    term = lambda side, i, salt: mix(side[i].astype(U) + (U(salt + i + 1) << U(32)))
+    n_left, n_right = (before > 0).sum(0), (after > 0).sum(0)
+    total = mix(t.column("h").to_numpy().view(U))
+    for i in range(extra):
+        total = total + term(after, i, extra)
+    for j in range(WINDOW):
+        if j:
+            total = total + term(before, j - 1, 0) - term(after, extra - j, extra)
+        row = np.flatnonzero((n_left >= j) & (n_right >= extra - j))
+        if len(row):
+            yield j, row, mix(total[row] + U(j)).view(np.int64)
+
+
+def _certify(least: int):
+    """Over sorted suffixes: (doc_id, start, end) of stretches that other documents hold as well. Hashes that lie
+    within a batch as a whole are settled there. For the first and last one of a batch, rows with a key follow: windows
+    not settled yet (doc_id, start), and once a window of two documents and more (doc_id, other)."""
+    kinds = ["doc_id", "start", "end", "key", "other"]
+
+    def table(**cols) -> pa.Table:
+        n = len(next(iter(cols.values())))
+        return pa.table([pa.array(cols[k].astype(np.int64)) if k in cols else pa.nulls(n, pa.int64()) for k in kinds], names=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, first = None, edges
         for batch in batches:
             t = pa.Table.from_batches([batch])
             if not t.num_rows:
                 continue
-            t = (pa.concat_tables([rest, t]) if rest is not None else t).combine_chunks()
-            if first:
-                yield out([np.zeros(0)] * 3, t.slice(0, 1))
-                first = False
-            yield out(_spans(t, least))
-            h, doc = t.column("h").to_numpy(), t.column("doc_id").to_numpy()
-            cut = np.flatnonzero((doc[1:] != doc[:-1]) | (h[1:] != h[:-1])) + 1
-            rest = t.slice(cut[-2]) if len(cut) > 1 else t
-        if edges and rest is not None:
-            yield out([np.zeros(0)] * 3, rest.slice(rest.num_rows - 1))
+            h, doc, pos = (t.column(c).to_numpy() for c in ("h", "doc_id", "pos"))
+            open_ = (h == h[0]) | (h == h[-1])
+            most, fewest = np.full(len(h), -1), np.full(len(h), WINDOW)
+            for j, row, key in _windows(t, least):
+                by = np.argsort(key, kind="stable")
+                row, key = row[by], key[by]
+                begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                a, b = np.minimum.reduceat(doc[row], begin), np.maximum.reduceat(doc[row], begin)
+                sure = np.repeat(a != b, np.diff(np.append(begin, len(row))))
+                most[row[sure]] = j
+                fewest[row[sure]] = np.minimum(fewest[row[sure]], j)
+                late, known = open_[row] & ~sure, open_[row[begin]] & (a != b)
+                parts = table(doc_id=doc[row[late]], start=pos[row[late]] - j, key=key[late]), table(doc_id=a[known], key=key[begin[known]], other=b[known])
+                yield from (x for part in parts for x in part.to_batches() if x.num_rows)
+            ok = most >= 0
+            yield from table(doc_id=doc[ok], start=pos[ok] - most[ok], end=pos[ok] - fewest[ok] + least).to_batches()
 
     return run
 
@@ -161,10 +158,10 @@ def repeated_passages(docs: DataFrame, least: int = 51, id_col: str = "doc_id",
     Overlapping and touching stretches are one. Every document that holds a passage has its row; ``drop_passages``
     cuts the stretches it is given.
 
-    Suffixes are sorted by (hash, words after, words before) and by (hash, words before, words after), over range
-    partitions: a passage on a third of all pages is cut by what surrounds it. Partitions pass on their outermost
-    suffixes, which one more comparison joins. Each suffix is compared with the nearest ones of other documents in
-    both orders; that finds the best match to the right and to the left.
+    Suffixes are sorted by (hash, words after, words before) over range partitions: a passage on a third of all pages
+    is cut by what surrounds it. Every stretch of ``least`` words holds a minimiser and splits at it into words to the
+    left, the hash's words and words to the right; suffixes of one hash are compared under all splits, so no pair is
+    missed. Hashes that go beyond a batch are settled by keys of their windows, aggregated per batch before the shuffle.
 
     Nulls: a null text has no words; rows with null ids take no part. Rows of one id are one document: repeats among
     them do not count. Very long texts are read whole. Ties sort by id and position. Extra columns are ignored. An
@@ -192,15 +189,14 @@ def repeated_passages(docs: DataFrame, least: int = 51, id_col: str = "doc_id",
     forget(again)
     shared = spark.sparkContext.broadcast(bytes(seen))
     suffixes = written(rows.mapInArrow(_suffixes(least, shared, bits), "h long, doc_id long, pos int, after binary, before binary"), "suffixes")
-    found = None
-    for order in (["h", "after", "before", "doc_id", "pos"], ["h", "before", "after", "doc_id", "pos"]):
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        near = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        near = written(near.mapInArrow(_neighbours(least, True), "doc_id long, start long, end long, h long, after binary, before binary"), "spans")
-        edge = near.where("end is null").select("h", "doc_id", F.col("start").cast("int").alias("pos"), "after", "before")
-        joined = edge.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours(least, False), "doc_id long, start long, end long, h long, after binary, before binary")  # two rows a partition
-        both = near.where("end is not null").select("doc_id", "start", "end").unionByName(joined.select("doc_id", "start", "end"))
-        found = both if found is None else found.unionByName(both)
+    order = ["h", "after", "before", "doc_id", "pos"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    near = written(near.mapInArrow(_certify(least), "doc_id long, start long, end long, key long, other long"), "spans")
+    late = near.where("key is not null")
+    several = late.groupBy("key").agg(F.min("doc_id").alias("a"), F.max(F.coalesce("other", "doc_id")).alias("b")).where("a < b").select(F.col("key").alias("_key"))
+    late = late.where("start is not null").join(several, F.col("key") == F.col("_key"), "left_semi")
+    found = near.where("end is not null").select("doc_id", "start", "end").unionByName(late.select("doc_id", "start", (F.col("start") + least).alias("end")))
     per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
     none = F.array().cast("array<struct<start:long,end:long>>")
     merged = F.aggregate("s", none, lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))))

@@ -311,6 +311,30 @@ def test_suffix_on_real_rows(spark):
     assert got == brute_repeats([(r.doc_id, r.text) for r in d.collect()])
 
 
+def between_both_orders():
+    """0 and 1 share 52 words. 2, 4, ... share 50 words with 0 (48 with 1) and stand next to it by the words after, 3, 5,
+    ... by the words before."""
+    for seed in itertools.count():
+        own = iter(f"u{seed}x{i}" for i in range(10_000))
+        new = lambda k: [next(own) for _ in range(k)]
+        shared, left, right = new(52), new(2), new(2)
+        rows = [(0, [*new(40), *left, *shared, *right, *new(40)]), (1, [*new(40), *shared, *new(40)])]
+        for i in range(2, 26):
+            rows.append((i, [*new(40), *((shared[4:] + right) if i % 2 == 0 else (left + shared[:48])), *new(40)]))
+        at = suffix.selected(*suffix.words([" ".join(rows[1][1])], lower=False), 51)[0]
+        if all(44 <= p <= 56 for p in at if 40 <= p <= 60):
+            return [(i, " ".join(w)) for i, w in rows]
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_suffix_every_split(spark, batch):
+    rows = between_both_orders()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = {(r.doc_id, r.start_word, r.end_word) for r in suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute_repeats(rows) and {0, 1} <= {x[0] for x in got}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><a>Menu</a></nav>
 <!-- ad --><div class="ad">Buy</div><article><h1>Title {0} &amp; more</h1><p><b>One   {0}<br><p>Two&nbsp;{0}</p><div class="comments">nice {0}</div><aside>side</aside><form>f</form><p>Subscribe now</p></article><footer>&copy; {0}</footer></body></html>"""
 
