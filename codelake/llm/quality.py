@@ -1,9 +1,10 @@
-"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model of the words of trusted text.
 
-Tokens are character classes, so the table of all 4-grams has a proven size (40**4 costs of 4 bytes, 10 MB) whatever
-the corpus. Counts of all trusted texts are summed per task, then by key; the model's probabilities are joins of the
-count tables on contexts and suffixes. From the third time on that a word stands side by side with itself, scoring
-spells it with a class that training never uses, so that loops are as improbable as foreign symbols.
+Word pairs of all trusted texts are counted in tables that grow with the text, summed per task and then by key. Below
+the pairs are the words, and below the words their spelling: a model of character classes (40**4 costs, 10 MB) times
+each character's share of its class. A document's cost is what its spelling costs plus, for each of its words and pairs
+in the model, what the model knows better. The most frequent keys are broadcast; the others are joined by key. In a
+trusted document, keys that no other trusted text holds count as unknown, as they would elsewhere.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.store import BROADCAST_ROWS, written
-from codelake.llm.textkit import U, mix, powers, slices
+from codelake.llm.store import BROADCAST_ROWS, forget, written
+from codelake.llm.textkit import U, grams, mix, powers, slices
 from codelake.session import ship
 
 ORDER = 4
@@ -24,6 +25,11 @@ ORDER = 4
 UPPER, ACCENT, OTHER, DIGIT, BLANK, LINE, STOP, COMMA, BANG, BAR, SIGN, POINT, AGAIN, START = range(26, 40)
 ALPHABET = 40
 SIZE = ALPHABET**ORDER
+POINTS = 0x110000  # code points
+ALONE = 0x2E80  # from here on scripts without blanks: each character is a word
+EDGE, EDGE_COST = U(0x5EED), 5.0  # the word before the first and after the last one, and its spelling
+HOT = 1_000_000  # keys of the model that are broadcast at most, 20 bytes each
+MAP_BITS = (20, 29)  # the map of the other keys has 2**20 to 2**29 bits: 64 MB at most
 
 
 def _classes() -> np.ndarray:
@@ -83,16 +89,70 @@ def _mark_loops(c: np.ndarray, points: np.ndarray) -> None:
     c[np.cumsum(flag[:-1]) > 0] = AGAIN
 
 
+def read(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """Of all characters: code point, 4-gram number, text, and whether they are the text's own and a word's. Of all
+    words (runs of letters): first character, end, hash. Spelling does not depend on what stands before a word."""
+    pad = "\x02" * (ORDER - 1)
+    size = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
+    points = np.frombuffer("".join(pad + (t or "") for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    owner = np.repeat(np.arange(len(texts)), size + ORDER - 1)
+    at = np.arange(len(points))
+    own = at - (np.cumsum(size + ORDER - 1) - size - ORDER + 1)[owner] >= ORDER - 1
+    c = _CLASS[np.minimum(points, 0x2FF)]
+    c[~own] = START
+    letter = (c <= OTHER) & own
+    alone = letter & (points >= ALONE)
+    first = letter.copy()
+    first[1:] &= ~letter[:-1] | alone[1:] | alone[:-1]
+    begin = np.flatnonzero(first)
+    last = letter.copy()
+    last[:-1] &= ~letter[1:] | first[1:]
+    end = np.flatnonzero(last) + 1
+    offset = np.where(letter, at - np.maximum.accumulate(np.where(first, at, 0)), ORDER)
+    gram = c.astype(np.int32)
+    for k in range(1, ORDER):
+        gram[k:] += np.where(offset[k:] < k, BLANK, c[:-k]).astype(np.int32) * ALPHABET**k
+    up, down = powers(len(points) + 1)
+    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(points.astype(U)) * up[:-1], dtype=U)])
+    return points, gram, owner, own, letter, begin, end, mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(U))
+
+
+def sequences(owner: np.ndarray, words: np.ndarray, spell: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, each text between edges (one edge between two texts), their spelling costs, and the text of
+    every pair of neighbours."""
+    count = np.bincount(owner, minlength=n)
+    at = np.cumsum(count + 1) - count - 1
+    out, cost = np.full(len(words) + n + 1, EDGE), np.full(len(words) + n + 1, EDGE_COST)
+    rest = np.ones(len(out), bool)
+    rest[at] = rest[-1] = False
+    out[rest], cost[rest] = words, spell
+    return out, cost, np.repeat(np.arange(n), count + 1)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SIZE, np.int64)
+    total = np.zeros(SIZE + POINTS, np.int64)
     for b in batches:
         texts = b.column(0).to_pylist()
         for s in slices(texts):
-            total += np.bincount(codes(texts[s], mark_loops=False)[0], minlength=SIZE)
+            points, gram, _, own, *_ = read(texts[s])
+            total[:SIZE] += np.bincount(gram[own], minlength=SIZE)
+            total[SIZE:] += np.bincount(points[own], minlength=POINTS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
 
+def _discounts(table: DataFrame) -> list[float]:
+    """The three discounts of counts 1, 2 and more, from the counts of counts."""
+    seen = {r["n"]: r["m"] for r in table.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}
+    n1, n2, n3, n4 = (seen.get(i, 0) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    return [min(max(v, 0.0), m) for v, m in ((1 - 2 * y * n2 / n1 if n1 else y, 1.0), (2 - 3 * y * n3 / n2 if n2 else 2 * y, 2.0), (3 - 4 * y * n4 / n3 if n3 else 3 * y, 3.0))]
+
+
+def _off(n, d: list[float]):
+    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+
+
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """(gram long, cost double) for all 40**4 grams: -ln p(last class | the three before), from (gram, n) counts.
 
@@ -108,11 +168,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     levels = [written(x, "kn-level") for x in levels]
     out = spark.range(0, SIZE, 1, 16).withColumnRenamed("id", "gram").withColumn("p", F.lit(1.0 / ALPHABET))
     for k, table in enumerate(reversed(levels), 1):
-        seen = {r["n"]: r["m"] for r in table.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}
-        n1, n2, n3, n4 = (seen.get(i, 0) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        d = [min(max(v, 0.0), m) for v, m in ((1 - 2 * y * n2 / n1 if n1 else y, 1.0), (2 - 3 * y * n3 / n2 if n2 else 2 * y, 2.0), (3 - 4 * y * n4 / n3 if n3 else 3 * y, 3.0))]
-        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        off = _off(F.col("n"), _discounts(table))
         context = table.groupBy(F.floor(F.col("gram") / ALPHABET).cast("long").alias("ctx")).agg(F.sum("n").alias("_all"), F.sum(off).alias("_mass"))
         own = table.select(F.col("gram").alias("g"), (F.col("n") - off).alias("_left"))
         out = out.withColumn("_g", F.col("gram") % ALPHABET**k).withColumn("_c", F.floor(F.col("_g") / ALPHABET).cast("long"))
@@ -122,40 +178,156 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return out.select("gram", (-F.log("p")).alias("cost"))
 
 
-def train(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The cost table of a model of all documents whose id is in ``trusted_ids`` (one column named id)."""
-    ship(docs.sparkSession)
-    ids = trusted_ids.select(F.col("id").alias("_tid")).where("_tid is not null").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = docs.join(ids, F.col(id_col) == F.col("_tid"), "left_semi").select(F.col(text_col).alias("text"))
-    counts = texts.mapInArrow(_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    table = kneser_ney(written(counts, "kn-counts")).toArrow()
-    out = np.zeros(SIZE, np.float32)
-    out[table.column("gram").to_numpy()] = table.column("cost").to_numpy()
-    return out
+def _spelling(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Costs of the 4-grams of classes, and of each code point within its class."""
+    counts = written(counts, "kn-counts")
+    table = kneser_ney(counts.where(F.col("gram") < SIZE)).toArrow()
+    costs = np.zeros(SIZE, np.float32)
+    costs[table.column("gram").to_numpy()] = table.column("cost").to_numpy()
+    used = counts.where(F.col("gram") >= SIZE).toArrow()  # a row a code point at most
+    n = np.zeros(POINTS)
+    n[used.column("gram").to_numpy() - SIZE] = used.column("n").to_numpy()
+    kind = _CLASS[np.minimum(np.arange(POINTS), 0x2FF)]
+    total, members = np.bincount(kind, n, ALPHABET), np.bincount(kind, minlength=ALPHABET)
+    return costs, (-np.log((n + 1 / members[kind]) / (total[kind] + 1))).astype(np.float32)
 
 
-def with_perplexity(docs: DataFrame, costs: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``docs`` with _n_symbols long and _perplexity double (null for texts without characters)."""
-    spark: SparkSession = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(costs)  # 10 MB at any corpus size
-    at = docs.columns.index(text_col)
+def _spelled(texts: list[str | None], table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Of each text: characters, cost of those outside words; then ``sequences`` of the words."""
+    points, gram, owner, own, letter, begin, end, words = read(texts)
+    cost = np.where(own, table[0][gram] + table[1][points], 0.0)
+    total = np.concatenate([[0.0], np.cumsum(cost)])
+    m = len(texts)
+    return np.bincount(owner[own], minlength=m), np.bincount(owner, np.where(letter, 0.0, cost), m), *sequences(owner[begin], words, total[end] - total[begin], m)
+
 
+def _pairs(spelling):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = spelling.value
         for b in batches:
-            texts = b.column(at).to_pylist()
-            n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            texts = [t for t in b.column(0).to_pylist() if t]
             for s in slices(texts):
-                gram, owner = codes(texts[s])
-                m = s.stop - s.start
-                n[s], total[s] = np.bincount(owner, minlength=m), np.bincount(owner, table[gram], m)
-            value = pa.array(np.exp(total / np.maximum(n, 1)), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), value], [*b.schema.names, "_n_symbols", "_perplexity"])
+                _, _, seq, cost, _ = _spelled(texts[s], table)
+                key, at, n = np.unique(grams(seq, 2), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), seq[at].view(np.int64), seq[at + 1].view(np.int64), n.astype(np.int64), cost[at + 1])], ["key", "v", "w", "n", "spell"])
+
+    return run
+
+
+def word_model(pairs: DataFrame) -> tuple[DataFrame, float]:
+    """(key, gain, n) of all words and pairs in (key, v, w, n, spell), and the cost of leaving the known words.
+
+    A word's gain is its cost less its spelling's and the way there, plus the cost of leaving the pairs that it begins;
+    a pair's gain is its cost less that of leaving the pairs and of its second word. n is how often the key occurs."""
+    pairs = written(pairs.groupBy("key").agg(F.first("v").alias("v"), F.first("w").alias("w"), F.sum("n").alias("n"), F.max("spell").alias("spell")), "pairs")
+    off = _off(F.col("n"), _discounts(pairs))
+    starts = pairs.groupBy(F.col("v").alias("word")).agg(F.sum("n").alias("all"), F.sum(off).alias("mass"))
+    ends = written(pairs.groupBy(F.col("w").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("raw"), F.max("spell").alias("spell")), "words")
+    d = _discounts(ends)
+    total = ends.agg(F.sum("n").alias("n"), F.sum(_off(F.col("n"), d)).alias("mass")).first()
+    if not total["n"]:
+        return pairs.select("key", F.col("spell").alias("gain"), "n"), 0.0
+    free = max(total["mass"], 1e-6) / total["n"]
+    p = F.greatest(F.col("n") - _off(F.col("n"), d), F.lit(0.0)) / total["n"] + free * F.exp(-F.col("spell"))
+    words = written(ends.select("word", "raw", "spell", p.alias("p")).join(starts, "word").withColumn("free", F.greatest("mass", F.lit(1e-6)) / F.col("all")), "words")
+    small = F.broadcast if words.count() <= BROADCAST_ROWS else lambda x: x
+    full = pairs.select("key", "v", "w", "n", off.alias("off")).join(small(words.select(F.col("word").alias("v"), "all", "free")), "v").join(small(words.select(F.col("word").alias("w"), "p")), "w")
+    gain = -F.log((F.col("n") - F.col("off")) / F.col("all") / (F.col("free") * F.col("p")) + 1)
+    leave = float(-np.log(free))
+    one = words.select(F.col("word").alias("key"), (-F.log("p") - F.col("spell") - leave - F.log("free")).alias("gain"), F.col("raw").alias("n"))
+    model = written(one.unionByName(full.select("key", gain.alias("gain"), "n")), "model")
+    for table in (pairs, ends, words):
+        forget(table)
+    return model, leave
+
+
+def _key_map(keys: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A map of bits with those of all keys set; keys whose bit is not set are none of them."""
+    bits, page = min(max(int(np.ceil(np.log2(16 * n + 1))), MAP_BITS[0]), MAP_BITS[1]), 19
+
+    def fill(key, pdf):
+        import pandas as pd
+
+        flags = np.zeros(1 << page, np.uint8)
+        flags[pdf["slot"].to_numpy()] = 1
+        return pd.DataFrame({"page": [key[0]], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    slot = F.expr(f"shiftrightunsigned(key, {64 - bits})")
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in keys.select(F.shiftright(slot, page).alias("page"), slot.bitwiseAND((1 << page) - 1).alias("slot")).distinct().groupBy("page").applyInPandas(fill, "page long, bits binary").collect():
+        out[r["page"] << (page - 3) : (r["page"] + 1) << (page - 3)] = np.frombuffer(r["bits"], np.uint8)
+    return out, bits
+
+
+def _score(spelling, leave: float, hot, rest):
+    """Over (doc_id, lang, text, trusted): a row a text with its cost by spelling and hot keys, and rows (key, n, own)
+    of its other keys that may be in the model. ``own`` is how often a trusted text itself holds the key."""
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{types}, _n_symbols long, _perplexity double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row, table, (keys, gains, counts) = TaskContext.get().partitionId() << 36, spelling.value, hot.value
+        seen, bits = rest.value
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            trusted = b.column(3).to_numpy(zero_copy_only=False)
+            for s in slices(texts):
+                m = s.stop - s.start
+                size, total, seq, cost, owner = _spelled(texts[s], table)
+                total += np.bincount(owner, cost[1:] + leave, m)
+                doc, key = np.concatenate([owner, owner]), np.concatenate([seq[1:], grams(seq, 2)]).view(np.int64)
+                by = np.lexsort((key, doc))
+                doc, key = doc[by], key[by]
+                at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
+                n = np.diff(np.append(at, len(key)))
+                doc, key = doc[at], key[at]
+                own = np.where(trusted[s][doc], n, 0)
+                near = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                known = keys[near] == key if len(keys) else np.zeros(len(key), bool)
+                use = np.flatnonzero(known)
+                use = use[counts[near[use]] > own[use]]
+                total += np.bincount(doc[use], n[use] * gains[near[use]], m)
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(m)), b.column(0)[s], b.column(1)[s], pa.array(size), pa.array(total), *(pa.nulls(m, pa.int64()) for _ in range(3)), b.column(4)[s]], [f for f, _ in SCORE])
+                if seen is not None:
+                    slot = (key.view(U) >> U(64 - bits)).astype(np.int64)
+                    late = np.flatnonzero(~known & ((seen[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+                    k = len(late)
+                    yield pa.RecordBatch.from_arrays([pa.array(row + doc[late]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(key[late]), pa.array(n[late]), pa.array(own[late]), pa.nulls(k, pa.int64())], [f for f, _ in SCORE])
+                row += m
+
+    return run
+
+
+SCORE = (("row", "long"), ("doc_id", "long"), ("lang", "string"), ("n_symbols", "long"), ("cost", "double"), ("key", "long"), ("n", "long"), ("own", "long"), ("text_hash", "long"))
+
+
+def perplexities(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """(doc_id, lang, text_hash, n_symbols, perplexity) of all rows of (doc_id, lang, text), by a model of all documents
+    whose id is in ``trusted_ids`` (id)."""
+    spark: SparkSession = docs.sparkSession
+    ship(spark)
+    ids = trusted_ids.select(F.col("id").alias("_tid")).where("_tid is not null").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    texts = docs.join(ids, F.col("doc_id") == F.col("_tid"), "left_semi").select("text")
+    spelling = spark.sparkContext.broadcast(_spelling(texts.mapInArrow(_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))))
+    model, leave = word_model(texts.mapInArrow(_pairs(spelling), "key long, v long, w long, n long, spell double"))
+    least, size = 0, 0
+    for r in model.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.col("n").desc()).collect():
+        if size + r["m"] > HOT:
+            least = r["n"] + 1
+            break
+        size += r["m"]
+    table = model.where(F.col("n") >= least).toArrow().sort_by("key")
+    hot = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("key", "gain", "n")))
+    others = model.where(F.col("n") < least)
+    rest = spark.sparkContext.broadcast(_key_map(others, others.count()) if least else (None, 0))
+    rows = docs.join(ids, F.col("doc_id") == F.col("_tid"), "left").select("doc_id", "lang", "text", F.col("_tid").isNotNull().alias("trusted"), F.xxhash64("text").alias("text_hash"))
+    out = written(rows.mapInArrow(_score(spelling, leave, hot, rest), ", ".join(f"{f} {kind}" for f, kind in SCORE)), "scores")
+    found = out.where("key is null").select("row", "doc_id", "lang", "text_hash", "n_symbols", "cost")
+    if least:
+        late = out.where("key is not null").select("row", "key", F.col("n").alias("_times"), "own").join(others, "key").where("n > own").groupBy("row").agg(F.sum(F.col("_times") * F.col("gain")).alias("_gain"))
+        found = found.join(late, "row", "left").withColumn("cost", F.col("cost") + F.coalesce("_gain", F.lit(0.0)))
+    return found.select("doc_id", "lang", "text_hash", "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(F.col("cost") / F.col("n_symbols"))).alias("perplexity"))
 
 
 def thresholds(scored: DataFrame, trusted_ids: DataFrame, quantile: float, slack: float) -> DataFrame:
@@ -185,20 +357,19 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, sl
     null id is judged like any other. Repeated rows are judged alike. Very long texts are read whole. Extra columns
     are ignored. An empty table gives an empty result; without any trusted text nothing stays, as no threshold exists.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    costs = train(rows, trusted_ids)
-    scored = with_perplexity(rows, costs).select("doc_id", "lang", F.col("_n_symbols").alias("n_symbols"), F.col("_perplexity").alias("perplexity"))
-    scored = written(scored, "perplexity")
+    return _judged(docs, trusted_ids, quantile, slack, short, id_col, text_col, lang_col).drop("text_hash")
+
+
+def _judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float, slack: float, short: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
+    scored = written(perplexities(rows, trusted_ids), "perplexity")
     return judge(scored, written(thresholds(scored, trusted_ids, quantile, slack), "limits"), short)
 
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, slack: float = 1.2, short: int = 12, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    costs = train(rows, trusted_ids)
-    narrow = with_perplexity(rows, costs).select("doc_id", "lang", F.col("_n_symbols").alias("n_symbols"), F.col("_perplexity").alias("perplexity"))
-    limits = written(thresholds(written(narrow, "perplexity"), trusted_ids, quantile, slack), "limits").select(F.col("lang").alias("_lang"), F.col("threshold").alias("_limit"))
-    room = F.lit(1.0) + F.lit(float(short)) / F.greatest(F.col("_n_symbols"), F.lit(1))
-    limits = F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits
-    own = with_perplexity(docs, costs, text_col).join(limits, F.coalesce(F.col(lang_col).cast("string"), F.lit("")) == F.col("_lang"))
-    return own.where((F.col("_n_symbols") > 0) & (F.col("_perplexity") <= F.col("_limit") * room)).select(*docs.columns)
+    good = _judged(docs, trusted_ids, quantile, slack, short, id_col, text_col, lang_col).where("keep")
+    good = written(good.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lang").alias("_lang")).distinct(), "good")
+    good = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash")) & (F.coalesce(F.col(lang_col).cast("string"), F.lit("")) == F.col("_lang"))
+    return docs.join(good, same, "left_semi")
