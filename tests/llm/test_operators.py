@@ -385,6 +385,17 @@ def test_extract(spark):
     assert wrapper.extract(d.limit(0)).count() == 0
 
 
+def test_extract_counts_all_pages(spark):
+    page = "<nav>m{0}</nav><article><h1>{1}</h1><p>Text {0}</p></article>"
+    rows = [(i, f"http://often/{i}", page.format(i, "Daily news" if i % 10 else f"Other {i}")) for i in range(200)]
+    rows += [(i, f"http://variants/{i}", f"<nav>menu {i}</nav><article><h1>Title</h1><p>Only text</p></article>") for i in range(200, 206)]
+    rows += [(i, f"http://bare/{i}", f"<div><p>Welcome</p><p>{'Hello' if i > 230 else 'Other'}</p><p>Text {i}</p></div>") for i in range(210, 250)] + [(250, "http://bare/x", "<div><p>Welcome</p><p>Same</p></div>")] * 3
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (f"Daily news Text {i}" if i % 10 else f"Other {i} Text {i}") for i in range(200))
+    assert {got[i] for i in range(200, 206)} == {"Title Only text"}
+    assert got[211] == "Other Text 211" and got[249] == "Hello Text 249" and got[250] == "Same"
+
+
 def test_tokens(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
