@@ -331,13 +331,13 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
 
 
 def thresholds(scored: DataFrame, trusted_ids: DataFrame, quantile: float, slack: float) -> DataFrame:
-    """(lang, threshold): the quantile of trusted documents' perplexity in each language, times ``slack``. A language
-    with fewer than 50 trusted documents takes the quantile of all."""
+    """(lang, threshold): the quantile of trusted documents' perplexity in each language, times ``slack``. Only a language
+    without any takes the quantile of all."""
     own = scored.join(trusted_ids.select(F.col("id").alias("_tid")).distinct(), F.col("doc_id") == F.col("_tid"), "left_semi").where("perplexity is not null")
     q = F.percentile_approx("perplexity", quantile, 10_000) * slack
-    by = own.groupBy("lang").agg(q.alias("_own"), F.count(F.lit(1)).alias("_n"))
+    by = own.groupBy("lang").agg(q.alias("_own"))
     total = own.agg(q.alias("_all"))
-    return scored.select("lang").distinct().withColumnRenamed("lang", "_l").join(by, F.col("_l") == F.col("lang"), "left").crossJoin(F.broadcast(total)).select(F.col("_l").alias("lang"), F.when(F.col("_n") >= 50, F.col("_own")).otherwise(F.col("_all")).alias("threshold"))
+    return scored.select("lang").distinct().withColumnRenamed("lang", "_l").join(by, F.col("_l") == F.col("lang"), "left").crossJoin(F.broadcast(total)).select(F.col("_l").alias("lang"), F.coalesce("_own", "_all").alias("threshold"))
 
 
 def judge(scored: DataFrame, limits: DataFrame, short: int) -> DataFrame:

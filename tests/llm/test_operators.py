@@ -236,6 +236,14 @@ def test_quality_held_out(spark):
     assert np.mean(good) > 0.98 and np.mean(junk) < 0.4
 
 
+def test_rare_languages_have_their_own_threshold(spark):
+    rows = [(i, "en", 4.0 + i / 1000) for i in range(200)] + [(200 + i, "de", 8.0 + i) for i in range(3)] + [(300 + i, "it", 2.0) for i in range(2)] + [(400, "fr", 5.0)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, perplexity double")
+    ids = spark.range(400)
+    got = {r.lang: r.threshold for r in quality.thresholds(scored, ids, 0.99, 1.2).collect()}
+    assert got["de"] == pytest.approx(12.0) and got["it"] == pytest.approx(2.4) and got["en"] == pytest.approx(4.197 * 1.2, rel=1e-3) and got["fr"] > got["en"]
+
+
 def test_quality_edges(docs, none):
     ids = docs.where("doc_id < 60").select(F.col("doc_id").alias("id"))
     got = {r.doc_id: r for r in quality.classify(docs, ids).collect()}
