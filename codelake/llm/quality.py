@@ -1,10 +1,9 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of the words of trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model of the characters of trusted text.
 
-Word pairs of all trusted texts are counted in tables that grow with the text, summed per task and then by key. Below
-the pairs are the words, and below the words their spelling: a model of character classes (40**4 costs, 10 MB) times
-each character's share of its class. A document's cost is what its spelling costs plus, for each of its words and pairs
-in the model, what the model knows better. The most frequent keys are broadcast; the others are joined by key. In a
-trusted document, keys that no other trusted text holds count as unknown, as they would elsewhere.
+Its n-grams are runs of ``ORDER`` Unicode code points of any script. One pass counts the different n-grams of all text
+(summed per task, then by key), with how often trusted text holds each; the count tables of the lower orders come from
+that one, and costs are joined to it order by order. A document's cost is the sum over its n-grams: the most frequent
+costs are broadcast, the others joined by key, per document.
 """
 
 from __future__ import annotations
@@ -13,328 +12,278 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake.llm.store import BROADCAST_ROWS, forget, written
-from codelake.llm.textkit import U, grams, mix, powers, slices
+from codelake.llm.textkit import U, mix, slices
 from codelake.session import ship
 
-ORDER = 4
-#: Fixed classes: a-z, then the ones named here.
-UPPER, ACCENT, OTHER, DIGIT, BLANK, LINE, STOP, COMMA, BANG, BAR, SIGN, POINT, AGAIN, START = range(26, 40)
-ALPHABET = 40
-SIZE = ALPHABET**ORDER
-POINTS = 0x110000  # code points
-ALONE = 0x2E80  # from here on scripts without blanks: each character is a word
-EDGE, EDGE_COST = U(0x5EED), 5.0  # the word before the first and after the last one, and its spelling
-HOT = 1_000_000  # keys of the model that are broadcast at most, 20 bytes each
-MAP_BITS = (20, 29)  # the map of the other keys has 2**20 to 2**29 bits: 64 MB at most
-
-
-def _classes() -> np.ndarray:
-    out = np.full(0x300, OTHER, np.uint8)
-    for c in range(0x250):
-        ch = chr(c)
-        if "a" <= ch <= "z":
-            out[c] = c - 97
-        elif ch.isdigit():
-            out[c] = DIGIT
-        elif ch.isspace():
-            out[c] = LINE if ch in "\n\r" else BLANK
-        elif ch.isalpha():
-            out[c] = ACCENT if ch.islower() and c > 127 else UPPER
-        elif ch.isprintable():
-            out[c] = SIGN if ch in "#$%&*+<=>@\\^_`{}~" else POINT
-    for ch, k in ((".", STOP), (",", COMMA), ("!", BANG), ("|", BAR)):
-        out[ord(ch)] = k
-    return out
-
+ORDER = 5  # 4 to 6: an n-gram is packed in two longs, 21 bits a code point
+START = 0x1FFFFF  # before a text; no code point
+POINTS = 0x110000  # code points: the uniform distribution below the lowest order
+HOT = 1_000_000  # costs that are broadcast at most, 20 bytes each
+BUCKET_BITS = 21
+TASK_KEYS = 3_000_000  # different n-grams that a task sums up before it passes them on
+_PLACE = np.random.default_rng(11).integers(1, 2**62, ORDER, dtype=np.int64).astype(U) * U(2) + U(1)
 
-_CLASS = _classes()
 
-
-def codes(texts: list[str | None], mark_loops: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """4-gram numbers of all characters of all texts, and the text each belongs to."""
-    pad = "\x02" * (ORDER - 1)
-    size = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
-    points = np.frombuffer((pad + pad.join(t or "" for t in texts)).encode("utf-32-le", "surrogatepass"), "<u4")
-    begin = np.cumsum(size + ORDER - 1) - size
-    own = np.zeros(len(points), bool)
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, each after ORDER - 1 STARTs; the places of the texts' own; the text of each of these."""
+    pad = "\x00" * (ORDER - 1)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").copy()
     owner = np.repeat(np.arange(len(texts)), size)
-    own[np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)] = True
-    c = _CLASS[np.minimum(points, 0x2FF)]
-    c[~own] = START
-    if mark_loops:
-        _mark_loops(c, points)
-    gram = c.astype(np.int32)
-    out = gram.copy()
-    for k in range(1, ORDER):
-        out[k:] += gram[:-k] * ALPHABET**k
-    return out[own], owner
-
-
-def _mark_loops(c: np.ndarray, points: np.ndarray) -> None:
-    space = (c == BLANK) | (c == LINE) | (c == START)
-    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
-    first, last = edge[0::2], edge[1::2]
-    up, down = powers(len(points) + 1)
-    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(points.astype(U)) * up[:-1], dtype=U)])
-    word = (total[last] - total[first]) * down[first] + (last - first).astype(U)
-    like = (word[1:] == word[:-1]) & (c[first[1:] - 1] != START)
-    again = np.flatnonzero(like[1:] & like[:-1]) + 2
-    flag = np.zeros(len(points) + 1, np.int8)
-    flag[first[again]] += 1
-    flag[last[again]] -= 1
-    c[np.cumsum(flag[:-1]) > 0] = AGAIN
-
-
-def read(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Of all characters: code point, 4-gram number, text, and whether they are the text's own and a word's. Of all
-    words (runs of letters): first character, end, hash. Spelling does not depend on what stands before a word."""
-    pad = "\x02" * (ORDER - 1)
-    size = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
-    points = np.frombuffer("".join(pad + (t or "") for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    owner = np.repeat(np.arange(len(texts)), size + ORDER - 1)
-    at = np.arange(len(points))
-    own = at - (np.cumsum(size + ORDER - 1) - size - ORDER + 1)[owner] >= ORDER - 1
-    c = _CLASS[np.minimum(points, 0x2FF)]
-    c[~own] = START
-    letter = (c <= OTHER) & own
-    alone = letter & (points >= ALONE)
-    first = letter.copy()
-    first[1:] &= ~letter[:-1] | alone[1:] | alone[:-1]
-    begin = np.flatnonzero(first)
-    last = letter.copy()
-    last[:-1] &= ~letter[1:] | first[1:]
-    end = np.flatnonzero(last) + 1
-    offset = np.where(letter, at - np.maximum.accumulate(np.where(first, at, 0)), ORDER)
-    gram = c.astype(np.int32)
+    at = np.arange(len(owner)) + (owner + 1) * (ORDER - 1)
+    first = np.cumsum(size + ORDER - 1) - size
     for k in range(1, ORDER):
-        gram[k:] += np.where(offset[k:] < k, BLANK, c[:-k]).astype(np.int32) * ALPHABET**k
-    up, down = powers(len(points) + 1)
-    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(points.astype(U)) * up[:-1], dtype=U)])
-    return points, gram, owner, own, letter, begin, end, mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(U))
+        points[first - k] = START
+    return points, at, owner
 
 
-def sequences(owner: np.ndarray, words: np.ndarray, spell: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts, each text between edges (one edge between two texts), their spelling costs, and the text of
-    every pair of neighbours."""
-    count = np.bincount(owner, minlength=n)
-    at = np.cumsum(count + 1) - count - 1
-    out, cost = np.full(len(words) + n + 1, EDGE), np.full(len(words) + n + 1, EDGE_COST)
-    rest = np.ones(len(out), bool)
-    rest[at] = rest[-1] = False
-    out[rest], cost[rest] = words, spell
-    return out, cost, np.repeat(np.arange(n), count + 1)
+def hashed(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the n-grams that end at the places."""
+    wide = points.astype(U)
+    total = np.zeros(len(points), U)
+    for k in range(ORDER):
+        total[k:] += wide[: len(wide) - k] * _PLACE[k]
+    return mix(total[at])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SIZE + POINTS, np.int64)
-    for b in batches:
-        texts = b.column(0).to_pylist()
-        for s in slices(texts):
-            points, gram, _, own, *_ = read(texts[s])
-            total[:SIZE] += np.bincount(gram[own], minlength=SIZE)
-            total[SIZE:] += np.bincount(points[own], minlength=POINTS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
+def packed(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hi, lo) of the n-grams that end at the places: the last three code points are in lo."""
+    hi, lo = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for k in range(ORDER - 1, -1, -1):
+        c = points[at - k].astype(np.int64)
+        if k < 3:
+            lo = lo << 21 | c
+        else:
+            hi = hi << 21 | c
+    return hi, lo
 
 
-def _discounts(table: DataFrame) -> list[float]:
-    """The three discounts of counts 1, 2 and more, from the counts of counts."""
-    seen = {r["n"]: r["m"] for r in table.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}
-    n1, n2, n3, n4 = (seen.get(i, 0) for i in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    return [min(max(v, 0.0), m) for v, m in ((1 - 2 * y * n2 / n1 if n1 else y, 1.0), (2 - 3 * y * n3 / n2 if n2 else 2 * y, 2.0), (3 - 4 * y * n4 / n3 if n3 else 3 * y, 3.0))]
+def hash_of(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(hi), U)
+    for k in range(ORDER):
+        part = (lo >> (21 * k) if k < 3 else hi >> (21 * (k - 3))) & START
+        total += part.astype(U) * _PLACE[k]
+    return mix(total)
 
 
-def _off(n, d: list[float]):
-    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(gram long, cost double) for all 40**4 grams: -ln p(last class | the three before), from (gram, n) counts.
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (text, fold): hi, lo and how often texts of fold 1, of fold 2 and all texts hold each n-gram."""
+    held: list[tuple[np.ndarray, ...]] = []
+    waiting = done = 0
 
-    Interpolated modified Kneser-Ney: raw counts at the top order, numbers of distinct left neighbours below, three
-    discounts per order from its counts of counts, and the uniform distribution at the bottom.
-    """
-    spark = counts.sparkSession
-    level = counts.select("gram", "n")
-    levels = [level]
-    for k in range(ORDER - 1, 0, -1):
-        level = level.groupBy((F.col("gram") % ALPHABET**k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        levels.append(level)
-    levels = [written(x, "kn-level") for x in levels]
-    out = spark.range(0, SIZE, 1, 16).withColumnRenamed("id", "gram").withColumn("p", F.lit(1.0 / ALPHABET))
-    for k, table in enumerate(reversed(levels), 1):
-        off = _off(F.col("n"), _discounts(table))
-        context = table.groupBy(F.floor(F.col("gram") / ALPHABET).cast("long").alias("ctx")).agg(F.sum("n").alias("_all"), F.sum(off).alias("_mass"))
-        own = table.select(F.col("gram").alias("g"), (F.col("n") - off).alias("_left"))
-        out = out.withColumn("_g", F.col("gram") % ALPHABET**k).withColumn("_c", F.floor(F.col("_g") / ALPHABET).cast("long"))
-        out = out.join(own, F.col("_g") == F.col("g"), "left").join(context, F.col("_c") == F.col("ctx"), "left")
-        p = F.when(F.col("_all").isNull(), F.col("p")).otherwise((F.coalesce("_left", F.lit(0.0)) + F.col("_mass") * F.col("p")) / F.col("_all"))
-        out = out.select("gram", p.alias("p"))
-    return out.select("gram", (-F.log("p")).alias("cost"))
-
-
-def _spelling(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Costs of the 4-grams of classes, and of each code point within its class."""
-    counts = written(counts, "kn-counts")
-    table = kneser_ney(counts.where(F.col("gram") < SIZE)).toArrow()
-    costs = np.zeros(SIZE, np.float32)
-    costs[table.column("gram").to_numpy()] = table.column("cost").to_numpy()
-    used = counts.where(F.col("gram") >= SIZE).toArrow()  # a row a code point at most
-    n = np.zeros(POINTS)
-    n[used.column("gram").to_numpy() - SIZE] = used.column("n").to_numpy()
-    kind = _CLASS[np.minimum(np.arange(POINTS), 0x2FF)]
-    total, members = np.bincount(kind, n, ALPHABET), np.bincount(kind, minlength=ALPHABET)
-    return costs, (-np.log((n + 1 / members[kind]) / (total[kind] + 1))).astype(np.float32)
-
-
-def _spelled(texts: list[str | None], table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Of each text: characters, cost of those outside words; then ``sequences`` of the words."""
-    points, gram, owner, own, letter, begin, end, words = read(texts)
-    cost = np.where(own, table[0][gram] + table[1][points], 0.0)
-    total = np.concatenate([[0.0], np.cumsum(cost)])
-    m = len(texts)
-    return np.bincount(owner[own], minlength=m), np.bincount(owner, np.where(letter, 0.0, cost), m), *sequences(owner[begin], words, total[end] - total[begin], m)
-
-
-def _pairs(spelling):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = spelling.value
-        for b in batches:
-            texts = [t for t in b.column(0).to_pylist() if t]
-            for s in slices(texts):
-                _, _, seq, cost, _ = _spelled(texts[s], table)
-                key, at, n = np.unique(grams(seq, 2), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), seq[at].view(np.int64), seq[at + 1].view(np.int64), n.astype(np.int64), cost[at + 1])], ["key", "v", "w", "n", "spell"])
+    def merged() -> tuple[np.ndarray, ...]:
+        key, hi, lo, *n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(key)
+        at = _runs(key[order])
+        first = order[at]
+        return key[first], hi[first], lo[first], *(np.add.reduceat(x[order], at) for x in n)
+
+    def batch(t: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in t[1:]], ["hi", "lo", "n1", "n2", "m"])
+
+    for b in batches:
+        texts, fold = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for f in (0, 1, 2):
+            chosen = [t for t, g in zip(texts, fold, strict=True) if t and g == f]
+            for s in slices(chosen):
+                points, at, _ = code_points(chosen[s])
+                key = hashed(points, at)
+                order = np.argsort(key)
+                run = _runs(key[order])
+                m = np.diff(np.append(run, len(key)))
+                none = np.zeros_like(m)
+                first = order[run]
+                held.append((key[first], *packed(points, at[first]), m if f == 1 else none, m if f == 2 else none, m))
+                waiting += len(first)
+                if waiting > max(2 * done, 1_000_000):
+                    held = [merged()]
+                    waiting = done = len(held[0][0])
+                    if done > TASK_KEYS:
+                        yield batch(held[0])
+                        held, waiting, done = [], 0, 0
+    if held:
+        yield batch(merged())
+
+
+def _low(bits: int) -> int:
+    return (1 << bits) - 1
+
+
+def _suffix(k: int) -> tuple[Column, Column]:
+    """The last k characters of n-grams (hi, lo)."""
+    return F.col("hi").bitwiseAND(F.lit(_low(21 * max(k - 3, 0)))), F.col("lo").bitwiseAND(F.lit(_low(21 * min(k, 3))))
+
+
+def _context() -> tuple[Column, Column]:
+    """The n-grams (hi, lo) without their last character."""
+    return F.shiftright("hi", 21), F.shiftleft(F.col("hi").bitwiseAND(F.lit(START)), 42).bitwiseOR(F.shiftright("lo", 21))
+
+
+MODELS = ("n", "n1", "n2")  # counts of all trusted texts, and of each fold
+
+
+def _discounts(table: DataFrame) -> dict[str, list[float]]:
+    """The three discounts of counts 1, 2 and more of each model, from its counts of counts."""
+    seen = table.agg(*(F.count_if(F.col(m) == i).alias(f"{m}_{i}") for m in MODELS for i in (1, 2, 3, 4))).first()
+    out = {}
+    for m in MODELS:
+        n1, n2, n3, n4 = (seen[f"{m}_{i}"] for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        out[m] = [min(max(v, 0.0), most) for v, most in ((1 - 2 * y * n2 / n1 if n1 else y, 1.0), (2 - 3 * y * n3 / n2 if n2 else 2 * y, 2.0), (3 - 4 * y * n4 / n3 if n3 else 3 * y, 3.0))]
+    return out
 
-    return run
 
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(hi, lo, m, cost, cost1, cost2) for all rows of ``counts`` (hi, lo, n1, n2, m), one row an n-gram: -ln p(last
+    character | those before) in the models of the counts n1 + n2, n1 and n2.
 
-def word_model(pairs: DataFrame) -> tuple[DataFrame, float]:
-    """(key, gain, n) of all words and pairs in (key, v, w, n, spell), and the cost of leaving the known words.
-
-    A word's gain is its cost less its spelling's and the way there, plus the cost of leaving the pairs that it begins;
-    a pair's gain is its cost less that of leaving the pairs and of its second word. n is how often the key occurs."""
-    pairs = written(pairs.groupBy("key").agg(F.first("v").alias("v"), F.first("w").alias("w"), F.sum("n").alias("n"), F.max("spell").alias("spell")), "pairs")
-    off = _off(F.col("n"), _discounts(pairs))
-    starts = pairs.groupBy(F.col("v").alias("word")).agg(F.sum("n").alias("all"), F.sum(off).alias("mass"))
-    ends = written(pairs.groupBy(F.col("w").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("raw"), F.max("spell").alias("spell")), "words")
-    d = _discounts(ends)
-    total = ends.agg(F.sum("n").alias("n"), F.sum(_off(F.col("n"), d)).alias("mass")).first()
-    if not total["n"]:
-        return pairs.select("key", F.col("spell").alias("gain"), "n"), 0.0
-    free = max(total["mass"], 1e-6) / total["n"]
-    p = F.greatest(F.col("n") - _off(F.col("n"), d), F.lit(0.0)) / total["n"] + free * F.exp(-F.col("spell"))
-    words = written(ends.select("word", "raw", "spell", p.alias("p")).join(starts, "word").withColumn("free", F.greatest("mass", F.lit(1e-6)) / F.col("all")), "words")
-    small = F.broadcast if words.count() <= BROADCAST_ROWS else lambda x: x
-    full = pairs.select("key", "v", "w", "n", off.alias("off")).join(small(words.select(F.col("word").alias("v"), "all", "free")), "v").join(small(words.select(F.col("word").alias("w"), "p")), "w")
-    gain = -F.log((F.col("n") - F.col("off")) / F.col("all") / (F.col("free") * F.col("p")) + 1)
-    leave = float(-np.log(free))
-    one = words.select(F.col("word").alias("key"), (-F.log("p") - F.col("spell") - leave - F.log("free")).alias("gain"), F.col("raw").alias("n"))
-    model = written(one.unionByName(full.select("key", gain.alias("gain"), "n")), "model")
-    for table in (pairs, ends, words):
-        forget(table)
-    return model, leave
-
-
-def _key_map(keys: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A map of bits with those of all keys set; keys whose bit is not set are none of them."""
-    bits, page = min(max(int(np.ceil(np.log2(16 * n + 1))), MAP_BITS[0]), MAP_BITS[1]), 19
-
-    def fill(key, pdf):
-        import pandas as pd
-
-        flags = np.zeros(1 << page, np.uint8)
-        flags[pdf["slot"].to_numpy()] = 1
-        return pd.DataFrame({"page": [key[0]], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
-
-    slot = F.expr(f"shiftrightunsigned(key, {64 - bits})")
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in keys.select(F.shiftright(slot, page).alias("page"), slot.bitwiseAND((1 << page) - 1).alias("slot")).distinct().groupBy("page").applyInPandas(fill, "page long, bits binary").collect():
-        out[r["page"] << (page - 3) : (r["page"] + 1) << (page - 3)] = np.frombuffer(r["bits"], np.uint8)
-    return out, bits
-
-
-def _score(spelling, leave: float, hot, rest):
-    """Over (doc_id, lang, text, trusted): a row a text with its cost by spelling and hot keys, and rows (key, n, own)
-    of its other keys that may be in the model. ``own`` is how often a trusted text itself holds the key."""
+    Interpolated modified Kneser-Ney: raw counts at the top order, numbers of different left neighbours below, three
+    discounts an order from its counts of counts, and the uniform distribution over all code points at the bottom. Each
+    order's probabilities are joined by key to those of the order above.
+    """
+    counts = counts.withColumn("n", F.col("n1") + F.col("n2"))
+    levels, asked = [counts.where("n > 0").select("hi", "lo", *MODELS)], [counts]
+    for k in range(ORDER - 1, 0, -1):
+        hi, lo = _suffix(k)
+        many = (F.count_if(F.col(m) > 0).alias(m) for m in MODELS)
+        levels.append(written(levels[-1].groupBy(hi.alias("hi"), lo.alias("lo")).agg(*many), "kn-level"))
+        asked.append(written(asked[-1].select(hi.alias("hi"), lo.alias("lo")).distinct(), "kn-asked"))
+    p = None
+    for k in range(1, ORDER + 1):
+        table, out = levels[ORDER - k], asked[ORDER - k]
+        d = _discounts(table)
+        off = {m: F.when(F.col(m) == 0, 0.0).when(F.col(m) == 1, d[m][0]).when(F.col(m) == 2, d[m][1]).otherwise(d[m][2]) for m in MODELS}
+        (hi, lo), (chi, clo) = _suffix(k - 1), _context()
+        context = table.groupBy(chi.alias("_chi"), clo.alias("_clo")).agg(*(F.sum(m).alias(f"_all_{m}") for m in MODELS), *(F.sum(off[m]).alias(f"_off_{m}") for m in MODELS))
+        if k < ORDER:
+            out = out.join(table, ["hi", "lo"], "left")
+        out = out.withColumns({"_c1": chi, "_c2": clo, "_s1": hi, "_s2": lo})
+        out = out.join(context, (F.col("_c1") == F.col("_chi")) & (F.col("_c2") == F.col("_clo")), "left")
+        if p is None:
+            out = out.withColumns({f"_p_{m}": F.lit(1.0 / POINTS) for m in MODELS})
+        else:
+            lower = p.select(F.col("hi").alias("_phi"), F.col("lo").alias("_plo"), *(F.col(f"p_{m}").alias(f"_p_{m}") for m in MODELS))
+            out = out.join(lower, (F.col("_s1") == F.col("_phi")) & (F.col("_s2") == F.col("_plo")))
+        own = {m: F.when(F.col(f"_all_{m}") > 0, (F.coalesce(F.col(m) - off[m], F.lit(0.0)) + F.col(f"_off_{m}") * F.col(f"_p_{m}")) / F.col(f"_all_{m}")).otherwise(F.col(f"_p_{m}")) for m in MODELS}
+        if k < ORDER:
+            p = written(out.select("hi", "lo", *(own[m].alias(f"p_{m}") for m in MODELS)), "kn-p")
+    return out.select("hi", "lo", "m", *((-F.log(F.greatest(own[m], F.lit(1e-300)))).alias(m.replace("n", "cost")) for m in MODELS))
+
+
+class Costs:
+    """The most frequent costs, found by the top bits of their n-grams' hashes. Row 0: of the whole model, for texts that
+    are not trusted; rows 1 and 2: for trusted texts of that fold, of the model of the other one."""
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, cost: np.ndarray, cost1: np.ndarray, cost2: np.ndarray) -> None:
+        key = hash_of(hi, lo)
+        order = np.argsort(key)
+        self.key, self.cost = key[order], np.stack([cost, cost2, cost1]).astype(np.float32)[:, order]
+        edge = np.arange(1 << BUCKET_BITS, dtype=U) << U(64 - BUCKET_BITS)
+        self.begin = np.append(np.searchsorted(self.key, edge), len(key)).astype(np.int32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is not among them."""
+        bucket = (key >> U(64 - BUCKET_BITS)).astype(np.int32)
+        at, end = self.begin[bucket], self.begin[bucket + 1]
+        out = np.full(len(key), -1, np.int32)
+        left = np.flatnonzero(at < end)
+        at, end, key = at[left], end[left], key[left]
+        while len(left):
+            same = self.key[at] == key
+            out[left[same]] = at[same]
+            go = ~same & (at + 1 < end)
+            left, at, end, key = left[go], at[go] + 1, end[go], key[go]
+        return out
+
+
+SCORE = (("row", "long"), ("doc_id", "long"), ("lang", "string"), ("fold", "int"), ("n_symbols", "long"), ("cost", "double"), ("hi", "long"), ("lo", "long"), ("times", "long"), ("text_hash", "long"))
+
+
+def _score(hot):
+    """Over (doc_id, lang, text, fold, text_hash): a row a text with the cost of its frequent n-grams, and a row for each
+    of its other n-grams with how often it holds it."""
+    names = [f for f, _ in SCORE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, table, (keys, gains, counts) = TaskContext.get().partitionId() << 36, spelling.value, hot.value
-        seen, bits = rest.value
+        row, costs = TaskContext.get().partitionId() << 36, hot.value
         for b in batches:
-            texts = b.column(2).to_pylist()
-            trusted = b.column(3).to_numpy(zero_copy_only=False)
+            texts = [t or "" for t in b.column(2).to_pylist()]
+            fold = b.column(3).to_numpy()
             for s in slices(texts):
                 m = s.stop - s.start
-                size, total, seq, cost, owner = _spelled(texts[s], table)
-                total += np.bincount(owner, cost[1:] + leave, m)
-                doc, key = np.concatenate([owner, owner]), np.concatenate([seq[1:], grams(seq, 2)]).view(np.int64)
-                by = np.lexsort((key, doc))
-                doc, key = doc[by], key[by]
-                at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
-                n = np.diff(np.append(at, len(key)))
-                doc, key = doc[at], key[at]
-                own = np.where(trusted[s][doc], n, 0)
-                near = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                known = keys[near] == key if len(keys) else np.zeros(len(key), bool)
-                use = np.flatnonzero(known)
-                use = use[counts[near[use]] > own[use]]
-                total += np.bincount(doc[use], n[use] * gains[near[use]], m)
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(m)), b.column(0)[s], b.column(1)[s], pa.array(size), pa.array(total), *(pa.nulls(m, pa.int64()) for _ in range(3)), b.column(4)[s]], [f for f, _ in SCORE])
-                if seen is not None:
-                    slot = (key.view(U) >> U(64 - bits)).astype(np.int64)
-                    late = np.flatnonzero(~known & ((seen[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
-                    k = len(late)
-                    yield pa.RecordBatch.from_arrays([pa.array(row + doc[late]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(key[late]), pa.array(n[late]), pa.array(own[late]), pa.nulls(k, pa.int64())], [f for f, _ in SCORE])
+                points, at, owner = code_points(texts[s])
+                key = hashed(points, at)
+                place = costs.find(key)
+                known, late = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+                total = np.bincount(owner[known], costs.cost[fold[s][owner[known]], place[known]], m).astype(np.float64)
+                size = np.bincount(owner, minlength=m)
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(m)), b.column(0)[s], b.column(1)[s], b.column(3)[s], pa.array(size), pa.array(total), *[pa.nulls(m, pa.int64())] * 3, b.column(4)[s]], names)
+                if len(late):
+                    tag = mix(key[late] ^ mix(owner[late].astype(U)))
+                    order = np.argsort(tag)
+                    begin = _runs(tag[order])
+                    first, times = late[order[begin]], np.diff(np.append(begin, len(order)))
+                    hi, lo = packed(points, at[first])
+                    k = len(first)
+                    own = owner[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(row + own), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(fold[s][own]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(hi), pa.array(lo), pa.array(times.astype(np.int64)), pa.nulls(k, pa.int64())], names)
                 row += m
 
     return run
 
 
-SCORE = (("row", "long"), ("doc_id", "long"), ("lang", "string"), ("n_symbols", "long"), ("cost", "double"), ("key", "long"), ("n", "long"), ("own", "long"), ("text_hash", "long"))
-
-
 def perplexities(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """(doc_id, lang, text_hash, n_symbols, perplexity) of all rows of (doc_id, lang, text), by a model of all documents
-    whose id is in ``trusted_ids`` (id)."""
-    spark: SparkSession = docs.sparkSession
+    """(doc_id, lang, text_hash, fold, n_symbols, perplexity) of all rows of (doc_id, lang, text), by a model of all
+    documents whose id is in ``trusted_ids`` (id). Trusted documents are in fold 1 or 2 by their text's hash and scored
+    by a model of the other fold; all others (fold 0) by that of both."""
+    spark = docs.sparkSession
     ship(spark)
     ids = trusted_ids.select(F.col("id").alias("_tid")).where("_tid is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = docs.join(ids, F.col("doc_id") == F.col("_tid"), "left_semi").select("text")
-    spelling = spark.sparkContext.broadcast(_spelling(texts.mapInArrow(_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))))
-    model, leave = word_model(texts.mapInArrow(_pairs(spelling), "key long, v long, w long, n long, spell double"))
+    fold = F.when(F.col("_tid").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("text"), F.lit(2))).cast("int")
+    rows = docs.join(ids, F.col("doc_id") == F.col("_tid"), "left").select("doc_id", "lang", "text", fold.alias("fold"), F.xxhash64("text").alias("text_hash"))
+    counts = rows.select("text", "fold").mapInArrow(_counts, "hi long, lo long, n1 long, n2 long, m long")
+    counts = written(counts.groupBy("hi", "lo").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "m"))), "grams")
+    costs = written(kneser_ney(counts), "costs")
     least, size = 0, 0
-    for r in model.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.col("n").desc()).collect():
-        if size + r["m"] > HOT:
-            least = r["n"] + 1
+    for r in costs.groupBy(F.least("m", F.lit(100_000)).alias("m")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("m").desc()).collect():
+        if size + r["c"] > HOT:
+            least = r["m"] + 1
             break
-        size += r["m"]
-    table = model.where(F.col("n") >= least).toArrow().sort_by("key")
-    hot = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("key", "gain", "n")))
-    others = model.where(F.col("n") < least)
-    rest = spark.sparkContext.broadcast(_key_map(others, others.count()) if least else (None, 0))
-    rows = docs.join(ids, F.col("doc_id") == F.col("_tid"), "left").select("doc_id", "lang", "text", F.col("_tid").isNotNull().alias("trusted"), F.xxhash64("text").alias("text_hash"))
-    out = written(rows.mapInArrow(_score(spelling, leave, hot, rest), ", ".join(f"{f} {kind}" for f, kind in SCORE)), "scores")
-    found = out.where("key is null").select("row", "doc_id", "lang", "text_hash", "n_symbols", "cost")
+        size += r["c"]
+    table = costs.where(F.col("m") >= least).select("hi", "lo", "cost", "cost1", "cost2").toArrow()
+    hot = spark.sparkContext.broadcast(Costs(*(table.column(c).to_numpy() for c in table.column_names)))
+    out = written(rows.mapInArrow(_score(hot), ", ".join(f"{f} {kind}" for f, kind in SCORE)), "scores")
+    found = out.where("hi is null").select("row", "doc_id", "lang", "text_hash", "fold", "n_symbols", "cost")
     if least:
-        late = out.where("key is not null").select("row", "key", F.col("n").alias("_times"), "own").join(others, "key").where("n > own").groupBy("row").agg(F.sum(F.col("_times") * F.col("gain")).alias("_gain"))
-        found = found.join(late, "row", "left").withColumn("cost", F.col("cost") + F.coalesce("_gain", F.lit(0.0)))
-    return found.select("doc_id", "lang", "text_hash", "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(F.col("cost") / F.col("n_symbols"))).alias("perplexity"))
+        other = costs.where(F.col("m") < least).select("hi", "lo", F.col("cost").alias("_cost"), "cost1", "cost2")
+        each = F.when(F.col("fold") == 1, F.col("cost2")).when(F.col("fold") == 2, F.col("cost1")).otherwise(F.col("_cost"))
+        late = out.where("hi is not null").select("row", "fold", "hi", "lo", "times").join(other, ["hi", "lo"]).groupBy("row").agg(F.sum(F.col("times") * each).alias("_more"))
+        found = found.join(late, "row", "left").withColumn("cost", F.col("cost") + F.coalesce("_more", F.lit(0.0)))
+    forget(counts)
+    return found.select("doc_id", "lang", "text_hash", "fold", "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(F.col("cost") / F.col("n_symbols"))).alias("perplexity"))
+
+
+def _evened(short: int) -> Column:
+    """Perplexity over what a text of its length may exceed that of long texts by."""
+    return F.col("perplexity") / (F.lit(1.0) + F.lit(float(short)) / F.greatest(F.col("n_symbols"), F.lit(1)))
 
 
-def thresholds(scored: DataFrame, trusted_ids: DataFrame, quantile: float, slack: float) -> DataFrame:
-    """(lang, threshold): the quantile of trusted documents' perplexity in each language, times ``slack``. Only a language
-    without any takes the quantile of all."""
-    own = scored.join(trusted_ids.select(F.col("id").alias("_tid")).distinct(), F.col("doc_id") == F.col("_tid"), "left_semi").where("perplexity is not null")
-    q = F.percentile_approx("perplexity", quantile, 10_000) * slack
+def thresholds(scored: DataFrame, quantile: float, slack: float, short: int) -> DataFrame:
+    """(lang, threshold): the quantile of trusted documents' evened perplexity in each language, times ``slack``. Only a
+    language without any takes the quantile of all."""
+    own = scored.where("fold > 0 and perplexity is not null")
+    q = F.percentile_approx(_evened(short), quantile, 10_000) * slack
     by = own.groupBy("lang").agg(q.alias("_own"))
     total = own.agg(q.alias("_all"))
     return scored.select("lang").distinct().withColumnRenamed("lang", "_l").join(by, F.col("_l") == F.col("lang"), "left").crossJoin(F.broadcast(total)).select(F.col("_l").alias("lang"), F.coalesce("_own", "_all").alias("threshold"))
@@ -342,34 +291,39 @@ def thresholds(scored: DataFrame, trusted_ids: DataFrame, quantile: float, slack
 
 def judge(scored: DataFrame, limits: DataFrame, short: int) -> DataFrame:
     small = F.broadcast(limits.withColumnRenamed("lang", "_lang")) if limits.count() <= BROADCAST_ROWS else limits.withColumnRenamed("lang", "_lang")
-    room = F.lit(1.0) + F.lit(float(short)) / F.greatest(F.col("n_symbols"), F.lit(1))
-    keep = F.coalesce((F.col("n_symbols") > 0) & (F.col("perplexity") <= F.col("threshold") * room), F.lit(False))
+    keep = F.coalesce((F.col("n_symbols") > 0) & (_evened(short) <= F.col("threshold")), F.lit(False))
     return scored.join(small, F.col("lang") == F.col("_lang"), "left").withColumn("keep", keep).drop("_lang")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, slack: float = 1.2, short: int = 12, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, slack: float = 1.05, short: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, lang, n_symbols, perplexity, threshold, keep.
 
-    ``trusted_ids`` (id) names the trusted documents; all of them train the model and set the thresholds. A document
-    stays if its perplexity is within its language's threshold, which is wider for short texts (by short/n_symbols).
+    ``trusted_ids`` (id) names the trusted documents; all of them train the model. Each is scored by a model of the other
+    half of them, as if it were unknown, and the ``quantile`` of these scores in each language, times ``slack``, is the
+    threshold. A document stays if its perplexity (per character) is within its language's threshold. Both sides are
+    divided by 1 + short/n_symbols, as the mean of a short text's costs varies more.
 
     Nulls: null or empty text has 0 symbols, a null perplexity and does not stay; a null language is the empty one; a
     null id is judged like any other. Repeated rows are judged alike. Very long texts are read whole. Extra columns
-    are ignored. An empty table gives an empty result; without any trusted text nothing stays, as no threshold exists.
+    are ignored, whatever their names. An empty table gives an empty result; without any trusted text nothing stays, as
+    no threshold exists.
     """
-    return _judged(docs, trusted_ids, quantile, slack, short, id_col, text_col, lang_col).drop("text_hash")
+    return _judged(docs, trusted_ids, quantile, slack, short, id_col, text_col, lang_col).select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "keep")
 
 
 def _judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float, slack: float, short: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
     scored = written(perplexities(rows, trusted_ids), "perplexity")
-    return judge(scored, written(thresholds(scored, trusted_ids, quantile, slack), "limits"), short)
+    return judge(scored, written(thresholds(scored, quantile, slack, short), "limits"), short)
 
 
-def keep_good(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, slack: float = 1.2, short: int = 12, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
-    good = _judged(docs, trusted_ids, quantile, slack, short, id_col, text_col, lang_col).where("keep")
-    good = written(good.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lang").alias("_lang")).distinct(), "good")
+def keep_good(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, slack: float = 1.05, short: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns, whatever their names: rows are named by id,
+    language and a hash of the text, so repeated rows stay or go together. Nulls and empty tables are as in ``classify``."""
+    good = _judged(docs, trusted_ids, quantile, slack, short, id_col, text_col, lang_col).where("keep").select("doc_id", "text_hash", "lang").distinct()
+    good = written(good, "good")
     good = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash")) & (F.coalesce(F.col(lang_col).cast("string"), F.lit("")) == F.col("_lang"))
-    return docs.join(good, same, "left_semi")
+    names = docs.columns
+    inner = docs.select(F.struct("*").alias("r"), F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("l"))
+    same = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")) & (F.col("l") == F.col("lang"))
+    return inner.join(good, same, "left_semi").select(*(F.col("r").getField(c).alias(c) for c in names))
