@@ -5,9 +5,11 @@ Two sets share at most the sum of the coordinate minima, and that bound prunes r
 are compared.
 
 The top of the tree is shared out over the cluster. The coordinates are dealt into blocks; sets of J >= t differ in at
-most d = (a + b)(1 - t)/(1 + t) shingles, so with d + 2 blocks they have equal sub-vectors in at least two. A cell is
-one block of one size band with one sub-vector (a rectangle that is a point in these coordinates). Below, each cell
-that still holds more than one component is bulk-loaded into an R-tree over 256 coordinates and searched.
+most d = (a + b)(1 - t)/(1 + t) shingles, so with d + s blocks they have equal sub-vectors in at least s. A cell is
+one block of one size band with one sub-vector that is not empty (a rectangle that is a point in these coordinates).
+If all equal blocks are empty, both sets have s empty ones or more; such sets are dealt into blocks again by another
+hash, up to eight times, and only what is left then (about the eighth power of a small share) goes to one cell. Below,
+each cell that still holds more than one component is bulk-loaded into an R-tree over 256 coordinates and searched.
 """
 
 from __future__ import annotations
@@ -25,64 +27,84 @@ from codelake.llm.store import BROADCAST_ROWS, forget, written
 from codelake.llm.textkit import U, mix, shingle_sets, slices
 from codelake.session import ship
 
-GROUPS = 1 << 16  # groups behind the blocks
+GROUP_BITS = 24  # groups behind the blocks: many more than blocks, so that a block of one shingle is not a common one
 COORDINATES = 256  # coordinates of the trees in the cells
+LAYOUTS = 8
 CELL = 2048  # points of one tree; larger cells are searched as pairs of chunks
 LEAF = 16
-_WEIGHT = np.random.default_rng(7).integers(1, 1 << 44, GROUPS).astype(np.float64)  # sums of 512 stay exact
 
 
-def bands(percent: int, most: int) -> list[tuple[int, int]]:
-    """(first size, blocks) of each size band up to size ``most``; J >= percent/100 pairs lie in one band or in two
-    neighbours, and differ in at most blocks - 2 shingles if the smaller one is in the band."""
+def bands(percent: int, most: int) -> list[tuple[int, int, int]]:
+    """(first size, blocks, spare) of each size band up to size ``most``; J >= percent/100 pairs lie in one band or in
+    two neighbours, and differ in at most blocks - spare shingles if the smaller one is in the band. There are enough
+    spare blocks that few sets of the band have as many empty ones, where sets are large enough for that."""
     out, first = [], 1
     while first <= most:
         after = first * 100 // percent + 1
         a = after - 1
         b = a * 100 // percent
-        out.append((first, (a + b) * (100 - percent) // (100 + percent) + 2))
+        d = (a + b) * (100 - percent) // (100 + percent)
+        spare = 2
+        for s in range(2, 10 + d):
+            empty = (d + s) * np.exp(-first / (d + s))
+            if s >= empty + 2 * empty**0.5 + 1:
+                spare = s
+                break
+        out.append((first, d + spare, spare if d else 2))
         first = after
     return out
 
 
 def cells(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, cell) for all cells of every set: the blocks' sub-vectors in the set's own band's layout
-    and in the one below. A cell of an empty block is named only where two blocks are empty, which the spare block
-    allows: of two equal blocks one is then non-empty or both sets have two empty ones."""
+    """(index of the set, cell) for all cells of every set: the sub-vectors that are not empty, in the set's own band's
+    layout and in the one below. Sets with as many empty blocks as the band has spare ones have cells in the next
+    layout too, and after the last one the cell of such sets."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     if not len(sets) or not size.max():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     layout = bands(percent, int(size.max()))
-    first = np.array([x[0] for x in layout])
-    blocks = np.array([x[1] for x in layout])
+    first, blocks, spare = (np.array(x) for x in zip(*layout, strict=True))
     band = np.searchsorted(first, size, "right") - 1
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), size)
-    group = (tokens >> U(48)).astype(np.int64)
-    spread = mix(group.astype(U)) >> U(20)
+    group = tokens >> U(64 - GROUP_BITS)
+    weight = (mix(group ^ U(0x7F4A7C15)) >> U(20)).astype(np.float64)  # sums of 512 stay exact
     at, out = [], []
     for lower in (0, 1):
         k = band - lower
-        use = (size > 0) & (k >= 0)
-        n = np.where(use, blocks[np.maximum(k, 0)], 0)
-        use &= n > 2  # with d = 0 only equal sets are alike, and those are one point already
-        n[~use] = 0
-        begin = np.concatenate([[0], np.cumsum(n)])
-        inside = use[owner]
-        who = owner[inside]
-        key = begin[who] + (spread[inside] % n[who].astype(U)).astype(np.int64)
-        total = np.bincount(key, _WEIGHT[group[inside]], begin[-1])
-        count = np.bincount(key, minlength=begin[-1])
-        of = np.repeat(np.arange(len(sets)), n)
-        block = np.arange(begin[-1]) - begin[of]
-        empty = np.bincount(of[count == 0], minlength=len(sets)) > 1
-        full = count > 0
-        name = mix(total[full].astype(U) ^ mix((block[full] * 4096 + k[of[full]]).astype(U)))
-        at += [of[full], np.flatnonzero(empty)]
-        out += [name, mix((k[empty] + (1 << 40)).astype(U))]
+        n = np.where((size > 0) & (k >= 0), blocks[np.maximum(k, 0)], 0)
+        open_ = n > spare[np.maximum(k, 0)]  # with d = 0 only equal sets are alike, and those are one point already
+        for turn in range(LAYOUTS):
+            if not open_.any():
+                break
+            own = np.where(open_, n, 0)
+            begin = np.concatenate([[0], np.cumsum(own)])
+            inside = np.flatnonzero(open_[owner])
+            who = owner[inside]
+            spread = mix(group[inside] + U(turn << 32)) >> U(20)
+            key = begin[who] + (spread % own[who].astype(U)).astype(np.int64)
+            total = np.bincount(key, weight[inside], begin[-1])
+            full = np.flatnonzero(np.bincount(key, minlength=begin[-1]))
+            of = np.repeat(np.arange(len(sets)), own)[full]
+            block = full - begin[of]
+            at.append(of)
+            out.append(mix(total[full].astype(U) ^ mix(((turn << 56) + block * 4096 + k[of]).astype(U))))
+            open_ &= own - np.bincount(of, minlength=len(sets)) >= spare[np.maximum(k, 0)]
+        at.append(np.flatnonzero(open_))
+        out.append(mix((k[open_] + (1 << 40)).astype(U)))
     return np.concatenate(at), np.concatenate(out).view(np.int64)
 
 
+def fine(size: int) -> int:
+    """Coordinates of the vector that bounds pairs of sets of about this size: at most eight shingles in each."""
+    return max(COORDINATES, 1 << int(max(size - 1, 1) // 8).bit_length())
+
+
+def counted(tokens: np.ndarray, coordinates: int) -> bytes:
+    """Group counts, where the coordinates of a shorter vector are sums of those of a longer one (below 255)."""
+    return np.minimum(np.bincount((tokens >> U(30)).astype(np.int64) % coordinates, minlength=coordinates), 255).astype(np.uint8).tobytes()
+
+
 def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """A 128-bit name of each set (0, 0 for the empty set)."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -125,14 +147,14 @@ def _cells(k: int, percent: int):
 
 def _members(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "n", "vec", "tokens"]
+        names = ["k1", "k2", "n", "vec", "fine", "tokens"]
         for b in batches:
             texts = b.column(1).to_pylist()
             for s in slices(texts):
                 sets = shingle_sets(texts[s], k)
                 k1, k2 = set_keys(sets)
-                vec = [np.minimum(np.bincount((x >> U(30)).astype(np.int64) % COORDINATES, minlength=COORDINATES), 255).astype(np.uint8).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array([len(x) for x in sets], pa.int64()), pa.array(vec, pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names)
+                vec, more = ([counted(x, c or fine(len(x))) for x in sets] for c in (COORDINATES, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array([len(x) for x in sets], pa.int64()), pa.array(vec, pa.binary()), pa.array(more, pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names)
 
     return run
 
@@ -143,29 +165,33 @@ def needed(a: int, b: int, percent: int) -> int:
 
 
 def bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (ra, na, va, rb, nb, vb), the pairs (ra, rb) that the overlap bound allows."""
+    """Of rows (ra, na, fa, rb, nb, fb), the pairs (ra, rb) that the overlap bound allows."""
     for batch in batches:
         na, nb = batch.column(1).to_numpy(), batch.column(4).to_numpy()
-        va, vb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (2, 5))
-        keep = pa.array(overlap_bound(va, vb) >= -(-percent * (na + nb) // (100 + percent)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(3).filter(keep)], ["ra", "rb"])
+        least = -(-percent * (na + nb) // (100 + percent))
+        keep = np.minimum(na, nb) >= least
+        sides = [batch.column(i).to_pylist() for i in (2, 5)]
+        wide = np.array([[len(x) for x in side] for side in sides]).reshape(2, -1)
+        for pair in np.unique(wide[:, keep], axis=1).T:
+            every = np.flatnonzero(keep & (wide == pair[:, None]).all(0))
+            step = max((1 << 22) // int(pair.max()), 1)
+            for c in range(0, len(every), step):
+                at = every[c : c + step]
+                a, b = (np.frombuffer(b"".join([side[i] for i in at]), np.uint8).reshape(len(at), -1, int(pair.min())) for side in sides)
+                a, b = (np.where((x == 255).any(1), 255, np.minimum(x.sum(1, dtype=np.int64), 255)).astype(np.uint8) for x in (a, b))
+                keep[at] = overlap_bound(a, b) >= least[at]
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(3).filter(pa.array(keep))], ["ra", "rb"])
 
 
 def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of joined candidate rows (a, va, ta, b, vb, tb), the pairs whose sets really overlap enough."""
+    """Of joined candidate rows (a, ta, b, tb), the pairs whose sets really overlap enough."""
     for batch in batches:
-        cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        keep = []
-        for i in range(batch.num_rows):
-            x, y = cols["ta"][i], cols["tb"][i]
+        left, right, keep = batch.column(1).to_pylist(), batch.column(3).to_pylist(), []
+        for i, (x, y) in enumerate(zip(left, right, strict=True)):
             least = needed(len(x) // 8, len(y) // 8, percent)
-            if min(len(x), len(y)) // 8 >= least:
-                if overlap_bound(np.frombuffer(cols["va"][i], np.uint8), np.frombuffer(cols["vb"][i], np.uint8)) < least:
-                    continue
-                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-                if both >= least:
-                    keep.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(3).take(pa.array(keep, pa.int64()))], ["a", "b"])
+            if min(len(x), len(y)) // 8 >= least and len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) >= least:
+                keep.append(i)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(2).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
 
 def overlap_bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -286,20 +312,20 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         """Columns of ``_members`` and rep of the sets (k1, k2, rep), once each, from their own documents."""
         ids = sets.select(F.col("rep").alias("doc_id")).distinct()
         ids = F.broadcast(ids) if sets.count() <= BROADCAST_ROWS else ids
-        rows = src.join(ids, "doc_id", "left_semi").mapInArrow(_members(k), "k1 long, k2 long, n long, vec binary, tokens binary")
+        rows = src.join(ids, "doc_id", "left_semi").mapInArrow(_members(k), "k1 long, k2 long, n long, vec binary, fine binary, tokens binary")
         found = written(rows.select("k1", "k2", *columns).join(sets.select("k1", "k2", "rep"), ["k1", "k2"]), name)
         return found if found.count() == sets.count() else written(found.dropDuplicates(["rep", "k1", "k2"]), name)  # repeated rows
 
-    members = drawn(wanted, ["n", "vec"], "members")
+    members = drawn(wanted, ["n", "vec", "fine"], "members")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (members.select(F.col("k1").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("vec").alias(f"v{x}")) for x in "ab")
-        near = pairs.join(left, "a").join(right, "b").select("ra", "na", "va", "rb", "nb", "vb")
+        left, right = (members.select(F.col("k1").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}")) for x in "ab")
+        near = pairs.join(left, "a").join(right, "b").select("ra", "na", "fa", "rb", "nb", "fb")
         near = written(near.mapInArrow(lambda it: bounded(it, percent), "ra long, rb long"), "near")
         reps_of = near.select(F.col("ra").alias("rep")).union(near.select("rb")).distinct()
-        whole = drawn(written(wanted.join(reps_of, "rep", "left_semi"), "near-sets"), ["vec", "tokens"], "tokens")
-        left, right = (whole.select(F.col("rep").alias(f"r{x}"), F.col("vec").alias(f"v{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
-        rows = near.join(left, "ra").join(right, "rb").select("ra", "va", "ta", "rb", "vb", "tb")
+        whole = drawn(written(wanted.join(reps_of, "rep", "left_semi"), "near-sets"), ["tokens"], "tokens")
+        left, right = (whole.select(F.col("rep").alias(f"r{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
+        rows = near.join(left, "ra").join(right, "rb").select("ra", "ta", "rb", "tb")
         return rows.mapInArrow(lambda it: linked(it, percent), "a long, b long")
 
     sure = written(verify(stars), "links")

@@ -113,9 +113,44 @@ def test_tree_search_and_bands():
             least = jaccard.needed(a, b, t)
             if a <= b and least <= a:
                 layout = jaccard.bands(t, 200)
-                first = [x for x, _ in layout]
+                first = [x[0] for x in layout]
                 i, j = (np.searchsorted(first, x, "right") - 1 for x in (a, b))
-                assert j - i in (0, 1) and a + b - 2 * least <= layout[i][1] - 2
+                assert j - i in (0, 1) and a + b - 2 * least <= layout[i][1] - layout[i][2] and layout[i][2] >= 2
+
+
+@pytest.mark.parametrize("size", [5, 9, 14, 30, 100, 200, 800, 1600, 6000, 18_000])
+@pytest.mark.parametrize("percent", [80, 90])
+def test_cells(size, percent):
+    """Unrelated sets share hardly any cell; sets that differ as much as they may share one that is not empty."""
+    r = np.random.default_rng(size)
+    new = lambda n: np.unique(r.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+    count = max(60_000 // size, 20)
+    sets = [new(size) for _ in range(count)]
+    at, cell = jaccard.cells(sets, percent)
+    _, most = np.unique(np.unique(np.stack([cell, at]), axis=1)[0], return_counts=True)
+    assert most.max(initial=1) <= max(0.02 * count, 3)
+    cut = (size + size) * (100 - percent) // (100 + percent) // 2
+    if cut:
+        near = [np.concatenate([x[: len(x) - cut], new(cut)]) for x in sets]
+        near_at, near_cell = jaccard.cells(near, percent)
+        for i in range(count):
+            if len(near[i]) == len(sets[i]) == size:
+                assert set(cell[at == i]) & set(near_cell[near_at == i])
+
+
+def test_bounds_keep_all_linked_pairs():
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    base = np.unique(r.integers(0, 1 << 63, 30_000, dtype=np.int64)).astype(np.uint64) * np.uint64(2)
+    sets = [base[a:b] for a, b in ((0, 2000), (100, 2300), (0, 2600), (0, 9000), (500, 9900), (12_000, 14_000), (20_000, 29_000), (0, 40), (0, 45))]
+    pairs = list(itertools.combinations(range(len(sets)), 2))
+    col = lambda f: [pa.array([f(sets[p[k]]) for p in pairs]) for k in (0, 1)]
+    n, v = col(len), col(lambda x: jaccard.counted(x, jaccard.fine(len(x))))
+    rows = pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs]), n[0], v[0], pa.array([b for _, b in pairs]), n[1], v[1]], list("abcdef"))
+    (got,) = jaccard.bounded([rows], 80)
+    want = {(a, b) for a, b in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert {(a, b) for a, b in zip(*(c.to_pylist() for c in got.columns), strict=True)} == want and len(want) >= 3
 
 
 def test_large_cells_are_searched_in_chunks(docs, monkeypatch):
@@ -386,11 +421,52 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 def test_wrapper_text():
     pages = [PAGE.format(i) for i in range(5)]
     known = wrapper.infer(pages)
-    assert wrapper.main_text(pages[3], known) == "Title 3 & more One 3 Two 3"
-    assert wrapper.main_text(pages[3]) == "Title 3 & more One 3 Two 3 Subscribe now"
+    for rule in (known, None):
+        assert wrapper.main_text(pages[3], rule) == "Title 3 & more One 3 Two 3 Subscribe now"
     assert wrapper.main_text(None) == wrapper.main_text("") == wrapper.main_text("<nav>x</nav>") == ""
     assert wrapper.main_text("plain  words") == "plain words"
     assert wrapper.main_text("<div>a<br>b<p>c<i>d</i>") == "a b cd"
+    assert wrapper.main_text("<p>" + "İ" * 20 + "</p><script>x</SCRIPT ><p>hello</p><p>world</p>") == "İ" * 20 + " hello world"
+    assert wrapper.main_text('<div class="a"">Hello</div><p title="a>b">x<!--> y<!-- z --!> w') == "Hello x y w"
+    kept = '<article><p class="share-price">1</p><div class="search-results">2</div><p id="copyright-law">3</p><math>4</math><p>5&lt;p&gt;</p>'
+    assert wrapper.main_text(kept + '<div class="comment-list">no</div><div class="cookieNotice">no</div><div id="ad-12">no</div></article>') == "1 2 3 4 5<p>"
+    assert wrapper.main_text('<div class="content with-sidebar"><div class="has-comments"><article>A</article></div></div>') == "A"
+    assert len(wrapper.main_text("<p>" + "long text " * 300_000)) == 10 * 300_000 - 1
+
+
+#: Page templates without an article element: {0} is the page's number, {1} its title, {2} its paragraphs.
+TEMPLATES = {
+    "named parts": '<div class="menu"><a>Home</a> <a>News</a></div><div id="content"><h1>{1}</h1>{2}<div class="comments"><p>reader {0} says hello</p></div></div><div class="sidebar"><p>other {0}</p></div><div class="footer">(c) site</div>',
+    "nothing named": '<div class="x1"><p>Welcome to the site</p><ul><li>One<li>Two<li>Three</ul></div><div class="x2"><h1>{1}</h1>{2}</div><div class="x3"><p>All rights reserved by us</p><p>visit {0}</p></div>',
+    "table": '<table><tr><td class="l"><p>Menu</p><p>Links</p></td><td class="m"><h1>{1}</h1>{2}</td><td class="r"><p>Weather {0}</p></td></tr></table>',
+    "names that mislead": '<div class="page with-sidebar"><div class="a"><p>Site line</p></div><div class="legal-news"><h1>{1}</h1>{2}</div><div class="b"><p>Imprint</p></div></div>',
+    "title outside": '<div class="top"><h1>{1}</h1></div><div class="u"><p>Constant slogan of this site</p></div><div class="body">{2}</div><form><label>Mail</label></form>',
+    "long terms": '<div class="t"><p>' + "These are the terms of use of this site. " * 20 + '</p></div><div class="c"><h1>{1}</h1>{2}</div><div class="z"><p>page {0}</p></div>',
+    "constant inside": '<div class="n"><p>Nav</p></div><div class="c"><h1>{1}</h1>{2}<h2>Sources</h2><p>seen on {0}</p></div><div class="cookie-notice"><p>We use cookies {0}</p></div>',
+}
+
+
+def template_pages(name, n, r):
+    some = lambda k: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(k))
+    for i in range(n):
+        title, text = some(4), [some(r.randint(8, 40)) for _ in range(r.randint(2, 7))]
+        optional = "<blockquote>" + some(5) + "</blockquote>" if i % 3 else ""
+        body = "".join(f"<p>{t}</p>" for t in text) + optional
+        truth = [title, *text, *([optional[12:-13]] if optional else []), *(["Sources", f"seen on {i}"] if name == "constant inside" else [])]
+        yield f"<html><body>{TEMPLATES[name].format(i, title, body)}</body></html>", " ".join(truth)
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+@pytest.mark.parametrize("n", [2, 3, 8])
+def test_wrappers_find_the_article(name, n):
+    pages = list(template_pages(name, n, random.Random(n)))
+    known = wrapper.infer([p for p, _ in pages])
+    assert all(wrapper.main_text(p, known) == truth for p, truth in pages)
+
+
+def test_without_wrappers_results_differ():
+    pages = [x for name in TEMPLATES for x in template_pages(name, 8, random.Random(1))]
+    assert sum(wrapper.main_text(p) != truth for p, truth in pages) >= 8
 
 
 def test_wrapper_regex():
@@ -402,20 +478,24 @@ def test_extract(spark):
     rows = [(i, f"http://Host{i % 2}.example/{i}", PAGE.format(i), "w") for i in range(20)] + [(20, None, PAGE.format(20), None), (21, "http://host1.example", None, None), (22, "no url", "", None)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, wrapper string")
     got = {r.page_id: r for r in wrapper.extract(d).collect()}
-    assert len(got) == 23 and got[4].text == "Title 4 & more One 4 Two 4" and got[4].n_chars == len(got[4].text)
+    assert len(got) == 23 and got[4].text == "Title 4 & more One 4 Two 4 Subscribe now" and got[4].n_chars == len(got[4].text)
     assert got[20].text.endswith("Subscribe now") and got[21].text == got[22].text == "" and got[21].n_chars == 0
     assert wrapper.extract(d.limit(0)).count() == 0
 
 
-def test_extract_counts_all_pages(spark):
-    page = "<nav>m{0}</nav><article><h1>{1}</h1><p>Text {0}</p></article>"
-    rows = [(i, f"http://often/{i}", page.format(i, "Daily news" if i % 10 else f"Other {i}")) for i in range(200)]
-    rows += [(i, f"http://variants/{i}", f"<nav>menu {i}</nav><article><h1>Title</h1><p>Only text</p></article>") for i in range(200, 206)]
-    rows += [(i, f"http://bare/{i}", f"<div><p>Welcome</p><p>{'Hello' if i > 230 else 'Other'}</p><p>Text {i}</p></div>") for i in range(210, 250)] + [(250, "http://bare/x", "<div><p>Welcome</p><p>Same</p></div>")] * 3
-    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i] == (f"Daily news Text {i}" if i % 10 else f"Other {i} Text {i}") for i in range(200))
-    assert {got[i] for i in range(200, 206)} == {"Title Only text"}
-    assert got[211] == "Other Text 211" and got[249] == "Hello Text 249" and got[250] == "Same"
+@pytest.mark.parametrize("limit", [wrapper.BROADCAST_BYTES, -1])
+def test_extract_by_wrappers(spark, monkeypatch, limit):
+    """Six hosts of one template each, one of them with most rows; a page without a host and one of another template."""
+    monkeypatch.setattr(wrapper, "BROADCAST_BYTES", limit)
+    rows, truth = [], {}
+    for k, name in enumerate(TEMPLATES):
+        for i, (p, t) in enumerate(template_pages(name, 60 if k == 1 else 6, random.Random(k))):
+            rows.append((100 * k + i, f"http://Host{k}.example/{i}", p, "h"))
+            truth[100 * k + i] = t
+    rows += [(1000, "http://host1.example/odd", "<html><body><div><p>another kind of page</p></div></body></html>", None), (1001, "nowhere", "<p>text", None), rows[0]]
+    truth |= {1000: "another kind of page", 1001: "text"}
+    got = wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()
+    assert len(got) == len(rows) and all(r.text == truth[r.page_id] for r in got)
 
 
 def test_tokens(spark, docs, none, tmp_path):
