@@ -6,11 +6,13 @@ Filters that matter for cost (tiles, limits, mode) are arguments, because nothin
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from codelake.operators import image
 from codelake.session import ship
@@ -21,7 +23,7 @@ REPAIRS = "repairs array<struct<kind:string,tile:int,component:int,declared:int,
 COMPONENTS = "components array<struct<width:int,height:int,dx:int,dy:int,depth:int,signed:boolean,samples:array<int>>>"
 CONTAINER = "colour_space struct<name:string,code:bigint>, channel_definitions array<struct<cn:int,typ:int,asoc:int>>, palette array<array<int>>, component_map array<struct<cmp:int,mtyp:int,pcol:int>>"
 STYLE = "tile_style struct<progression:string,layers:int,mct:boolean,sop:boolean,eph:boolean,levels:int,block_width:int,block_height:int,block_style:int,transform:string,precincts:array<struct<ppx:int,ppy:int>>,quant_style:string,guard_bits:int>"
-HEADER = f"start bigint, header struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint,tile_x0:bigint,tile_y0:bigint,tile_width:bigint,tile_height:bigint,components:array<struct<depth:int,signed:boolean,dx:int,dy:int>>>, {STYLE}, markers array<struct<marker:string,offset:bigint,length:int>>, tile_parts array<struct<seq:int,tile:int,part_index:int,declared:int,start:bigint,end:bigint>>, {REPAIRS}, {ERROR}, {CONTAINER}"
+HEADER = f"start bigint, header struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint,tile_x0:bigint,tile_y0:bigint,tile_width:bigint,tile_height:bigint,components:array<struct<depth:int,signed:boolean,dx:int,dy:int>>>, {STYLE}, markers array<struct<marker:string,offset:bigint,length:int>>, tile_parts array<struct<seq:int,tile:int,part_index:int,declared:int,start:bigint,end:bigint,sot:bigint>>, {REPAIRS}, {ERROR}, {CONTAINER}"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -29,46 +31,45 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def _mapped(df: DataFrame, key: list[str], content: str, schema: str, one: Callable[[bytes | None], dict]) -> DataFrame:
+def _mapped(df: DataFrame, key: list[str], content: str, schema: str, every: Callable[[Iterable[bytes | None]], Iterable[dict]], more: list[str] | None = None) -> DataFrame:
+    """``key`` and the columns of ``schema`` from what ``every`` makes of the contents of an Arrow batch (or, with
+    ``more``, of tuples of the contents and these columns)."""
     ship(df.sparkSession)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema)
-    names = [x.split()[0] for x in _split(schema)]
+    source = df.select(*[F.col(k) for k in key], F.col(content).alias("_content"), *[F.col(m).alias(f"_more_{i}") for i, m in enumerate(more or [])])
+    kept = StructType(source.schema.fields[: len(key)])
+    fields = StructType.fromDDL(schema)
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    names = [*key, *fields.names]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [one(bytes(c) if c is not None else None) for c in p[content]]
-            out = p[key].copy()
-            for n in names:
-                out[n] = pd.Series([r.get(n) for r in rows], dtype=object, index=p.index)
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(i).to_pylist() for i in range(len(key), b.num_columns)]
+            found = list(every(zip(*columns, strict=True) if more else columns[0]))
+            made = [pa.array([r.get(n) for r in found], k) for n, k in zip(fields.names, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(key))), *made], names)
 
-    return df.select(*key, content).mapInPandas(run, f"{kept}, {schema}")
+    return source.mapInArrow(run, StructType([*kept.fields, *fields.fields]))
 
 
-def _split(schema: str) -> list[str]:
-    out, depth, now = [], 0, ""
-    for ch in schema:
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and not depth:
-            out.append(now.strip())
-            now = ""
-        else:
-            now += ch
-    return [*out, now.strip()]
+def _one(f: Callable[[bytes | None], dict]) -> Callable[[Iterable[bytes | None]], Iterable[dict]]:
+    return lambda contents: map(f, contents)
 
 
 def decode(df: DataFrame, key: list[str], mode: str = "strict", content: str = "content", max_samples: int = h.MAX_SAMPLES, max_coefficients: int = h.MAX_COEFFICIENTS, tiles: list[int] | None = None) -> DataFrame:
     """(*key, width, height, components, repairs, error, container columns). ``mode``: strict or permissive. A file
-    that cannot be decoded has an error and null components; no file fails the job."""
+    that cannot be decoded has an error and null components; no file fails the job. The files of an Arrow batch are
+    decoded together, in groups of bounded size."""
     if mode not in ("strict", "permissive"):
         raise ValueError("mode is strict or permissive")
-    return _mapped(df, key, content, f"width int, height int, {COMPONENTS}, {REPAIRS}, {ERROR}, {CONTAINER}", lambda b: image.decode_file(b or b"", mode == "permissive", max_samples, max_coefficients, tiles))
+    every = lambda contents: image.decode_files(((b, tiles) for b in contents), mode == "permissive", max_samples, max_coefficients)
+    return _mapped(df, key, content, f"width bigint, height bigint, {COMPONENTS}, {REPAIRS}, {ERROR}, {CONTAINER}", every)
 
 
 def _header(b: bytes | None, permissive: bool) -> dict:
-    where = h.container(b or b"")
-    out: dict = {"repairs": [], "error": None, "markers": [], "tile_parts": [], **{k: where[k] for k in ("colour_space", "channel_definitions", "palette", "component_map")}, "start": where["start"]}
+    out: dict = {"repairs": [], "error": None, "markers": [], "tile_parts": [], "start": None}
     try:
+        where = h.container(b or b"")
+        out |= {k: where[k] for k in ("colour_space", "channel_definitions", "palette", "component_map", "start")}
         if where["start"] is None:
             raise h.CodestreamError("NotACodestream")
         s = h.parse(b, where["start"], where["end"], permissive)
@@ -76,27 +77,27 @@ def _header(b: bytes | None, permissive: bool) -> dict:
         out |= {
             "header": {k: s.header[k] for k in ("x0", "y0", "x1", "y1", "tile_x0", "tile_y0", "tile_width", "tile_height", "components")},
             "tile_style": {"progression": h.PROGRESSIONS[s.style.progression or 0], "layers": s.style.layers, "mct": s.style.mct, "sop": s.style.sop, "eph": s.style.eph, "levels": code.levels, "block_width": 1 << code.width, "block_height": 1 << code.height, "block_style": code.style, "transform": h.TRANSFORMS[code.reversible], "precincts": [{"ppx": x, "ppy": y} for x, y in code.precincts], "quant_style": h.QUANTISATIONS[steps.style], "guard_bits": steps.guard},
-            "markers": [{"marker": h.NAMES.get(m["marker"], f"{m['marker']:04X}"), "offset": m["offset"], "length": m["length"]} for m in s.markers], "tile_parts": [{k: v for k, v in p.items() if k != "sot"} for p in s.parts], "repairs": s.repairs,
+            "markers": [{"marker": h.NAMES.get(m["marker"], f"{m['marker']:04X}"), "offset": m["offset"], "length": m["length"]} for m in s.markers], "tile_parts": s.parts, "repairs": s.repairs,
         }
-    except h.CodestreamError as e:
-        out["error"] = {"offset": e.offset, "kind": e.kind, "value": e.value, "message": str(e)}
+    except (h.CodestreamError, *image.DAMAGE) as e:
+        out["error"] = image.error(e)
     return out
 
 
 def headers(df: DataFrame, key: list[str], mode: str = "permissive", content: str = "content") -> DataFrame:
     """(*key, header, tile_style, markers, tile_parts, repairs, error, container columns), without decoding."""
-    return _mapped(df, key, content, HEADER, lambda b: _header(b, mode == "permissive"))
+    return _mapped(df, key, content, HEADER, _one(lambda b: _header(b, mode == "permissive")))
 
 
 def boxes(df: DataFrame, key: list[str], content: str = "content") -> DataFrame:
     """(*key, ord, kind, depth, start, end): one row per container box."""
-    every = _mapped(df, key, content, "boxes array<struct<kind:string,depth:int,start:bigint,end:bigint>>", lambda b: {"boxes": h.walk_boxes(b or b"")})
+    every = _mapped(df, key, content, "boxes array<struct<kind:string,depth:int,start:bigint,end:bigint>>", _one(lambda b: {"boxes": h.walk_boxes(b or b"")}))
     return every.select(*key, F.posexplode("boxes").alias("ord", "b")).select(*key, "ord", "b.*")
 
 
 def document_images(df: DataFrame, key: list[str], content: str = "content") -> DataFrame:
     """(*key, ord, content): wavelet-coded image streams embedded in document files."""
-    every = _mapped(df, key, content, "streams array<binary>", lambda b: {"streams": h.pdf_image_streams(b or b"")})
+    every = _mapped(df, key, content, "streams array<binary>", _one(lambda b: {"streams": h.pdf_image_streams(b or b"")}))
     return every.select(*key, F.posexplode("streams").alias("ord", "content"))
 
 
@@ -106,49 +107,68 @@ def with_true_part_counts(df: DataFrame, key: list[str], content: str = "content
     def one(b: bytes | None) -> dict:
         try:
             return {"content": h.write_part_counts(b)}
-        except (h.CodestreamError, TypeError):
+        except (h.CodestreamError, TypeError, *image.DAMAGE):
             return {"content": b}
 
-    return _mapped(df, key, content, "content binary", one)
+    return _mapped(df, key, content, "content binary", _one(one))
 
 
-def decode_by_tile(df: DataFrame, key: list[str], mode: str = "strict", content: str = "content") -> DataFrame:
-    """(*key, tile, components, repairs, error): large images tile by tile, as rows of their own over the cluster.
-
-    The tiles are listed from headers only; planes are those of the whole image's size outside the tile at mid-grey,
-    so ``components`` holds just the tile's rectangle: (x, y, width, height, samples)."""
-    ship(df.sparkSession)
-    listed = headers(df, key, mode, content).where("error is null").select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("header.x1") - F.col("header.tile_x0")) / F.col("header.tile_width")) * F.ceil((F.col("header.y1") - F.col("header.tile_y0")) / F.col("header.tile_height")) - 1)).alias("tile"))
+def _tile_streams(b: bytes | None, permissive: bool) -> dict:
+    """A codestream of its own for every tile: the main header, the tile's parts, the end."""
+    try:
+        where = h.container(b or b"")
+        if where["start"] is None:
+            raise h.CodestreamError("NotACodestream")
+        s = h.parse(b, where["start"], where["end"], permissive)
+        main = b[where["start"] : min((p["sot"] for p in s.parts), default=s.body)]
+        body: dict[int, list[bytes]] = {t: [] for t in range(s.header["tiles_wide"] * s.header["tiles_high"])}
+        for p in s.parts:
+            body[p["tile"]].append(b[p["sot"] : p["end"]])
+        return {"streams": [{"tile": t, "content": b"".join([main, *parts, b"\xff\xd9"]), "error": None} for t, parts in body.items()]}
+    except (h.CodestreamError, *image.DAMAGE) as e:
+        return {"streams": [{"tile": None, "content": None, "error": image.error(e)}]}
+
+
+def decode_by_tile(df: DataFrame, key: list[str], mode: str = "strict", content: str = "content", max_samples: int = h.MAX_SAMPLES, max_coefficients: int = h.MAX_COEFFICIENTS) -> DataFrame:
+    """(*key, tile, planes, repairs, error): large images tile by tile, as rows of their own over the cluster.
+
+    Every tile travels with the main header and its own parts only, so about one file's bytes are shuffled per file.
+    ``planes`` has the tile's rectangle of each component (component, x, y, width, height, samples). ``max_samples``
+    holds for the components of the whole image, ``max_coefficients`` for a tile's component. A file whose headers are
+    wrong has one row with its error and a null tile; repairs of headers are those that ``headers`` lists."""
+    if mode not in ("strict", "permissive"):
+        raise ValueError("mode is strict or permissive")
+    permissive = mode == "permissive"
+    listed = _mapped(df, key, content, f"streams array<struct<tile:bigint,content:binary,{ERROR.replace('error struct', 'error:struct')}>>", _one(lambda b: _tile_streams(b, permissive)))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = listed.join(df.select(*key, content), key).repartition(n, *key, "tile")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema)
+    rows = listed.select(*key, F.explode("streams").alias("_s")).select(*key, "_s.tile", "_s.content", F.col("_s.error").alias("_error")).repartition(n, *key, "tile")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            found = [image.decode_tile_planes(bytes(c), int(t), mode == "permissive") for c, t in zip(p[content], p["tile"], strict=True)]
-            out = p[[*key, "tile"]].copy()
-            for k in ("planes", "repairs", "error"):
-                out[k] = pd.Series([f[k] for f in found], dtype=object, index=p.index)
-            yield out
+    def every(found: Iterable[tuple[bytes | None, int | None]]) -> Iterator[dict]:
+        given = [(b, [t] if t is not None else None) for b, t in found]
+        made = image.decode_files(((b, t) for b, t in given if t), permissive, max_samples, max_coefficients, whole=False)
+        for _, t in given:
+            out = next(made) if t else {"repairs": []}
+            yield out | {"repairs": [r for r in out["repairs"] if r["kind"] in ("TileMissing", "PacketsRunPastTheirTile", "CodeBlockDamaged")]}
 
-    return rows.mapInPandas(run, f"{kept}, tile bigint, planes array<struct<component:int,x:int,y:int,width:int,height:int,samples:array<int>>>, {REPAIRS}, {ERROR}")
+    out = _mapped(rows, [*key, "tile", "_error"], "content", f"planes array<struct<component:int,x:int,y:int,width:int,height:int,samples:array<int>>>, {REPAIRS}, {ERROR}", every, ["tile"])
+    return out.select(*key, "tile", "planes", "repairs", F.coalesce("_error", "error").alias("error"))
 
 
 def samples(decoded: DataFrame, key: list[str]) -> DataFrame:
-    """(*key, component, pos, value): one row per sample of decoded images."""
+    """(*key, component, pos, value): one row per sample of decoded images; files with an error have none."""
     each = decoded.where("error is null").select(*key, F.posexplode("components").alias("component", "_c"))
     return each.select(*key, "component", F.posexplode("_c.samples").alias("pos", "value"))
 
 
 def export(decoded: DataFrame, key: list[str], raw: bool = False) -> DataFrame:
-    """(*key, file binary): 8-bit PGM or PPM files (or raw interleaved bytes) of decoded images."""
+    """(*key, file binary): 8-bit PGM or PPM files (or raw interleaved bytes) of decoded images; files with an error stay
+    as rows with a null file."""
 
-    @F.pandas_udf("binary")
-    def written(c: pd.Series, w: pd.Series, hgt: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else image.export_raster([{**r, "samples": list(r["samples"])} for r in x], int(a), int(b), raw) for x, a, b in zip(c, w, hgt, strict=True)])
+    def every(rows: Iterable[tuple]) -> Iterator[dict]:
+        for c, w, hgt in rows:
+            yield {"file": None if c is None else image.export_raster(c, w, hgt, raw)}
 
-    ship(decoded.sparkSession)
-    return decoded.where("error is null").select(*key, written("components", "width", "height").alias("file"))
+    return _mapped(decoded, key, "components", "file binary", every, ["width", "height"])
 
 
 def error_kind(df: DataFrame) -> Column:

@@ -1,13 +1,34 @@
-"""One file to sample planes: the function that ``decode`` runs inside Spark's workers."""
+"""Files to sample planes: the functions that ``decode`` runs inside Spark's workers.
+
+A file is opened (headers, packets), its code-blocks become jobs, and the jobs of many files and tiles are decoded
+together: blocks of one shape in lanes, see ``kernels.lanes``. Then planes are put together from the results.
+"""
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+
 import numpy as np
 
-from codelake.kernels import blocks, packets, wavelet
+from codelake.kernels import blocks, lanes, packets, wavelet
 from codelake.sources import headers
 from codelake.sources.headers import CodestreamError, repair
 
+#: What damaged bytes may raise where no rule of the format names the damage.
+DAMAGE = (IndexError, ValueError, OverflowError, MemoryError, KeyError, struct.error)
+#: Blocks of one shape from which lanes are faster than one block after the other, on a few thousand cells.
+MANY = 192
+#: Coefficients of the files that are decoded together (a larger file is alone).
+TOGETHER = 1 << 22
+
+
+def error(e: Exception) -> dict:
+    if isinstance(e, CodestreamError):
+        return {"offset": e.offset, "kind": e.kind, "value": e.value, "message": str(e)}
+    return {"offset": 0, "kind": "Damaged", "value": None, "message": f"{type(e).__name__}: {e}"}
+
 
 def round_away(x: np.ndarray) -> np.ndarray:
     """Half away from zero, in single precision."""
@@ -38,90 +59,185 @@ def tile_rect(h: dict, t: int) -> tuple[int, int, int, int]:
     return max(x, h["x0"]), max(y, h["y0"]), min(x + h["tile_width"], h["x1"]), min(y + h["tile_height"], h["y1"])
 
 
-def decode_tile(data: bytes, stream: headers.Codestream, t: int, strict: bool, most: int, repairs: list[dict]) -> list[np.ndarray]:
-    """Planes of the tile's components before level shift."""
-    h, rect = stream.header, tile_rect(stream.header, t)
-    style = stream.tiles.get(t, headers.Style(base=stream.style))
-    specs = h["components"]
-    tree = [packets.build_component(rect, style, c, s["dx"], s["dy"], strict, most) for c, s in enumerate(specs)]
-    parts = [p for p in stream.parts if p["tile"] == t]
-    if not parts:
-        if strict:
-            raise CodestreamError("UnexpectedEndOfCodestream")
-        repairs.append(repair("TileMissing", tile=t))
-    main = style.order()
-    order = packets.packet_order(tree, [(s["dx"], s["dy"]) for s in specs], main.progression or 0, main.layers, rect[:2])
-    if not packets.read_packets(b"".join(data[p["start"] : p["end"]] for p in parts), tree, order, style):
-        if strict:
-            raise CodestreamError("UnexpectedEndOfCodestream")
-        repairs.append(repair("PacketsRunPastTheirTile", tile=t))
-    planes = []
-    for c, s in enumerate(specs):
-        b, q, roi = style.blocks(c), style.steps(c), style.shift(c)
-        levels, damaged = [], False
-        for res in tree[c]:
-            found = {}
-            for band in res.bands:
-                x0, y0, x1, y1 = band.rect
-                out = np.zeros((max(0, y1 - y0), max(0, x1 - x0)), np.int64)
-                for k in (k for p in band.precincts for k in p.blocks if k.passes):
-                    u0, v0, u1, v1 = k.rect
-                    n = band.planes - k.zero
-                    damaged |= n <= 0 or n > blocks.MOST_PLANES or k.passes > 3 * n - 2
-                    x = blocks.decode(u1 - u0, v1 - v0, band.name, max(n, 0), b.style, k.segments(b.style))
-                    if roi:  # background coefficients are those below 2**roi
-                        m = np.abs(x)
-                        x = np.sign(x) * np.where(m >= 1 << roi, m >> roi, m)
-                    out[v0 - y0 : v1 - y0, u0 - x0 : u1 - x0] = x
-                if not b.reversible:
-                    step = np.float32(1) if q.style == 0 else np.float32(2.0 ** (s["depth"] + packets.GAIN[band.name] - band.exponent)) * (np.float32(1) + np.float32(band.mantissa) / np.float32(2048))
-                    out = out.astype(np.float32) * step
-                found[band.name] = out
-            levels.append((res.rect, found))
-        if damaged:
+@dataclass
+class Tile:
+    """An opened tile: what its packets hold, before any coefficient is decoded."""
+
+    header: dict
+    style: headers.Style
+    number: int
+    strict: bool
+    repairs: list[dict]
+    tree: list[list[packets.Resolution]]
+    jobs: list[tuple] = field(default_factory=list)
+
+    @classmethod
+    def open(cls, data: bytes, stream: headers.Codestream, t: int, strict: bool, most: int, repairs: list[dict]) -> Tile:
+        h, rect = stream.header, tile_rect(stream.header, t)
+        style = stream.tiles.get(t, headers.Style(base=stream.style))
+        specs = h["components"]
+        tree = [packets.build_component(rect, style, c, s["dx"], s["dy"], strict, most) for c, s in enumerate(specs)]
+        parts = [p for p in stream.parts if p["tile"] == t]
+        if not parts:
+            if strict:
+                raise CodestreamError("UnexpectedEndOfCodestream")
+            repairs.append(repair("TileMissing", tile=t))
+        main = style.order()
+        order = packets.packet_order(tree, [(s["dx"], s["dy"]) for s in specs], main.progression or 0, main.layers, rect[:2])
+        if not packets.read_packets(b"".join(data[p["start"] : p["end"]] for p in parts), tree, order, style):
             if strict:
+                raise CodestreamError("UnexpectedEndOfCodestream")
+            repairs.append(repair("PacketsRunPastTheirTile", tile=t))
+        out = cls(h, style, t, strict, repairs, tree)
+        out.jobs = [(k.rect[2] - k.rect[0], k.rect[3] - k.rect[1], band.name, max(band.planes - k.zero, 0), style.blocks(c).style, k.segments(style.blocks(c).style)) for c, band, k in out.blocks()]
+        return out
+
+    def blocks(self) -> Iterator[tuple[int, packets.Band, packets.Block]]:
+        for c, resolutions in enumerate(self.tree):
+            for res in resolutions:
+                for band in res.bands:
+                    for p in band.precincts:
+                        for k in p.blocks:
+                            if k.passes:
+                                yield c, band, k
+
+    def planes(self, found: Iterable[np.ndarray]) -> list[np.ndarray]:
+        """Planes of the tile's components before level shift, from the coefficients of its jobs."""
+        bands = {id(band): np.zeros((max(0, band.rect[3] - band.rect[1]), max(0, band.rect[2] - band.rect[0])), np.int64) for res in self.tree for r in res for band in r.bands}
+        damaged = set()
+        for (c, band, k), x in zip(self.blocks(), found, strict=True):
+            u0, v0, u1, v1 = k.rect
+            n, roi = band.planes - k.zero, self.style.shift(c)
+            if n <= 0 or n > blocks.MOST_PLANES or k.passes > 3 * n - 2:
+                damaged.add(c)
+            if roi:  # background coefficients are those below 2**roi
+                m = np.abs(x)
+                x = np.sign(x) * np.where(m >= 1 << roi, m >> roi, m)
+            bands[id(band)][v0 - band.rect[1] : v1 - band.rect[1], u0 - band.rect[0] : u1 - band.rect[0]] = x
+        planes = []
+        for c, s in enumerate(self.header["components"]):
+            b, q = self.style.blocks(c), self.style.steps(c)
+            if c in damaged:
+                if self.strict:
+                    raise CodestreamError("MalformedMarkerSegment")
+                self.repairs.append(repair("CodeBlockDamaged", tile=self.number, component=c))
+            levels = []
+            for res in self.tree[c]:
+                each = {}
+                for band in res.bands:
+                    out = bands[id(band)]
+                    if not b.reversible:
+                        step = np.float32(1) if q.style == 0 else np.float32(2.0 ** (s["depth"] + packets.GAIN[band.name] - band.exponent)) * (np.float32(1) + np.float32(band.mantissa) / np.float32(2048))
+                        out = out.astype(np.float32) * step
+                    each[band.name] = out
+                levels.append((res.rect, each))
+            planes.append(wavelet.synthesise(levels, b.reversible))
+        if self.style.order().mct and len(planes) >= 3:
+            kinds = {self.style.blocks(c).reversible for c in range(3)}
+            if len(kinds) > 1 or len({p.shape for p in planes[:3]}) > 1:
                 raise CodestreamError("MalformedMarkerSegment")
-            repairs.append(repair("CodeBlockDamaged", tile=t, component=c))
-        planes.append(wavelet.synthesise(levels, b.reversible))
-    if main.mct and len(planes) >= 3:
-        kinds = {style.blocks(c).reversible for c in range(3)}
-        if len(kinds) > 1 or len({p.shape for p in planes[:3]}) > 1:
-            raise CodestreamError("MalformedMarkerSegment")
-        planes[:3] = (inverse_rct if kinds.pop() else inverse_ict)(*planes[:3])
-    return planes
+            planes[:3] = (inverse_rct if kinds.pop() else inverse_ict)(*planes[:3])
+        return planes
+
+
+def decode_jobs(jobs: list[tuple]) -> list[np.ndarray]:
+    """Coefficients of all jobs: shapes that occur often in lanes, the others one by one."""
+    often: dict[tuple, list[int]] = {}
+    for i, j in enumerate(jobs):
+        often.setdefault((j[0], j[1], j[4]), []).append(i)
+    at = [i for every in often.values() if len(every) >= MANY for i in every]
+    out = dict(zip(at, lanes.decode_blocks([jobs[i] for i in at]), strict=True))
+    return [out[i] if i in out else blocks.decode(*j) for i, j in enumerate(jobs)]
+
+
+class File:
+    """A file on its way: opened, with its tiles' jobs, and then finished. Errors end it and are kept."""
+
+    def __init__(self, data: bytes, permissive: bool, max_samples: int, max_coefficients: int, tiles: list[int] | None) -> None:
+        self.out: dict = {"width": None, "height": None, "components": None, "repairs": [], "error": None, "colour_space": None, "channel_definitions": [], "palette": [], "component_map": []}
+        self.tiles: list[Tile] = []
+        try:
+            where = headers.container(data or b"")
+            self.out |= {k: where[k] for k in ("colour_space", "channel_definitions", "palette", "component_map")}
+            if where["start"] is None:
+                raise CodestreamError("NotACodestream")
+            s = headers.parse(data, where["start"], where["end"], permissive)
+            h = self.header = s.header
+            specs = h["components"]
+            self.rects = [(-(-h["x0"] // c["dx"]), -(-h["y0"] // c["dy"]), -(-h["x1"] // c["dx"]), -(-h["y1"] // c["dy"])) for c in specs]
+            if sum((r[2] - r[0]) * (r[3] - r[1]) for r in self.rects) > max_samples:
+                raise CodestreamError("TooLarge")
+            if any(r[2] <= r[0] or r[3] <= r[1] for r in self.rects):
+                raise CodestreamError("EmptyImage")
+            self.out |= {"width": h["x1"] - h["x0"], "height": h["y1"] - h["y0"], "repairs": s.repairs}
+            for t in range(h["tiles_wide"] * h["tiles_high"]) if tiles is None else tiles:
+                rect = tile_rect(h, t)
+                if rect[2] > rect[0] and rect[3] > rect[1]:
+                    self.tiles.append(Tile.open(data, s, t, not permissive, max_coefficients, s.repairs))
+        except (CodestreamError, *DAMAGE) as e:
+            self.fail(e)
+
+    def fail(self, e: Exception) -> None:
+        self.out |= {"error": error(e), "components": None}
+        self.tiles = []
+
+    def pieces(self, found: Iterator[np.ndarray]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(component, x, y, finished plane) of every tile, with places in the image's components."""
+        for tile in self.tiles:
+            rect = tile_rect(self.header, tile.number)
+            for c, (spec, plane) in enumerate(zip(self.header["components"], tile.planes([next(found) for _ in tile.jobs]), strict=True)):
+                x, y = -(-rect[0] // spec["dx"]) - self.rects[c][0], -(-rect[1] // spec["dy"]) - self.rects[c][1]
+                yield c, x, y, finish(plane, spec["depth"], spec["signed"])
+
+    def image(self, found: list[np.ndarray]) -> dict:
+        """The whole image; tiles that were not asked for are mid-grey."""
+        if not self.out["error"]:
+            try:
+                specs = self.header["components"]
+                planes = [np.full((r[3] - r[1], r[2] - r[0]), 0 if c["signed"] else 1 << (c["depth"] - 1), np.int32) for r, c in zip(self.rects, specs, strict=True)]
+                for c, x, y, p in self.pieces(iter(found)):
+                    planes[c][y : y + p.shape[0], x : x + p.shape[1]] = p
+                self.out["components"] = [{"width": p.shape[1], "height": p.shape[0], **{k: c[k] for k in ("dx", "dy", "depth", "signed")}, "samples": p.ravel()} for p, c in zip(planes, specs, strict=True)]
+            except (CodestreamError, *DAMAGE) as e:
+                self.fail(e)
+        return self.out
+
+    def parts(self, found: list[np.ndarray]) -> dict:
+        """The asked tiles' planes alone."""
+        if not self.out["error"]:
+            try:
+                self.out["planes"] = [{"component": c, "x": x, "y": y, "width": p.shape[1], "height": p.shape[0], "samples": p.ravel().astype(np.int32)} for c, x, y, p in self.pieces(iter(found))]
+            except (CodestreamError, *DAMAGE) as e:
+                self.fail(e)
+        return {"planes": None, **self.out}
+
+
+def decode_files(every: Iterable[tuple[bytes | None, list[int] | None]], permissive: bool = False, max_samples: int = headers.MAX_SAMPLES, max_coefficients: int = headers.MAX_COEFFICIENTS, whole: bool = True) -> Iterator[dict]:
+    """Each file's components (or, unless ``whole``, planes of the asked tiles), repairs and error (None if it could be
+    decoded), from (bytes, tiles asked for). Files are opened and decoded in groups of bounded size. Never raises on
+    bad bytes."""
+    files: list[File] = []
+
+    def done() -> Iterator[dict]:
+        found = decode_jobs([j for f in files for t in f.tiles for j in t.jobs])
+        at = 0
+        for f in files:
+            n = sum(len(t.jobs) for t in f.tiles)
+            yield (f.image if whole else f.parts)(found[at : at + n])
+            at += n
+
+    size = 0
+    for data, tiles in every:
+        files.append(f := File(data or b"", permissive, max_samples, max_coefficients, tiles))
+        size += sum(j[0] * j[1] for t in f.tiles for j in t.jobs) + 1024
+        if size > TOGETHER:
+            yield from done()
+            files, size = [], 0
+    yield from done()
 
 
 def decode_file(data: bytes, permissive: bool = False, max_samples: int = headers.MAX_SAMPLES, max_coefficients: int = headers.MAX_COEFFICIENTS, tiles: list[int] | None = None) -> dict:
-    """A file's components, repairs and error (None if it could be decoded). Never raises on bad bytes."""
-    out: dict = {"width": None, "height": None, "components": None, "repairs": [], "error": None, "colour_space": None, "channel_definitions": [], "palette": [], "component_map": []}
-    try:
-        where = headers.container(data or b"")
-        out |= {k: where[k] for k in ("colour_space", "channel_definitions", "palette", "component_map")}
-        if where["start"] is None:
-            raise CodestreamError("NotACodestream")
-        s = headers.parse(data, where["start"], where["end"], permissive)
-        h = s.header
-        specs = h["components"]
-        rects = [(-(-h["x0"] // c["dx"]), -(-h["y0"] // c["dy"]), -(-h["x1"] // c["dx"]), -(-h["y1"] // c["dy"])) for c in specs]
-        if sum((r[2] - r[0]) * (r[3] - r[1]) for r in rects) > max_samples:
-            raise CodestreamError("TooLarge")
-        if any(r[2] <= r[0] or r[3] <= r[1] for r in rects):
-            raise CodestreamError("EmptyImage")
-        out |= {"width": h["x1"] - h["x0"], "height": h["y1"] - h["y0"], "repairs": s.repairs}
-        image = [np.full((r[3] - r[1], r[2] - r[0]), 0 if c["signed"] else 1 << (c["depth"] - 1), np.int64) for r, c in zip(rects, specs, strict=True)]
-        for t in range(h["tiles_wide"] * h["tiles_high"]) if tiles is None else tiles:
-            rect = tile_rect(h, t)
-            if rect[2] <= rect[0] or rect[3] <= rect[1]:
-                continue
-            for c, (spec, plane) in enumerate(zip(specs, decode_tile(data, s, t, not permissive, max_coefficients, s.repairs), strict=True)):
-                x, y = -(-rect[0] // spec["dx"]) - rects[c][0], -(-rect[1] // spec["dy"]) - rects[c][1]
-                image[c][y : y + plane.shape[0], x : x + plane.shape[1]] = finish(plane, spec["depth"], spec["signed"])
-        out["components"] = [{"width": p.shape[1], "height": p.shape[0], **{k: c[k] for k in ("dx", "dy", "depth", "signed")}, "samples": p.ravel().tolist()} for p, c in zip(image, specs, strict=True)]
-    except CodestreamError as e:
-        out["error"] = {"offset": e.offset, "kind": e.kind, "value": e.value, "message": str(e)}
-    except (IndexError, ValueError, OverflowError, MemoryError, KeyError, AttributeError) as e:  # damage that no rule names
-        out["error"] = {"offset": 0, "kind": "Damaged", "value": None, "message": f"{type(e).__name__}: {e}"}
-    return out
+    return next(decode_files([(data, tiles)], permissive, max_samples, max_coefficients))
 
 
 def export_raster(components: list[dict], width: int, height: int, raw: bool = False) -> bytes:
@@ -135,23 +251,3 @@ def export_raster(components: list[dict], width: int, height: int, raw: bool = F
     planes = planes if raw else planes[:3] if len(planes) >= 3 else planes[:1]
     body = np.stack(planes, -1).astype(np.uint8).tobytes()
     return body if raw else f"P{6 if len(planes) == 3 else 5}\n{width} {height}\n255\n".encode() + body
-
-
-def decode_tile_planes(data: bytes, t: int, permissive: bool) -> dict:
-    """One tile's finished planes with their places in the image's components."""
-    out: dict = {"planes": None, "repairs": [], "error": None}
-    try:
-        where = headers.container(data)
-        s = headers.parse(data, where["start"] or 0, where["end"] or len(data), permissive)
-        h, rect = s.header, tile_rect(s.header, t)
-        planes = []
-        if rect[2] > rect[0] and rect[3] > rect[1]:
-            for c, (spec, p) in enumerate(zip(h["components"], decode_tile(data, s, t, not permissive, headers.MAX_COEFFICIENTS, out["repairs"]), strict=True)):
-                x, y = -(-rect[0] // spec["dx"]) - -(-h["x0"] // spec["dx"]), -(-rect[1] // spec["dy"]) - -(-h["y0"] // spec["dy"])
-                planes.append({"component": c, "x": x, "y": y, "width": p.shape[1], "height": p.shape[0], "samples": finish(p, spec["depth"], spec["signed"]).ravel().tolist()})
-        out["planes"] = planes
-    except CodestreamError as e:
-        out["error"] = {"offset": e.offset, "kind": e.kind, "value": e.value, "message": str(e)}
-    except (IndexError, ValueError, OverflowError, MemoryError, KeyError, AttributeError) as e:
-        out["error"] = {"offset": 0, "kind": "Damaged", "value": None, "message": f"{type(e).__name__}: {e}"}
-    return out

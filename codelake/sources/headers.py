@@ -99,9 +99,6 @@ def container(data: bytes) -> dict:
     return out
 
 
-_STREAM = re.compile(rb"/Filter\s*\[?\s*/JPXDecode.*?stream\r?\n", re.S)
-
-
 def pdf_image_streams(data: bytes) -> list[bytes]:
     """The wavelet-coded image streams embedded in a document file, by /Length or up to endstream."""
     out = []
@@ -278,6 +275,7 @@ class Codestream:
     parts: list[dict] = field(default_factory=list)
     repairs: list[dict] = field(default_factory=list)
     markers: list[dict] = field(default_factory=list)
+    body: int = 0  # where the main header ends
 
 
 def _segments(out: Codestream, style: Style, data: bytes, at: int, stop: int, ends: tuple[int, ...], permissive: bool, n: int) -> int:
@@ -321,6 +319,7 @@ def parse(data: bytes, start: int, stop: int, permissive: bool = False) -> Codes
     if h["tiles_wide"] * h["tiles_high"] > MAX_TILES or h["tiles_wide"] * h["tiles_high"] * n > 1 << 20:
         raise CodestreamError("TooLarge", at)
     at = _segments(out, out.style, data, at + 2 + size, stop, (SOT, EOC), permissive, n)
+    out.body = at
     if not permissive and (out.style.cod is None or out.style.qcd is None):
         raise CodestreamError("MissingCodingStyle", at)
     ended, declared, found = False, {}, {}
