@@ -6,10 +6,11 @@ are compared.
 
 The top of the tree is shared out over the cluster. The coordinates are dealt into blocks; sets of J >= t differ in at
 most d = (a + b)(1 - t)/(1 + t) shingles, so with d + s blocks they have equal sub-vectors in at least s. A cell is
-one block of one size band with one sub-vector that is not empty (a rectangle that is a point in these coordinates).
-If all equal blocks are empty, both sets have s empty ones or more; such sets are dealt into blocks again by another
-hash, up to eight times, and only what is left then (about the eighth power of a small share) goes to one cell. Below,
-each cell that still holds more than one component is bulk-loaded into an R-tree over 256 coordinates and searched.
+one block of one size band with one sub-vector of two shingles or more (a rectangle that is a point in these
+coordinates; a single shingle may be a common one). If all equal blocks hold less, both sets have s such blocks or more;
+these sets are dealt into blocks again by another hash, up to eight times, and only what is left then (about the eighth
+power of a small share) goes to one cell. Below, each cell that still holds more than one component is bulk-loaded into
+an R-tree and searched; its coordinates are so many that unrelated sets of any size fail the bound.
 """
 
 from __future__ import annotations
@@ -28,42 +29,48 @@ from codelake.llm.textkit import U, mix, shingle_sets, slices
 from codelake.session import ship
 
 GROUP_BITS = 24  # groups behind the blocks: many more than blocks, so that a block of one shingle is not a common one
-COORDINATES = 256  # coordinates of the trees in the cells
+COORDINATES = 256  # least coordinates of the trees in the cells
 LAYOUTS = 8
+WAITING = 200_000  # pairs that a task holds back to name them once
+TOGETHER = 20_000  # rows of cells with the same smallest point that go to one task
 CELL = 2048  # points of one tree; larger cells are searched as pairs of chunks
 LEAF = 16
 
 
-def bands(percent: int, most: int) -> list[tuple[int, int, int]]:
-    """(first size, blocks, spare) of each size band up to size ``most``; J >= percent/100 pairs lie in one band or in
-    two neighbours, and differ in at most blocks - spare shingles if the smaller one is in the band. There are enough
-    spare blocks that few sets of the band have as many empty ones, where sets are large enough for that."""
+def bands(percent: int, most: int) -> list[tuple[int, int, int, int]]:
+    """(first size, blocks, spare, least) of each size band up to size ``most``; J >= percent/100 pairs lie in one band or
+    in two neighbours, and differ in at most blocks - spare shingles if the smaller one is in the band. Blocks of fewer
+    than ``least`` shingles have no cell; there are so many spare ones that few sets of the band have as many of these,
+    where sets are large enough for that."""
     out, first = [], 1
     while first <= most:
         after = first * 100 // percent + 1
         a = after - 1
         b = a * 100 // percent
         d = (a + b) * (100 - percent) // (100 + percent)
-        spare = 2
-        for s in range(2, 10 + d):
-            empty = (d + s) * np.exp(-first / (d + s))
-            if s >= empty + 2 * empty**0.5 + 1:
-                spare = s
+        found = (2, 1)
+        for least in (2, 1) if d else ():
+            spare = np.arange(2, 10 + d)
+            each = first / (d + spare)
+            poor = (d + spare) * np.exp(-each) * (1 + each if least == 2 else 1)
+            enough = np.flatnonzero(spare >= poor + 1.5 * poor**0.5)
+            if len(enough):
+                found = int(spare[enough[0]]), least
                 break
-        out.append((first, d + spare, spare if d else 2))
+        out.append((first, d + found[0], *found))
         first = after
     return out
 
 
 def cells(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, cell) for all cells of every set: the sub-vectors that are not empty, in the set's own band's
-    layout and in the one below. Sets with as many empty blocks as the band has spare ones have cells in the next
+    """(index of the set, cell) for all cells of every set: the sub-vectors of enough shingles, in the set's own band's
+    layout and in the one below. Sets with as many other blocks as the band has spare ones have cells in the next
     layout too, and after the last one the cell of such sets."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     if not len(sets) or not size.max():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     layout = bands(percent, int(size.max()))
-    first, blocks, spare = (np.array(x) for x in zip(*layout, strict=True))
+    first, blocks, spare, least = (np.array(x) for x in zip(*layout, strict=True))
     band = np.searchsorted(first, size, "right") - 1
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), size)
@@ -73,7 +80,8 @@ def cells(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]
     for lower in (0, 1):
         k = band - lower
         n = np.where((size > 0) & (k >= 0), blocks[np.maximum(k, 0)], 0)
-        open_ = n > spare[np.maximum(k, 0)]  # with d = 0 only equal sets are alike, and those are one point already
+        room, few = spare[np.maximum(k, 0)], least[np.maximum(k, 0)]
+        open_ = n > room  # with d = 0 only equal sets are alike, and those are one point already
         for turn in range(LAYOUTS):
             if not open_.any():
                 break
@@ -84,22 +92,35 @@ def cells(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]
             spread = mix(group[inside] + U(turn << 32)) >> U(20)
             key = begin[who] + (spread % own[who].astype(U)).astype(np.int64)
             total = np.bincount(key, weight[inside], begin[-1])
-            full = np.flatnonzero(np.bincount(key, minlength=begin[-1]))
-            of = np.repeat(np.arange(len(sets)), own)[full]
+            of = np.repeat(np.arange(len(sets)), own)
+            full = np.flatnonzero(np.bincount(key, minlength=begin[-1]) >= few[of])
+            of = of[full]
             block = full - begin[of]
             at.append(of)
             out.append(mix(total[full].astype(U) ^ mix(((turn << 56) + block * 4096 + k[of]).astype(U))))
-            open_ &= own - np.bincount(of, minlength=len(sets)) >= spare[np.maximum(k, 0)]
+            open_ &= own - np.bincount(of, minlength=len(sets)) >= room
         at.append(np.flatnonzero(open_))
         out.append(mix((k[open_] + (1 << 40)).astype(U)))
     return np.concatenate(at), np.concatenate(out).view(np.int64)
 
 
 def fine(size: int) -> int:
-    """Coordinates of the vector that bounds pairs of sets of about this size: at most eight shingles in each."""
+    """Coordinates of the vector of sets of about this size: at most eight shingles in each, so that the bound tells
+    unrelated sets apart."""
     return max(COORDINATES, 1 << int(max(size - 1, 1) // 8).bit_length())
 
 
+def folded(vecs: list[bytes], coordinates: int) -> np.ndarray:
+    """Vectors of ``coordinates`` numbers, one a row, from vectors as long or longer. 255 stands for 255 and more."""
+    out = np.empty((len(vecs), coordinates), np.uint8)
+    size = np.fromiter(map(len, vecs), np.int64, len(vecs))
+    for n in np.unique(size).tolist():
+        at = np.flatnonzero(size == n)
+        x = np.frombuffer(b"".join([vecs[i] for i in at]), np.uint8).reshape(len(at), n // coordinates, coordinates)
+        out[at] = x[:, 0] if n == coordinates else np.where((x == 255).any(1), 255, np.minimum(x.sum(1, dtype=np.int64), 255))
+    return out
+
+
 def counted(tokens: np.ndarray, coordinates: int) -> bytes:
     """Group counts, where the coordinates of a shorter vector are sums of those of a longer one (below 255)."""
     return np.minimum(np.bincount((tokens >> U(30)).astype(np.int64) % coordinates, minlength=coordinates), 255).astype(np.uint8).tobytes()
@@ -147,14 +168,14 @@ def _cells(k: int, percent: int):
 
 def _members(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "n", "vec", "fine", "tokens"]
+        names = ["k1", "k2", "n", "vec", "tokens"]
         for b in batches:
             texts = b.column(1).to_pylist()
             for s in slices(texts):
                 sets = shingle_sets(texts[s], k)
                 k1, k2 = set_keys(sets)
-                vec, more = ([counted(x, c or fine(len(x))) for x in sets] for c in (COORDINATES, 0))
-                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array([len(x) for x in sets], pa.int64()), pa.array(vec, pa.binary()), pa.array(more, pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names)
+                vec = [counted(x, fine(len(x))) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array([len(x) for x in sets], pa.int64()), pa.array(vec, pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names)
 
     return run
 
@@ -165,7 +186,7 @@ def needed(a: int, b: int, percent: int) -> int:
 
 
 def bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (ra, na, fa, rb, nb, fb), the pairs (ra, rb) that the overlap bound allows."""
+    """Of rows (ra, na, va, rb, nb, vb), the pairs (ra, rb) that the overlap bound allows."""
     for batch in batches:
         na, nb = batch.column(1).to_numpy(), batch.column(4).to_numpy()
         least = -(-percent * (na + nb) // (100 + percent))
@@ -177,8 +198,7 @@ def bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             step = max((1 << 22) // int(pair.max()), 1)
             for c in range(0, len(every), step):
                 at = every[c : c + step]
-                a, b = (np.frombuffer(b"".join([side[i] for i in at]), np.uint8).reshape(len(at), -1, int(pair.min())) for side in sides)
-                a, b = (np.where((x == 255).any(1), 255, np.minimum(x.sum(1, dtype=np.int64), 255)).astype(np.uint8) for x in (a, b))
+                a, b = (folded([side[i] for i in at], int(pair.min())) for side in sides)
                 keep[at] = overlap_bound(a, b) >= least[at]
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(3).filter(pa.array(keep))], ["ra", "rb"])
 
@@ -232,33 +252,41 @@ def tree_pairs(vecs: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _search(percent: int):
-    """Searches cell after cell of rows (cell, _i, _j, _mine, k1, n, part, vec) sorted by cell, _i, _j."""
+    """Searches cell after cell of rows (cell, _i, _j, _mine, k1, n, part, vec) that stand together by cell, _i, _j. Pairs
+    of one group of copies meet in many cells, most of them in the same task: it names them once."""
 
-    def pairs(t: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+    def pairs(t: pa.Table, ends: np.ndarray) -> Iterator[np.ndarray]:
         mine, key, n, part = (t.column(c).to_numpy() for c in ("_mine", "k1", "n", "part"))
         two = t.column("_i").to_numpy() != t.column("_j").to_numpy()
-        vecs = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        found = []
+        bufs = t.column("vec").to_pylist()
         size = np.diff(ends)
-        for m in np.unique(size[(size > 1) & (size <= 8)]):  # many small cells at once
-            i, j = np.triu_indices(m, 1)
-            begin = ends[:-1][size == m]
-            x, y = (begin[:, None] + i).ravel(), (begin[:, None] + j).ravel()
-            for c in range(0, len(x), 20_000):
-                p, q = x[c : c + 20_000], y[c : c + 20_000]
-                q, p = q[part[p] != part[q]], p[part[p] != part[q]]
-                ok = overlap_bound(vecs[p], vecs[q]) >= -(-percent * (n[p] + n[q]) // (100 + percent))
-                found.append(np.stack([p[ok], q[ok]], 1))
-        for a, b in zip(ends[:-1][size > 8].tolist(), ends[1:][size > 8].tolist(), strict=True):
-            found.append(a + tree_pairs(vecs[a:b], n[a:b], percent))
-        got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        p, q = got[:, 0], got[:, 1]
-        ok = (part[p] != part[q]) & (~two[p] | (mine[p] != mine[q]))
-        x, y = key[p[ok]], key[q[ok]]
-        once = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = np.minimum.reduceat(np.fromiter(map(len, bufs), np.int64, len(bufs)), ends[:-1])  # of each cell, what all its vectors have
+        for w in np.unique(wide).tolist():
+            rows = np.flatnonzero(np.repeat(wide == w, size))
+            cell = np.flatnonzero(wide == w)
+            first = np.concatenate([[0], np.cumsum(size[cell])])
+            vecs, m_, n_, part_ = folded([bufs[i] for i in rows], w), mine[rows], n[rows], part[rows]
+            found = []
+            for m in np.unique(size[cell][(size[cell] > 1) & (size[cell] <= 8)]):  # many small cells at once
+                i, j = np.triu_indices(m, 1)
+                begin = first[:-1][size[cell] == m]
+                x, y = (begin[:, None] + i).ravel(), (begin[:, None] + j).ravel()
+                step = max((1 << 22) // w, 1)
+                for c in range(0, len(x), step):
+                    p, q = x[c : c + step], y[c : c + step]
+                    q, p = q[part_[p] != part_[q]], p[part_[p] != part_[q]]
+                    ok = overlap_bound(vecs[p], vecs[q]) >= -(-percent * (n_[p] + n_[q]) // (100 + percent))
+                    found.append(np.stack([p[ok], q[ok]], 1))
+            large = size[cell] > 8
+            for a, b in zip(first[:-1][large].tolist(), first[1:][large].tolist(), strict=True):
+                found.append(a + tree_pairs(vecs[a:b], n_[a:b], percent))
+            got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            p, q = got[:, 0], got[:, 1]
+            ok = (part_[p] != part_[q]) & (~two[rows][p] | (m_[p] != m_[q]))
+            x, y = key[rows][p[ok]], key[rows][q[ok]]
+            yield np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+
+    def cells_in(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         rest: pa.Table | None = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -266,11 +294,23 @@ def _search(percent: int):
             name = np.stack([t.column(c).to_numpy() for c in ("cell", "_i", "_j")], 1)
             cut = np.flatnonzero((name[1:] != name[:-1]).any(1)) + 1
             if len(cut):
-                yield pairs(t.slice(0, cut[-1]), np.concatenate([[0], cut]))
+                yield from pairs(t.slice(0, cut[-1]), np.concatenate([[0], cut]))
                 t = t.slice(cut[-1])
             rest = t
         if rest is not None and rest.num_rows:
-            yield pairs(rest, np.array([0, rest.num_rows]))
+            yield from pairs(rest, np.array([0, rest.num_rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 2), np.int64)
+        for found in cells_in(batches):
+            held = np.concatenate([held, found])
+            if len(held) > WAITING:
+                held = np.unique(held, axis=0)
+                if len(held) > WAITING // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], ["a", "b"])
+                    held = held[:0]
+        held = np.unique(held, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], ["a", "b"])
 
     return run
 
@@ -312,15 +352,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         """Columns of ``_members`` and rep of the sets (k1, k2, rep), once each, from their own documents."""
         ids = sets.select(F.col("rep").alias("doc_id")).distinct()
         ids = F.broadcast(ids) if sets.count() <= BROADCAST_ROWS else ids
-        rows = src.join(ids, "doc_id", "left_semi").mapInArrow(_members(k), "k1 long, k2 long, n long, vec binary, fine binary, tokens binary")
+        rows = src.join(ids, "doc_id", "left_semi").mapInArrow(_members(k), "k1 long, k2 long, n long, vec binary, tokens binary")
         found = written(rows.select("k1", "k2", *columns).join(sets.select("k1", "k2", "rep"), ["k1", "k2"]), name)
         return found if found.count() == sets.count() else written(found.dropDuplicates(["rep", "k1", "k2"]), name)  # repeated rows
 
-    members = drawn(wanted, ["n", "vec", "fine"], "members")
+    members = drawn(wanted, ["n", "vec"], "members")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (members.select(F.col("k1").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}")) for x in "ab")
-        near = pairs.join(left, "a").join(right, "b").select("ra", "na", "fa", "rb", "nb", "fb")
+        left, right = (members.select(F.col("k1").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("vec").alias(f"v{x}")) for x in "ab")
+        near = pairs.join(left, "a").join(right, "b").select("ra", "na", "va", "rb", "nb", "vb")
         near = written(near.mapInArrow(lambda it: bounded(it, percent), "ra long, rb long"), "near")
         reps_of = near.select(F.col("ra").alias("rep")).union(near.select("rb")).distinct()
         whole = drawn(written(wanted.join(reps_of, "rep", "left_semi"), "near-sets"), ["tokens"], "tokens")
@@ -333,16 +373,19 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     named = members.select("k1", "rep", "n", "vec").join(label, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep")).select("k1", "rep", "n", "vec", "part")
     named = written(named, "named")
     light = held.join(named.select("k1", "part"), "k1")
-    split = light.groupBy("cell").agg(F.min("part").alias("_x"), F.max("part").alias("_y"), F.count(F.lit(1)).alias("_m")).where("_x <> _y").select("cell", F.ceil(F.col("_m") / CELL).cast("int").alias("_parts"))
-    rows = held.select("cell", "k1").join(split, "cell").join(named, "k1")
+    split = light.groupBy("cell").agg(F.min("lead").alias("lead"), F.min("part").alias("_x"), F.max("part").alias("_y"), F.count(F.lit(1)).alias("_m")).where("_x <> _y")
+    split = written(split.select("cell", "lead", "_m", F.ceil(F.col("_m") / CELL).cast("int").alias("_parts")), "split")
+    tasks = split.groupBy("lead").agg(F.ceil(F.sum(F.col("_m") * F.col("_parts")) / TOGETHER).alias("_tasks"))
+    rows = held.select("cell", "k1").join(split.join(tasks, "lead"), "cell").join(named, "k1")
     rows = rows.withColumn("_mine", F.pmod(F.xxhash64("k1"), F.col("_parts")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    rows = rows.select("cell", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "k1", "n", "part", "vec")
-    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell", "_i", "_j").sortWithinPartitions("cell", "_i", "_j")
+    rows = rows.select("cell", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "k1", "n", "part", "vec", "lead", "_tasks")
+    rows = rows.withColumn("_task", F.pmod(F.xxhash64("cell", "_i", "_j"), F.col("_tasks")))
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lead", "_task").sortWithinPartitions("lead", "_task", "cell", "_i", "_j").drop("lead", "_task", "_tasks")
     across = rows.mapInArrow(_search(percent), "a long, b long").distinct()
     more = written(verify(across.join(stars, ["a", "b"], "left_anti")), "links")
     final = components(reduce(DataFrame.unionByName, [sure, more])) if more.limit(1).count() else label
-    for t in (held, stars, members, named):
+    for t in (held, stars, members, named, split):
         forget(t)
     set_label = reps.join(final, F.col("rep") == F.col("node")).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("component"))
     copies = reps.select(F.col("k1").alias("_r1"), F.col("k2").alias("_r2"), "rep")

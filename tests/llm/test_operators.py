@@ -115,7 +115,7 @@ def test_tree_search_and_bands():
                 layout = jaccard.bands(t, 200)
                 first = [x[0] for x in layout]
                 i, j = (np.searchsorted(first, x, "right") - 1 for x in (a, b))
-                assert j - i in (0, 1) and a + b - 2 * least <= layout[i][1] - layout[i][2] and layout[i][2] >= 2
+                assert j - i in (0, 1) and a + b - 2 * least <= layout[i][1] - layout[i][2] and layout[i][2] >= 2 and layout[i][3] in (1, 2)
 
 
 @pytest.mark.parametrize("size", [5, 9, 14, 30, 100, 200, 800, 1600, 6000, 18_000])
@@ -138,6 +138,17 @@ def test_cells(size, percent):
                 assert set(cell[at == i]) & set(near_cell[near_at == i])
 
 
+def test_a_common_line_does_not_make_a_common_cell():
+    """400 unrelated sets of 400 shingles, seven of them shared by all."""
+    r = np.random.default_rng(8)
+    new = lambda n: r.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+    shared = new(7)
+    sets = [np.unique(np.concatenate([shared, new(393)])) for _ in range(400)]
+    at, cell = jaccard.cells(sets, 80)
+    _, most = np.unique(np.unique(np.stack([cell, at]), axis=1)[0], return_counts=True)
+    assert np.sort(most)[-2] <= 40 and most.max() <= 60
+
+
 def test_bounds_keep_all_linked_pairs():
     import pyarrow as pa
 
