@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from codelake.llm.components import components
 from codelake.llm.store import BROADCAST_ROWS, forget, written
-from codelake.llm.textkit import U, mix, shingle_sets, slices
+from codelake.llm.textkit import U, mix, returning_memory, shingle_sets, slices
 from codelake.session import ship
 
 GROUP_BITS = 24  # groups behind the blocks: many more than blocks, so that a block of one shingle is not a common one
@@ -335,12 +335,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     """
     ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    points = written(src.mapInArrow(_points(k, id_col, text_col), "doc_id long, n long, k1 long, k2 long"), "points")
+    points = written(src.mapInArrow(returning_memory(_points(k, id_col, text_col)), "doc_id long, n long, k1 long, k2 long"), "points")
     reps = written(points.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
 
     one = reps.select(F.col("rep").alias("doc_id"))
     one = F.broadcast(one) if reps.count() <= BROADCAST_ROWS else one
-    every = src.join(one, "doc_id", "left_semi").mapInArrow(_cells(k, percent), "cell long, k1 long")
+    every = src.join(one, "doc_id", "left_semi").mapInArrow(returning_memory(_cells(k, percent)), "cell long, k1 long")
     whole = Window.partitionBy("cell")
     every = every.withColumn("lead", F.min("k1").over(whole)).withColumn("_last", F.max("k1").over(whole))
     held = written(every.where("lead <> _last").select("cell", "k1", "lead").distinct(), "held")
@@ -352,7 +352,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         """Columns of ``_members`` and rep of the sets (k1, k2, rep), once each, from their own documents."""
         ids = sets.select(F.col("rep").alias("doc_id")).distinct()
         ids = F.broadcast(ids) if sets.count() <= BROADCAST_ROWS else ids
-        rows = src.join(ids, "doc_id", "left_semi").mapInArrow(_members(k), "k1 long, k2 long, n long, vec binary, tokens binary")
+        rows = src.join(ids, "doc_id", "left_semi").mapInArrow(returning_memory(_members(k)), "k1 long, k2 long, n long, vec binary, tokens binary")
         found = written(rows.select("k1", "k2", *columns).join(sets.select("k1", "k2", "rep"), ["k1", "k2"]), name)
         return found if found.count() == sets.count() else written(found.dropDuplicates(["rep", "k1", "k2"]), name)  # repeated rows
 
@@ -382,7 +382,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     rows = rows.select("cell", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "k1", "n", "part", "vec", "lead", "_tasks")
     rows = rows.withColumn("_task", F.pmod(F.xxhash64("cell", "_i", "_j"), F.col("_tasks")))
     rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lead", "_task").sortWithinPartitions("lead", "_task", "cell", "_i", "_j").drop("lead", "_task", "_tasks")
-    across = rows.mapInArrow(_search(percent), "a long, b long").distinct()
+    across = rows.mapInArrow(returning_memory(_search(percent)), "a long, b long").distinct()
     more = written(verify(across.join(stars, ["a", "b"], "left_anti")), "links")
     final = components(reduce(DataFrame.unionByName, [sure, more])) if more.limit(1).count() else label
     for t in (held, stars, members, named, split):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake.llm.store import BROADCAST_ROWS, forget, written
-from codelake.llm.textkit import U, mix, slices
+from codelake.llm.textkit import U, mix, returning_memory, slices
 from codelake.session import ship
 
 ORDER = 5  # 4 to 6: an n-gram is packed in two longs, 21 bits a code point
@@ -103,7 +103,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first = order[run]
                 held.append((key[first], *packed(points, at[first]), m if f == 1 else none, m if f == 2 else none, m))
                 waiting += len(first)
-                if waiting > max(2 * done, 1_000_000):
+                if waiting > max(2 * done, 600_000):
                     held = [merged()]
                     waiting = done = len(held[0][0])
                     if done > TASK_KEYS:
@@ -252,7 +252,7 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     fold = F.when(F.col("_tid").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("text"), F.lit(2))).cast("int")
     rows = docs.join(ids, F.col("doc_id") == F.col("_tid"), "left").select("doc_id", "lang", "text", fold.alias("fold"), F.xxhash64("text").alias("text_hash"))
-    counts = rows.select("text", "fold").mapInArrow(_counts, "hi long, lo long, n1 long, n2 long, m long")
+    counts = rows.select("text", "fold").mapInArrow(returning_memory(_counts), "hi long, lo long, n1 long, n2 long, m long")
     counts = written(counts.groupBy("hi", "lo").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "m"))), "grams")
     costs = written(kneser_ney(counts), "costs")
     least, size = 0, 0
@@ -263,7 +263,7 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
         size += r["c"]
     table = costs.where(F.col("m") >= least).select("hi", "lo", "cost", "cost1", "cost2").toArrow()
     hot = spark.sparkContext.broadcast(Costs(*(table.column(c).to_numpy() for c in table.column_names)))
-    out = written(rows.mapInArrow(_score(hot), ", ".join(f"{f} {kind}" for f, kind in SCORE)), "scores")
+    out = written(rows.mapInArrow(returning_memory(_score(hot)), ", ".join(f"{f} {kind}" for f, kind in SCORE)), "scores")
     found = out.where("hi is null").select("row", "doc_id", "lang", "text_hash", "fold", "n_symbols", "cost")
     if least:
         other = costs.where(F.col("m") < least).select("hi", "lo", F.col("cost").alias("_cost"), "cost1", "cost2")

@@ -16,10 +16,13 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set (tests, one machine)."""
+    """The cluster's checkpoint folder. Only on one machine, where executors see the driver's files, a temporary folder
+    stands in for one that is not set; a cluster without one is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(f"{tempfile.gettempdir()}/codelake-checkpoints")
         found = sc.getCheckpointDir()
     return found.rstrip("/")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -97,3 +101,18 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, U))
     return out
+
+
+def returning_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A worker that is used again keeps what its allocators have freed; after each task this gives it back."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+            if trim:
+                trim(0)
+
+    return inner

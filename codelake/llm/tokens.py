@@ -20,14 +20,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelake.llm.store import new_path
+from codelake.llm.store import BROADCAST_ROWS, new_path
+from codelake.llm.textkit import returning_memory
 from codelake.session import ship
 
 MARK = b"CLRP1"
 STEP = 1024
 SHARD_TOKENS = 1 << 20
-GROUP_CHARS = 2_000_000  # texts encoded together
-ROUNDS, PAIRS, LEAST = 4, 1024, 64
+GROUP_CHARS = 4_000_000  # texts encoded together
+REMEMBERED = 1 << 19  # parts whose ids a worker remembers: some 30 MB
+PAIRS = 4096  # pairs that one round replaces at most; the next one takes the rest
 _SPACE, _LINE, _MARK, _LETTER = 1, 2, 3, 4
 _KIND = np.zeros(256, np.uint8)
 _KIND[0x20], _KIND[0x0A] = _SPACE, _LINE
@@ -43,55 +45,68 @@ _AFTER_BLANK, _BARE = r"\A [^\s\p{Z}\x{85}\v]+\z", r"\A[^\s\p{Z}\x{85}\v]+\z"
 _ODD = re.compile(r"\s (?:\s|\Z)")
 
 
-def repair(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): each round counts all neighbouring pairs and replaces the most frequent ones, at most
-    ``pairs`` of at least ``least`` occurrences, by new nonterminals, left to right without overlap."""
-    narrow = first + rounds * pairs <= 1 << 16  # then a pair fits in 32 bits, which sort twice as fast
+def repair(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): each round counts all neighbouring pairs and replaces the ``pairs`` most frequent ones by new
+    nonterminals, left to right without overlap. Rounds end when no pair is replaced often enough to pay for its rule:
+    ``least`` times, which is what a rule's twelve bytes hold of symbols. A rule that would make all symbols four bytes
+    wide instead of two never pays for that, so none is made then."""
+    narrow = first < 1 << 16  # a pair fits in 32 bits then, which sort twice as fast
     half = 16 if narrow else 32
+    least = least or 12 // (2 if narrow else 4) + 1
     seq = ids.astype(np.uint32 if narrow else np.uint64)
-    mask = seq.dtype.type((1 << half) - 1)
+    kind = seq.dtype.type
+    mask = kind((1 << half) - 1)
     rules = np.zeros((0, 2), np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        key = seq[:-1] << seq.dtype.type(half) | seq[1:]
+    while len(seq) >= max(least, 2):
+        room = min(pairs, (1 << 16) - first - len(rules)) if narrow else pairs
+        key = seq[:-1] << kind(half) | seq[1:]
         order = np.sort(key)
-        edge = np.flatnonzero(order[least - 1 :] == order[: len(order) - least + 1])  # only pairs of ``least`` occurrences have these
-        if not len(edge):
+        edge = order[np.flatnonzero(order[least - 1 :] == order[: len(order) - least + 1])]  # only pairs of ``least`` occurrences have these
+        if not len(edge) or room <= 0:
             break
-        often, spare = np.unique(order[edge], return_counts=True)
-        chosen = np.sort(often[np.argsort(-spare, kind="stable")[:pairs]])
-        left, right = np.zeros(1 << 16 if narrow else int(seq.max()) + 1, bool), np.zeros(1 << 16 if narrow else int(seq.max()) + 1, bool)
-        left[chosen >> seq.dtype.type(half)] = True
+        begin = np.flatnonzero(np.concatenate([[True], edge[1:] != edge[:-1]]))
+        often, spare = edge[begin], np.diff(np.append(begin, len(edge)))
+        chosen = np.sort(often[np.argsort(-spare, kind="stable")[:room]])
+        size = 1 << 16 if narrow else int(seq.max()) + 1
+        left, right = np.zeros(size, bool), np.zeros(size, bool)
+        left[chosen >> kind(half)] = True
         right[chosen & mask] = True
-        at = np.flatnonzero(left[seq[:-1]])
-        at = at[right[seq[at + 1]]]
-        lefts, row = np.unique(chosen >> seq.dtype.type(half), return_inverse=True)
-        rights, column = np.unique(chosen & mask, return_inverse=True)
-        grid = np.full(len(lefts) * len(rights), -1, np.int32)  # number of a chosen pair by its sides' numbers
-        grid[row * len(rights) + column] = np.arange(len(chosen))
-        left_no, right_no = np.zeros(len(left), np.int32), np.zeros(len(right), np.int32)
-        left_no[lefts], right_no[rights] = np.arange(len(lefts)) * len(rights), np.arange(len(rights))
-        rank = grid[left_no[seq[at]] + right_no[seq[at + 1]]]
-        hit = rank >= 0
+        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
+        rank = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
+        hit = chosen[rank] == key[at]
         at, rank = at[hit], rank[hit]
         start = np.concatenate([[True], at[1:] != at[:-1] + 1])
         run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
         at, rank = at[take], rank[take]
-        seq[at] = (first + len(rules) + rank).astype(seq.dtype)
+        pays = np.bincount(rank, minlength=len(chosen)) >= least
+        if not pays.any():
+            break
+        chosen, number = chosen[pays], np.cumsum(pays) - 1
+        at, rank = at[pays[rank]], number[rank[pays[rank]]]
+        seq[at] = (first + len(rules) + rank).astype(kind)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([chosen >> seq.dtype.type(half), chosen & mask], 1).astype(np.int64)])
+        rules = np.concatenate([rules, np.stack([chosen >> kind(half), chosen & mask], 1).astype(np.int64)])
     return seq, rules
 
 
+def _blocks(rules: np.ndarray, first: int) -> Iterator[slice]:
+    """Consecutive rules that are made of earlier blocks' symbols only."""
+    newest = np.maximum.accumulate(rules.max(1)) - first if len(rules) else np.zeros(0, np.int64)
+    i = 0
+    while i < len(rules):
+        j = max(int(np.searchsorted(newest, i)), i + 1)
+        yield slice(i, j)
+        i = j
+
+
 def _lengths(rules: np.ndarray, first: int) -> np.ndarray:
-    out = np.ones(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[i] = (out[a - first] if a >= first else 1) + (out[b - first] if b >= first else 1)
-    return out
+    out = np.ones(first + len(rules), np.int64)
+    for s in _blocks(rules, first):
+        out[first + s.start : first + s.stop] = out[rules[s]].sum(1)
+    return out[first:]
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray, first: int) -> bytes:
@@ -128,12 +143,14 @@ class Shard:
         self.doc_ids = [None if n else i for i, n in zip(ids, take("u1", docs).tolist(), strict=True)]
         self.sizes = take("<u8", docs).astype(np.int64)
         self.symbols = take(f"<u{wide}", symbols)
-        parts: list[np.ndarray] = []
-        for a, b in zip(left.tolist(), right.tolist(), strict=True):
-            parts.append(np.concatenate([parts[x - self.first] if x >= self.first else np.array([x], np.uint32) for x in (a, b)]))
-        self.flat = np.concatenate([np.arange(self.first, dtype=np.uint32), *parts])
         self.size = np.concatenate([np.ones(self.first, np.int64), self.lengths])
         self.begin = np.cumsum(self.size) - self.size
+        self.flat = np.arange(int(self.size.sum()), dtype=np.uint32)
+        rule = np.stack([left, right], 1).astype(np.int64)
+        for s in _blocks(rule, self.first):
+            begin = int(self.begin[self.first + s.start])
+            told = self._expand(rule[s].ravel())
+            self.flat[begin : begin + len(told)] = told
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         size = self.size[symbols]
@@ -201,6 +218,8 @@ class Encoder:
         self.parted = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("add_prefix_space") is False and pre.get("use_regex", True)
         self.parted = self.parted and not any(c.isspace() for a in self.added for c in a)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        none = np.zeros(0, np.int64)
+        self.memory = (pa.array([], pa.large_string()), np.zeros(0, np.uint32), none, none)
         if self.parted:
             vocabulary = self.tokenizer.get_vocab()
             self.line_end = vocabulary[chr(_BYTES[0x0A])]
@@ -211,7 +230,34 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _different(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, begin, size): where the ids of each part are in ``ids``."""
+        """(ids, begin, size): where the ids of each part are in ``ids``. Parts of earlier groups are remembered, as
+        long as there are at most ``REMEMBERED`` of them; then memory begins anew."""
+        known, ids, begin, size = self.memory
+        place = pc.index_in(parts, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            fresh = parts.take(pa.array(new))
+            more, at, n = self._new(fresh)
+            if len(known) + len(fresh) > REMEMBERED:
+                known, begin, size, ids, old = known.slice(0, 0), begin[:0], size[:0], ids[:0], (ids, begin, size)
+            else:
+                old = None
+            place[new] = len(known) + np.arange(len(new))
+            self.memory = pa.concat_arrays([known, fresh]), np.concatenate([ids, more]), np.concatenate([begin, at + len(ids)]), np.concatenate([size, n])
+            if old is not None:  # this group still needs what is forgotten
+                late = np.ones(len(parts), bool)
+                late[new] = False
+                late = np.flatnonzero(late)
+                shift = len(self.memory[1])
+                out_begin, out_size = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+                out_begin[new], out_size[new] = self.memory[2], self.memory[3]
+                out_begin[late], out_size[late] = old[1][place[late]] + shift, old[2][place[late]]
+                return np.concatenate([self.memory[1], old[0]]), out_begin, out_size
+        _, ids, begin, size = self.memory
+        return ids, begin[place], size[place]
+
+    def _new(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, size) of parts that the library encodes now."""
         begin, size, out, filled = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), [], 0
         left = np.ones(len(parts), bool)
         for blank, pattern in (True, _AFTER_BLANK), (False, _BARE):
@@ -287,7 +333,7 @@ def _write(tokenizer_path: str, end_id: int, shard_tokens: int):
             data = pack(np.concatenate([y for x in ids for y in (x, end)]), names, sizes, encoder.vocabulary)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], ["part", "shard", "n_tokens", "data"])
 
-        for b in batches:
+        for b in (batch.slice(k, 1000) for batch in batches for k in range(0, batch.num_rows, 1000)):
             rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
             group: list[tuple[int | None, str]] = []
             chars = 0
@@ -323,7 +369,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows.mapInArrow(_write(tokenizer_path, end_id, shard_tokens), "part int, shard int, n_tokens long, data binary").write.parquet(path)
+    rows.mapInArrow(returning_memory(_write(tokenizer_path, end_id, shard_tokens)), "part int, shard int, n_tokens long, data binary").write.parquet(path)
 
 
 def read_documents(spark, path: str) -> DataFrame:  # noqa: ANN001
@@ -335,7 +381,7 @@ def read_documents(spark, path: str) -> DataFrame:  # noqa: ANN001
 
     ship(spark)
     shards = spark.read.schema("part int, shard int, n_tokens long, data binary").parquet(path)
-    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("shards")).orderBy("part").collect()
     begin, offsets = 0, []
     for r in parts:
         offsets.append((r["part"], begin))
@@ -343,7 +389,7 @@ def read_documents(spark, path: str) -> DataFrame:  # noqa: ANN001
     first = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     base = shards.select("part", "shard", F.coalesce(first, F.lit(0)).alias("_in")).join(F.broadcast(spark.createDataFrame(offsets, "part int, _before long")), "part")
     base = base.select("part", "shard", (F.col("_in") + F.col("_before")).alias("start"))
-    whole = shards.select("part", "shard", "data").join(F.broadcast(base) if len(parts) < 100_000 else base, ["part", "shard"]).select("start", "data")
+    whole = shards.select("part", "shard", "data").join(F.broadcast(base) if sum(r["shards"] for r in parts) <= BROADCAST_ROWS else base, ["part", "shard"]).select("start", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -354,7 +400,7 @@ def read_documents(spark, path: str) -> DataFrame:  # noqa: ANN001
                 crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), s.sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(start + ends - s.sizes), pa.array(s.sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return whole.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return whole.mapInArrow(returning_memory(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = 0, **options) -> DataFrame:

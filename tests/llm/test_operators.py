@@ -546,6 +546,49 @@ def test_grammar_round_trip():
     assert len(tokens.Shard(tokens.pack(np.zeros(0, np.uint32), [], np.zeros(0, np.int64), 50257)).tokens()) == 0
 
 
+@pytest.mark.parametrize("first", [300, 70_000])
+def test_grammar_goes_on_until_no_rule_pays(first):
+    """No pair is left that is replaced often enough, and rules nest without a limit."""
+    r = np.random.default_rng(2)
+    phrase = r.integers(0, 250, 300).astype(np.uint32)
+    ids = np.concatenate([np.concatenate([phrase, r.integers(0, 250, 7).astype(np.uint32)]) for _ in range(100)])
+    symbols, rules = tokens.repair(ids, first)
+    least = 12 // (2 if first < 1 << 16 else 4) + 1
+    _, n = np.unique(np.stack([symbols[:-1], symbols[1:]]), axis=1, return_counts=True)
+    assert n.max() < 2 * least and tokens._lengths(rules, first).max() >= 300
+    s = tokens.Shard(tokens.pack(ids, [1], np.array([len(ids)]), first))
+    assert (s.tokens() == ids).all() and (s.tokens(301, 909) == ids[301:909]).all()
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    e = tokens.Encoder(queries.tokenizer())
+    for k in range(6):
+        some = corpus(k, 12)
+        assert [x.tolist() for x in e.encode(some)] == [x.ids for x in e.tokenizer.encode_batch(some, add_special_tokens=False)]
+        some += corpus(k // 2, 3)
+        assert [x.tolist() for x in e.encode(some)] == [x.ids for x in e.tokenizer.encode_batch(some, add_special_tokens=False)]
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    from codelake.llm import store
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        store.shared_dir(Session())
+
+
 def test_pipeline_stages_drop_what_they_should(spark):
     import corpus_pipeline
 
