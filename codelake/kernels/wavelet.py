@@ -56,6 +56,19 @@ def synthesise_97(x: np.ndarray, start: int) -> np.ndarray:
     return x
 
 
+def analyse_97(x: np.ndarray, start: int) -> np.ndarray:
+    """The 9/7 filter along the first axis, in double precision."""
+    x = x.astype(np.float64)
+    even = start & 1
+    if len(x) == 1:
+        return 2 * x if even else x
+    for parity, f in ((1 - even, ALPHA), (even, BETA), (1 - even, GAMMA), (even, DELTA)):
+        _lift(x, parity, lambda c, a, b, f=float(f): c + f * (a + b))
+    x[even::2] /= float(K)
+    x[1 - even :: 2] *= float(K)
+    return x
+
+
 def interleave(bands: dict[str, np.ndarray], x0: int, y0: int, x1: int, y1: int, kind) -> np.ndarray:
     """The four bands of one level by the parity of their absolute places."""
     out = np.zeros((y1 - y0, x1 - x0), kind)
@@ -78,13 +91,14 @@ def synthesise(levels: list[tuple[tuple[int, int, int, int], dict[str, np.ndarra
     return low
 
 
-def analyse(x: np.ndarray, x0: int, y0: int, levels: int) -> list[dict[str, np.ndarray]]:
-    """Bands of ``levels`` reversible levels, lowest resolution first."""
+def analyse(x: np.ndarray, x0: int, y0: int, levels: int, reversible: bool = True) -> list[dict[str, np.ndarray]]:
+    """Bands of ``levels`` levels, lowest resolution first."""
+    step = analyse_53 if reversible else analyse_97
     out: list[dict[str, np.ndarray]] = []
     for _ in range(levels):
         if x.size:
-            x = analyse_53(np.ascontiguousarray(x), y0)
-            x = analyse_53(np.ascontiguousarray(x.T), x0).T
+            x = step(np.ascontiguousarray(x), y0)
+            x = step(np.ascontiguousarray(x.T), x0).T
         part = {n: x[(oy - y0) % 2 :: 2, (ox - x0) % 2 :: 2] for n, (ox, oy) in {"LL": (0, 0), "HL": (1, 0), "LH": (0, 1), "HH": (1, 1)}.items()}
         out.append({k: part[k] for k in ("HL", "LH", "HH")})
         x, x0, y0 = part["LL"], -(-x0 // 2), -(-y0 // 2)

@@ -23,7 +23,8 @@ REPAIRS = "repairs array<struct<kind:string,tile:int,component:int,declared:int,
 COMPONENTS = "components array<struct<width:int,height:int,dx:int,dy:int,depth:int,signed:boolean,samples:array<int>>>"
 CONTAINER = "colour_space struct<name:string,code:bigint>, channel_definitions array<struct<cn:int,typ:int,asoc:int>>, palette array<array<int>>, component_map array<struct<cmp:int,mtyp:int,pcol:int>>"
 STYLE = "tile_style struct<progression:string,layers:int,mct:boolean,sop:boolean,eph:boolean,levels:int,block_width:int,block_height:int,block_style:int,transform:string,precincts:array<struct<ppx:int,ppy:int>>,quant_style:string,guard_bits:int>"
-HEADER = f"start bigint, header struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint,tile_x0:bigint,tile_y0:bigint,tile_width:bigint,tile_height:bigint,components:array<struct<depth:int,signed:boolean,dx:int,dy:int>>>, {STYLE}, markers array<struct<marker:string,offset:bigint,length:int>>, tile_parts array<struct<seq:int,tile:int,part_index:int,declared:int,start:bigint,end:bigint,sot:bigint>>, {REPAIRS}, {ERROR}, {CONTAINER}"
+COMPONENT_STYLES = "component_styles array<struct<tile:int,component:int,levels:int,block_style:int,transform:string,quant_style:string,roi_shift:int>>"
+HEADER = f"start bigint, header struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint,tile_x0:bigint,tile_y0:bigint,tile_width:bigint,tile_height:bigint,components:array<struct<depth:int,signed:boolean,dx:int,dy:int>>>, {STYLE}, {COMPONENT_STYLES}, markers array<struct<marker:string,offset:bigint,length:int>>, tile_parts array<struct<seq:int,tile:int,part_index:int,declared:int,start:bigint,end:bigint,sot:bigint>>, {REPAIRS}, {ERROR}, {CONTAINER}"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -77,6 +78,7 @@ def _header(b: bytes | None, permissive: bool) -> dict:
         out |= {
             "header": {k: s.header[k] for k in ("x0", "y0", "x1", "y1", "tile_x0", "tile_y0", "tile_width", "tile_height", "components")},
             "tile_style": {"progression": h.PROGRESSIONS[s.style.progression or 0], "layers": s.style.layers, "mct": s.style.mct, "sop": s.style.sop, "eph": s.style.eph, "levels": code.levels, "block_width": 1 << code.width, "block_height": 1 << code.height, "block_style": code.style, "transform": h.TRANSFORMS[code.reversible], "precincts": [{"ppx": x, "ppy": y} for x, y in code.precincts], "quant_style": h.QUANTISATIONS[steps.style], "guard_bits": steps.guard},
+            "component_styles": [{"tile": t, "component": c, "levels": x.blocks(c).levels, "block_style": x.blocks(c).style, "transform": h.TRANSFORMS[x.blocks(c).reversible], "quant_style": h.QUANTISATIONS[x.steps(c).style], "roi_shift": x.shift(c)} for t, x in [(None, s.style), *sorted(s.tiles.items())] if t is None or x.cod or x.coc or x.qcd or x.qcc or x.rgn for c in range(len(s.header["components"]))],
             "markers": [{"marker": h.NAMES.get(m["marker"], f"{m['marker']:04X}"), "offset": m["offset"], "length": m["length"]} for m in s.markers], "tile_parts": s.parts, "repairs": s.repairs,
         }
     except (h.CodestreamError, *image.DAMAGE) as e:
@@ -85,7 +87,9 @@ def _header(b: bytes | None, permissive: bool) -> dict:
 
 
 def headers(df: DataFrame, key: list[str], mode: str = "permissive", content: str = "content") -> DataFrame:
-    """(*key, header, tile_style, markers, tile_parts, repairs, error, container columns), without decoding."""
+    """(*key, header, tile_style, component_styles, markers, tile_parts, repairs, error, container columns), without
+    decoding. ``component_styles`` has what holds for every component by default (null tile) and in each tile whose
+    headers say something else."""
     return _mapped(df, key, content, HEADER, _one(lambda b: _header(b, mode == "permissive")))
 
 
@@ -101,6 +105,11 @@ def document_images(df: DataFrame, key: list[str], content: str = "content") ->
     return every.select(*key, F.posexplode("streams").alias("ord", "content"))
 
 
+def unwrap(df: DataFrame, key: list[str], content: str = "content") -> DataFrame:
+    """(*key, content): the codestream of each container; contents without one stay as they are, null stays null."""
+    return _mapped(df, key, content, "content binary", _one(lambda b: {"content": None if b is None else h.unwrap(b)}))
+
+
 def with_true_part_counts(df: DataFrame, key: list[str], content: str = "content") -> DataFrame:
     """(*key, content) with the found number of tile-parts written into every tile-part header."""
 

@@ -53,8 +53,22 @@ def verdicts(pairs: DataFrame, key: list[str], tolerance: int = 0, ours: str = "
     return out.select(*key, "worst", "differing", "total", kind.alias("verdict"))
 
 
+def tally(found: DataFrame) -> DataFrame:
+    """(verdict, n, passed): how often each verdict was given, and whether all were good ones or had no reference."""
+    each = found.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    return each.crossJoin(F.broadcast(all_pass(each).select("passed")))  # one row
+
+
 def all_pass(found: DataFrame) -> DataFrame:
-    return found.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("verdict").isin("exact", "within-tolerance")).alias("passed"))
+    """(n, passed) of verdict rows; nothing to judge is passed."""
+    return found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(F.col("verdict").isin("exact", "within-tolerance", "no-reference")), F.lit(True)).alias("passed"))
+
+
+def descending(histogram: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """A histogram with the place of each row by falling ``n`` within ``key`` (equal counts share a place). One row a
+    different value is ranked, not one a file; with a key, each key's rows are ranked on their own."""
+    w = Window.partitionBy(*(key or [F.lit(0)])).orderBy(F.col("n").desc())
+    return histogram.withColumn("place", F.rank().over(w).cast("long"))
 
 
 def limits(images: DataFrame, max_samples: int) -> Column:

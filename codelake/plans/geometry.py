@@ -46,8 +46,7 @@ def bands(rows: DataFrame) -> DataFrame:
     return rows.drop("_b", "_n").where("bx1 > bx0 and by1 > by0")
 
 
-def blocks(rows: DataFrame, xcb: Column, ycb: Column) -> DataFrame:
-    """One row per code-block of bands: precinct, kx0, ky0, kx1, ky1."""
+def _precincts(rows: DataFrame, xcb: Column, ycb: Column) -> DataFrame:
     cut = (F.col("res") > 0).cast("int")
     px, py = F.col("ppx") - cut, F.col("ppy") - cut
     rows = rows.withColumns({"_px": px, "_py": py, "_cw": F.least(xcb, px), "_ch": F.least(ycb, py)})
@@ -56,7 +55,22 @@ def blocks(rows: DataFrame, xcb: Column, ycb: Column) -> DataFrame:
     shl = lambda v, s: F.call_function("shiftleft", v.cast("long"), s)
     left, top = floor_shift(F.col("rx0"), F.col("ppx")) + i, floor_shift(F.col("ry0"), F.col("ppy")) + j
     rows = rows.withColumns({"_qx0": F.greatest(shl(left, F.col("_px")), F.col("bx0")), "_qy0": F.greatest(shl(top, F.col("_py")), F.col("by0")), "_qx1": F.least(shl(left + 1, F.col("_px")), F.col("bx1")), "_qy1": F.least(shl(top + 1, F.col("_py")), F.col("by1"))})
-    rows = rows.where("_qx1 > _qx0 and _qy1 > _qy0")
+    return rows
+
+
+def precincts(rows: DataFrame, xcb: Column, ycb: Column) -> DataFrame:
+    """One row per precinct of bands: precinct, n_blocks; an empty precinct has 0 blocks and keeps its row."""
+    rows = _precincts(rows, xcb, ycb)
+    wide = ceil_shift(F.col("_qx1"), F.col("_cw")) - floor_shift(F.col("_qx0"), F.col("_cw"))
+    high = ceil_shift(F.col("_qy1"), F.col("_ch")) - floor_shift(F.col("_qy0"), F.col("_ch"))
+    some = (F.col("_qx1") > F.col("_qx0")) & (F.col("_qy1") > F.col("_qy0"))
+    return rows.withColumn("n_blocks", F.when(some, wide * high).otherwise(F.lit(0).cast("long"))).drop("_px", "_py", "_cw", "_ch", "_qx0", "_qy0", "_qx1", "_qy1")
+
+
+def blocks(rows: DataFrame, xcb: Column, ycb: Column) -> DataFrame:
+    """One row per code-block of bands: precinct, kx0, ky0, kx1, ky1. Empty precincts have none."""
+    shl = lambda v, s: F.call_function("shiftleft", v.cast("long"), s)
+    rows = _precincts(rows, xcb, ycb).where("_qx1 > _qx0 and _qy1 > _qy0")
     rows = rows.withColumn("_u", F.explode(F.sequence(floor_shift(F.col("_qx0"), F.col("_cw")), ceil_shift(F.col("_qx1"), F.col("_cw")) - 1)))
     rows = rows.withColumn("_v", F.explode(F.sequence(floor_shift(F.col("_qy0"), F.col("_ch")), ceil_shift(F.col("_qy1"), F.col("_ch")) - 1)))
     rows = rows.withColumns({"kx0": F.greatest(shl(F.col("_u"), F.col("_cw")), F.col("_qx0")), "ky0": F.greatest(shl(F.col("_v"), F.col("_ch")), F.col("_qy0")), "kx1": F.least(shl(F.col("_u") + 1, F.col("_cw")), F.col("_qx1")), "ky1": F.least(shl(F.col("_v") + 1, F.col("_ch")), F.col("_qy1"))})

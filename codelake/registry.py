@@ -76,19 +76,18 @@ def ict_inverse(spark, sf):
     return t.withColumns(col.ict_inverse(*map(F.col, ("y", "cb", "cr"))))
 
 
-_DEPTHS = "select l_partkey - 100 as v, cast(l_linenumber + 5 as int) as depth, l_suppkey % 2 = 1 as signed from lineitem"
+_DEPTH_COLUMNS = ("l_partkey - 100 as v", "cast(l_linenumber + 5 as int) as depth", "l_suppkey % 2 = 1 as signed")
+_DEPTHS = f"select {', '.join(_DEPTH_COLUMNS)} from lineitem"
 
 
 @query(f"select v, depth, signed, case when signed then least(greatest(v, -(1 << (depth - 1))), (1 << (depth - 1)) - 1) else least(greatest(v + (1 << (depth - 1)), 0), (1 << depth) - 1) end as c from ({_DEPTHS})")
 def level_shift_clamp(spark, sf):
-    table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql(_DEPTHS).withColumn("c", col.level_shift_clamp(F.col("v"), F.col("depth"), F.col("signed")))
+    return table(spark, sf, "lineitem").selectExpr(*_DEPTH_COLUMNS).withColumn("c", col.level_shift_clamp(F.col("v"), F.col("depth"), F.col("signed")))
 
 
 @query(f"select v, depth, signed, least(greatest(v + case when signed then 1 << (depth - 1) else 0 end, 0), (1 << depth) - 1) * 255 // ((1 << depth) - 1) as c from ({_DEPTHS})")
 def export_scale8(spark, sf):
-    table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql(_DEPTHS).withColumn("c", col.export_scale8(F.col("v"), F.col("depth"), F.col("signed")))
+    return table(spark, sf, "lineitem").selectExpr(*_DEPTH_COLUMNS).withColumn("c", col.export_scale8(F.col("v"), F.col("depth"), F.col("signed")))
 
 
 @query("""select p_partkey, gain, cast(round(pow(2.0, 8 + gain - e) * (1 + m / 2048.0) * 4194304) as bigint) as step, cast(greatest(p_size % 8 + e - 1, 0) as int) as planes
@@ -121,12 +120,6 @@ def limits_check(spark, sf):
     return table(spark, sf, "orders").withColumn("components", F.array(one, one, one)).select("o_orderkey", report.limits(None, 1_000_000).alias("error"))
 
 
-@query("select c_custkey, coalesce(n_regionkey + 10, 5) as levels from customer left join (select * from nation where n_nationkey % 2 = 0) on c_nationkey = n_nationkey")
-def style_override(spark, sf):
-    own = table(spark, sf, "nation").where("n_nationkey % 2 = 0").selectExpr("n_nationkey", "n_regionkey + 10 as own")
-    return table(spark, sf, "customer").join(own, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("own", F.lit(5)).alias("levels"))
-
-
 # --- tables of parts, segments, verdicts
 
 
@@ -137,14 +130,6 @@ def tile_part_reconcile(spark, sf):
     return report.reconcile_tile_parts(parts, ["tile"])
 
 
-@query("select l_orderkey as tile, l_linenumber as part, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) as pos, l_partkey as seq from lineitem")
-def tile_part_order(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("tile"), F.col("l_linenumber").alias("part"), F.row_number().over(w).cast("long").alias("pos"), F.col("l_partkey").alias("seq"))
-
-
 _PIECES = """select user_id, event_id as seq, cast(event_id % 3 + 1 as bigint) as length, event_id % 4 + 1 as passes, case when user_id % 3 = 0 then 1 else 0 end as style,
 coalesce(sum(event_id % 3 + 1 + case when event_id % 5 = 0 then 1 else 0 end) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as start from events"""
 
@@ -154,8 +139,7 @@ f as (select *, case when after is null or start <> after or (style = 1 and (i =
 r as (select *, sum(fresh) over (partition by user_id order by seq) as run from f)
 select user_id, cast(min(start) as bigint) as start, cast(sum(length) as bigint) as length, cast(sum(passes) as bigint) as passes from r group by user_id, run""")
 def segment_merge(spark, sf):
-    table(spark, sf, "events").createOrReplaceTempView("events")
-    return report.merge_segments(spark.sql(_PIECES), ["user_id"])
+    return report.merge_segments(spark.sql(_PIECES.replace("from events", "from {events}"), events=table(spark, sf, "events")), ["user_id"])
 
 
 @query("""select l_orderkey, worst, differing, total, case when worst = 0 then 'exact' when worst <= 3 then 'within-tolerance' else 'differs' end as verdict from
@@ -322,8 +306,9 @@ def dwt97_flat(spark, sf):
 _RASTER = {"r": "cast(floor(o_totalprice) as bigint) % 256", "g": "o_custkey % 256", "b": "o_orderkey * 7 % 256"}
 
 
-def _raster_files(spark, sf, planes: str, **options):
-    """16x16 pictures of 256 neighbouring order keys, written as codestreams; keys that are missing are black."""
+def _raster_files(spark, sf, planes: str, by_img: Callable[[int], dict] | None = None, **options):
+    """16x16 pictures of 256 neighbouring order keys, written as codestreams; keys that are missing are black. ``by_img``:
+    options of each picture. With ``sampling``, components hold every dx-th sample of every dy-th row."""
 
     def made(key, p: pd.DataFrame) -> pd.DataFrame:
         pictures = []
@@ -331,7 +316,11 @@ def _raster_files(spark, sf, planes: str, **options):
             x = np.zeros(256, np.int64)
             x[p["pos"]] = p[c]
             pictures.append(x.reshape(16, 16))
-        return pd.DataFrame({"img": [key[0]], "content": [encode.wrap(encode.encode_image(pictures, **options))]})
+        more = by_img(int(key[0])) if by_img else {}
+        if "sampling" in options:
+            more["size"] = (16, 16)
+            pictures = [x[::dy, ::dx] for x, (dx, dy) in zip(pictures, options["sampling"], strict=True)]
+        return pd.DataFrame({"img": [key[0]], "content": [encode.wrap(encode.encode_image(pictures, **options, **more))]})
 
     ship(spark)
     rows = table(spark, sf, "orders").selectExpr("o_orderkey div 256 as img", "o_orderkey % 256 as pos", *[f"{_RASTER[c]} as {c}" for c in planes])
@@ -371,24 +360,29 @@ def golden_pictures(spark, sf):
     return op.samples(op.decode(spark.createDataFrame(rows, "name string, content binary"), ["name"]), ["name"])
 
 
-@query()
-def damaged_inputs(spark, sf):
-    """Truncated and altered files: each has an error, or planes with repairs; none fails the job."""
+def _damaged() -> list[tuple[str, bytes]]:
     whole = encode.wrap(encode.encode_image(encode.golden_picture(), mct=True, levels=3, tile=13))
     rows = [(f"cut-{n}", whole[:n]) for n in (1, 2, 8, 40, 60, 100, 200, 400, 800, len(whole) - 1)]
-    for i in range(0, len(whole), 7):
-        for m in (0xFF, 0x01, 0x80):
-            rows.append((f"byte-{i}-{m}", whole[:i] + bytes([whole[i] ^ m]) + whole[i + 1 :]))
-    d = op.decode(spark.createDataFrame(rows, "case_id string, content binary").repartition(16), ["case_id"], "permissive", max_samples=100_000)
-    return d.select("case_id", F.col("error.kind").alias("error"), F.size("components").alias("n_components"), F.size("repairs").alias("n_repairs"))
+    return rows + [(f"byte-{i}-{m}", whole[:i] + bytes([whole[i] ^ m]) + whole[i + 1 :]) for i in range(0, len(whole), 7) for m in (0xFF, 0x01, 0x80)]
+
+
+_DAMAGED_SIZE = 1186  # of the file that is damaged
+
+
+@query(f"""select case_id, true as survived, false as both from (select 'cut-' || n as case_id from (select unnest([1, 2, 8, 40, 60, 100, 200, 400, 800, {_DAMAGED_SIZE - 1}]) as n)
+union all select 'byte-' || i || '-' || m from (select unnest(range(0, {_DAMAGED_SIZE}, 7)) as i), (select unnest([255, 1, 128]) as m))""")
+def damaged_inputs(spark, sf):
+    """Truncated and altered files: each has an error, or all its planes; none has both or fails the job."""
+    d = op.decode(spark.createDataFrame(_damaged(), "case_id string, content binary").repartition(16), ["case_id"], "permissive", max_samples=100_000)
+    planes = F.col("components").isNotNull()
+    return d.select("case_id", (F.col("error").isNotNull() | (planes & (F.size("components") == F.expr("aggregate(components, 0, (n, c) -> n + if(size(c.samples) = c.width * c.height, 1, 0))")))).alias("survived"), (F.col("error").isNotNull() & planes).alias("both"))
 
 
-@query(_raster_sql("r").replace("select img, cast(0 as int) as component, cast(p as int) as pos, cast(coalesce(r, 0) as int) as value from g", "select img, cast(length('P5 16 16 255 ') + 256 as int) as n_bytes, cast(sum(coalesce(r, 0)) as bigint) as total from g group by img"))
+@query(_raster_sql("r").replace("select img, cast(0 as int) as component, cast(p as int) as pos", "select img, cast(p as int) as pos"))
 def export_ppm(spark, sf):
+    """P5 bytes by position."""
     files = op.export(op.decode(_raster_files(spark, sf, "r"), ["img"]), ["img"])
+    return codec_queries._bytes_by_position(files.where("substring(file, 1, 13) = cast('P5\\n16 16\\n255\\n' as binary)"), 13)
 
-    @F.pandas_udf("long")
-    def total(f: pd.Series) -> pd.Series:
-        return f.map(lambda b: sum(bytes(b)[13:]))
 
-    return files.select("img", F.length("file").alias("n_bytes"), total("file").alias("total"))
+from codelake import codec_queries  # noqa: E402  (registers its queries)

@@ -100,15 +100,27 @@ def container(data: bytes) -> dict:
 
 
 def pdf_image_streams(data: bytes) -> list[bytes]:
-    """The wavelet-coded image streams embedded in a document file, by /Length or up to endstream."""
+    """The wavelet-coded image streams embedded in a document file: of every object whose dictionary names the filter,
+    however deep its entries are nested, the bytes after ``stream``, by a direct /Length or else up to ``endstream``."""
     out = []
-    for m in re.finditer(rb"<<(?:[^<>]|<<[^<>]*>>|<[^<>]*>)*/JPXDecode(?:[^<>]|<<[^<>]*>>|<[^<>]*>)*>>\s*stream\r?\n", data):
-        size = re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", m[0])
-        stop = m.end() + int(size[1]) if size else data.find(b"endstream", m.end())
-        out.append(data[m.end() : stop if stop >= 0 else len(data)].rstrip(b"\r\n") if not size else data[m.end() : stop])
+    for m in re.finditer(rb"/JPXDecode(?![A-Za-z0-9])", data):
+        begin = data.rfind(b"obj", 0, m.start())
+        head = re.compile(rb"stream(?:\r\n|\n|\r)|endobj").search(data, m.end())
+        if begin < 0 or head is None or head[0] == b"endobj":
+            continue
+        size = re.search(rb"/Length\s+(\d+)(?!\d|\s+\d+\s+R)", data[begin : head.start()])
+        stop = head.end() + int(size[1]) if size else data.find(b"endstream", head.end())
+        body = data[head.end() : stop if stop >= 0 else len(data)]
+        out.append(body if size else body.removesuffix(b"\n").removesuffix(b"\r"))
     return out
 
 
+def unwrap(data: bytes) -> bytes:
+    """The codestream of a container; anything without one is returned as it is."""
+    where = container(data)
+    return data if where["start"] is None else data[where["start"] : where["end"]]
+
+
 # --- marker segments
 
 
