@@ -37,7 +37,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, percent: i
     containment is asked for, one prefix word is necessary and enough. Only occurrences of these words are joined;
     the word's place in the window gives the one possible alignment, which must lie within the document (length and
     position bounds), and the slice must equal the window. Windows with a word that the corpus lacks are left out at
-    once. The window tables are broadcast while the benchmark is small and shuffled otherwise.
+    once. The window tables are broadcast while the benchmark is small. Otherwise occurrences of prefix words are found
+    by a shuffle of (row, place, word) alone, and windows and whole word lists are joined to the candidates only.
 
     Nulls: a null text has no words; items with null id or without words are no items; a row with a null id gets its
     own result. Repeated rows get the same result each. Ties in rarity go to the smaller word, then the first place.
@@ -51,13 +52,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, percent: i
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     frequency = tokens.select(F.explode("words").alias("word")).join(near(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     placed = windows.select("wid", "n", F.posexplode("window").alias("off", "word")).join(near(frequency), "word")
-    anchors = placed.groupBy("wid", "n").agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("df", "word", "off")).alias("a")).where("known = n").select("wid", F.col("a.word").alias("anchor"), F.col("a.off").alias("off"))
-    prefix = written(anchors.join(windows, "wid").select("anchor", "off", "n", "window", "items"), "prefix")
-
-    rows = tokens.select("doc_id", "_d", "words", F.posexplode("words").alias("pos", "word"))
+    anchors = placed.groupBy("wid", "n").agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("df", "word", "off")).alias("a")).where("known = n").select("wid", F.col("a.word").alias("anchor"), F.col("a.off").alias("off"), "n")
     start = F.col("pos") - F.col("off")
-    whole = (F.col("word") == F.col("anchor")) & (start >= 0) & (start + F.col("n") <= F.size("words")) & (F.slice("words", start + 1, F.col("n")) == F.col("window"))
-    hits = rows.join(near(prefix), whole).select("doc_id", "_d", start.alias("s"), (start + F.col("n")).alias("e"), "items")
+    bounds = (F.col("word") == F.col("anchor")) & (start >= 0) & (start + F.col("n") <= F.col("n_words"))
+    if small:
+        prefix = written(anchors.drop("n").join(windows, "wid").select("anchor", "off", "n", "window", "items"), "prefix")
+        rows = tokens.select("doc_id", "_d", "words", "n_words", F.posexplode("words").alias("pos", "word"))
+        whole = bounds & (F.slice("words", start + 1, F.col("n")) == F.col("window"))
+        hits = rows.join(F.broadcast(prefix), whole).select("doc_id", "_d", start.alias("s"), (start + F.col("n")).alias("e"), "items")
+    else:
+        prefix = written(anchors.select("wid", "anchor", "off", "n"), "prefix")
+        rows = tokens.select("doc_id", "_d", "n_words", F.posexplode("words").alias("pos", "word"))
+        maybe = rows.join(prefix, bounds).select("doc_id", "_d", "wid", start.alias("s")).distinct().join(windows, "wid")
+        texts = tokens.select(F.col("doc_id").alias("_i"), F.col("_d").alias("_h"), "words").dropDuplicates(["_i", "_h"])
+        found = maybe.join(texts, F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("_d").eqNullSafe(F.col("_h")))
+        hits = found.where(F.slice("words", F.col("s") + 1, F.col("n")) == F.col("window")).select("doc_id", "_d", "s", (F.col("s") + F.col("n")).alias("e"), "items")
 
     per_doc = hits.groupBy("doc_id", "_d").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
     begin = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))

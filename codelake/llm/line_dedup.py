@@ -12,9 +12,9 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate_lines(pages: DataFrame, host: Column, text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, host: Column, text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 2) -> DataFrame:
     """(host, line_hash, n_pages, host_pages) of lines on more than ``max_ratio`` of a host's pages and at least
-    ``min_pages`` of them. A page counts once for each of its distinct lines, so one aggregation with map-side
+    ``min_pages`` of them (2: a line that stands on one page only is no boilerplate, however small its host). A page counts once for each of its distinct lines, so one aggregation with map-side
     combining does; a host or a line with a third of all rows shrinks to one row per task before the shuffle."""
     rows = pages.select(F.coalesce(host, F.lit("")).alias("host"), F.array_distinct(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _key)).alias("_keys"))
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
@@ -23,7 +23,7 @@ def boilerplate_lines(pages: DataFrame, host: Column, text_col: str = "text", ma
     return counts.join(totals, "host").where((F.col("n_pages") > F.col("host_pages") * F.lit(max_ratio)) & (F.col("line_hash") != empty))
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, id_col: str = "doc_id", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, id_col: str = "doc_id", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 2) -> DataFrame:
     """One row per page: doc_id, n_lines, n_dropped, text without its host's boilerplate lines.
 
     A host has at most (mean lines a page / max_ratio) such lines, so they fit one array per host; the join on host

@@ -96,7 +96,7 @@ with l as (select doc_id, coalesce(source, '') as host, string_split(coalesce(te
 u as (select doc_id, host, unnest(ls) as line, generate_subscripts(ls, 1) as i from l),
 n as (select host, trim(line, ' ') as k, count(distinct doc_id) as n from u where trim(line, ' ') <> '' group by 1, 2),
 t as (select host, count(*) as t from l group by 1),
-d as (select host, k from n join t using (host) where n >= 5 and n > t * cast(0.05 as double))
+d as (select host, k from n join t using (host) where n >= 2 and n > t * cast(0.05 as double))
 select doc_id, count(*) as n_lines, count(d.k) as n_dropped,
   coalesce(string_agg(case when d.k is null then line end, chr(10) order by i), '') as text
 from u left join d on u.host = d.host and trim(u.line, ' ') = d.k group by doc_id""",
@@ -111,6 +111,23 @@ named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select dw.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from dw left join covered using (doc_id) left join named using (doc_id)""",
+    "op6_suffix_dedup": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, s, md5(array_to_string(w[s + 1 : s + 51], ' ')) as g from (select doc_id, w, unnest(range(greatest(len(w) - 50, 0))) as s from w)),
+r as (select g from g group by g having count(distinct doc_id) > 1),
+h as (select distinct doc_id, s from g semi join r using (g)),
+e as (select *, case when s <= lag(s) over (partition by doc_id order by s) + 51 then 0 else 1 end as fresh from h),
+i as (select *, sum(fresh) over (partition by doc_id order by s) as island from e)
+select doc_id, cast(min(s) as bigint) as start_word, cast(max(s) + 51 as bigint) as end_word, cast(max(s) + 51 - min(s) as bigint) as n_words from i group by doc_id, island""",
+    "op10_ngram_jaccard": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) end)) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+both_ as (select a, b from e union select b, a from e),
+reach(doc_id, r) as (select doc_id, doc_id from documents union select reach.doc_id, both_.b from reach join both_ on both_.a = reach.r)
+select reach.doc_id, cast(coalesce(any_value(n), 0) as bigint) as n_shingles, min(r) as component_id from reach left join n on n.doc_id = reach.doc_id group by reach.doc_id""",
     "op9_exact_dedup": """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))""",

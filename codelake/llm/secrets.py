@@ -8,10 +8,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelake.llm.store import written
 from codelake.session import ship
 
 #: Fixed patterns of the base kinds, in their listed order, and the characters that the kind needs (of group 2, if any).
@@ -172,12 +171,13 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_credentials(docs: DataFrame, text_col: str = "text", per_kind: int = 500) -> list[tuple[str, str]]:
-    """Training rows: at most ``per_kind`` different base secrets of each kind, those with the smallest hashes."""
+    """Training rows: at most ``per_kind`` different base secrets of each kind. Secrets fall into ``per_kind`` classes by
+    hash, and the one of the smallest hash in each is taken, by an aggregation that is partial before the shuffle."""
     ship(docs.sparkSession)
     every = docs.select(F.col(text_col).alias("text")).mapInArrow(_labels, "kind string, secret string")
-    distinct = written(every.groupBy("kind", "secret").agg(F.lit(1).alias("_1")).select("kind", "secret"), "labelled")
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("secret"), "secret"))
-    return sorted((r["kind"], r["secret"]) for r in distinct.withColumn("_r", rank).where(F.col("_r") <= per_kind).collect())
+    h = F.xxhash64("secret")
+    chosen = every.groupBy("kind", F.pmod(h, F.lit(per_kind)).alias("_class")).agg(F.min(F.struct(h.alias("h"), "secret"))["secret"].alias("secret"))
+    return sorted((r["kind"], r["secret"]) for r in chosen.select("kind", "secret").collect())
 
 
 def scan(docs: DataFrame, formats: Formats, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

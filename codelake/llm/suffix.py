@@ -116,7 +116,7 @@ def _windows(t: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray, np.ndar
             yield j, row, mix(total[row] + U(j)).view(np.int64)
 
 
-def _certify(least: int):
+def _certify(least: int, later: bool):
     """Over sorted suffixes: (doc_id, start, end) of stretches that other documents hold as well. Hashes that lie
     within a batch as a whole are settled there. For the first and last one of a batch, rows with a key follow: windows
     not settled yet (doc_id, start), and once a window of two documents and more (doc_id, other)."""
@@ -139,7 +139,8 @@ def _certify(least: int):
                 row, key = row[by], key[by]
                 begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 a, b = np.minimum.reduceat(doc[row], begin), np.maximum.reduceat(doc[row], begin)
-                sure = np.repeat(a != b, np.diff(np.append(begin, len(row))))
+                many = np.diff(np.append(begin, len(row)))
+                sure = np.repeat(a, many) < doc[row] if later else np.repeat(a != b, many)
                 most[row[sure]] = j
                 fewest[row[sure]] = np.minimum(fewest[row[sure]], j)
                 late, known = open_[row] & ~sure, open_[row[begin]] & (a != b)
@@ -151,12 +152,12 @@ def _certify(least: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, least: int = 51, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = 51, id_col: str = "doc_id", text_col: str = "text", later: bool = False) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): the maximal stretches of a document, of at least ``least``
     words (runs of anything but x20, x09-x0D, compared exactly), that occur in other documents as well.
 
-    Overlapping and touching stretches are one. Every document that holds a passage has its row; ``drop_passages``
-    cuts the stretches it is given.
+    Overlapping and touching stretches are one. Every document that holds a passage has its row. With ``later``, only
+    what a document of a smaller id holds as well: when ``drop_passages`` cuts these, the copy of the smallest id stays.
 
     Suffixes are sorted by (hash, words after, words before) over range partitions: a passage on a third of all pages
     is cut by what surrounds it. Every stretch of ``least`` words holds a minimiser and splits at it into words to the
@@ -192,10 +193,10 @@ def repeated_passages(docs: DataFrame, least: int = 51, id_col: str = "doc_id",
     order = ["h", "after", "before", "doc_id", "pos"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    near = written(near.mapInArrow(_certify(least), "doc_id long, start long, end long, key long, other long"), "spans")
+    near = written(near.mapInArrow(_certify(least, later), "doc_id long, start long, end long, key long, other long"), "spans")
     late = near.where("key is not null")
-    several = late.groupBy("key").agg(F.min("doc_id").alias("a"), F.max(F.coalesce("other", "doc_id")).alias("b")).where("a < b").select(F.col("key").alias("_key"))
-    late = late.where("start is not null").join(several, F.col("key") == F.col("_key"), "left_semi")
+    several = late.groupBy("key").agg(F.min("doc_id").alias("a"), F.max(F.coalesce("other", "doc_id")).alias("b")).where("a < b").select(F.col("key").alias("_key"), "a")
+    late = late.where("start is not null").join(several, (F.col("key") == F.col("_key")) & (F.col("doc_id") > F.col("a")) if later else F.col("key") == F.col("_key"), "left_semi")
     found = near.where("end is not null").select("doc_id", "start", "end").unionByName(late.select("doc_id", "start", (F.col("start") + least).alias("end")))
     per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
     none = F.array().cast("array<struct<start:long,end:long>>")

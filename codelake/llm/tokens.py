@@ -30,6 +30,7 @@ SHARD_TOKENS = 1 << 20
 GROUP_CHARS = 4_000_000  # texts encoded together
 REMEMBERED = 1 << 19  # parts whose ids a worker remembers: some 30 MB
 PAIRS = 4096  # pairs that one round replaces at most; the next one takes the rest
+TABLE_BITS, _SPREAD = 17, 0x9E3779B1
 _SPACE, _LINE, _MARK, _LETTER = 1, 2, 3, 4
 _KIND = np.zeros(256, np.uint8)
 _KIND[0x20], _KIND[0x0A] = _SPACE, _LINE
@@ -67,14 +68,12 @@ def repair(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int | None =
         begin = np.flatnonzero(np.concatenate([[True], edge[1:] != edge[:-1]]))
         often, spare = edge[begin], np.diff(np.append(begin, len(edge)))
         chosen = np.sort(often[np.argsort(-spare, kind="stable")[:room]])
-        size = 1 << 16 if narrow else int(seq.max()) + 1
-        left, right = np.zeros(size, bool), np.zeros(size, bool)
-        left[chosen >> kind(half)] = True
-        right[chosen & mask] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        rank = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
-        hit = chosen[rank] == key[at]
-        at, rank = at[hit], rank[hit]
+        slot = lambda x: (x * kind(_SPREAD)) >> kind(2 * half - TABLE_BITS)
+        table = np.zeros(1 << TABLE_BITS, np.int32)  # of two chosen pairs in one slot, one waits for the next round
+        table[slot(chosen)] = np.arange(len(chosen))
+        rank = table[slot(key)]
+        at = np.flatnonzero(chosen[rank] == key)
+        rank = rank[at]
         start = np.concatenate([[True], at[1:] != at[:-1] + 1])
         run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
@@ -219,7 +218,7 @@ class Encoder:
         self.parted = self.parted and not any(c.isspace() for a in self.added for c in a)
         self.vocabulary = self.tokenizer.get_vocab_size()
         none = np.zeros(0, np.int64)
-        self.memory = (pa.array([], pa.large_string()), np.zeros(0, np.uint32), none, none)
+        self.memory = (pa.array([], pa.large_string()), np.zeros(0, np.uint32), none, none, np.zeros(0, np.int32))
         if self.parted:
             vocabulary = self.tokenizer.get_vocab()
             self.line_end = vocabulary[chr(_BYTES[0x0A])]
@@ -230,31 +229,27 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _different(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, begin, size): where the ids of each part are in ``ids``. Parts of earlier groups are remembered, as
-        long as there are at most ``REMEMBERED`` of them; then memory begins anew."""
-        known, ids, begin, size = self.memory
+        """(ids, begin, size): where the ids of each part are in ``ids``. Parts of earlier groups are remembered; beyond
+        ``REMEMBERED`` of them, the half that occurred in most groups stays."""
+        known, ids, begin, size, seen = self.memory
         place = pc.index_in(parts, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(place < 0)
         if len(new):
             fresh = parts.take(pa.array(new))
             more, at, n = self._new(fresh)
-            if len(known) + len(fresh) > REMEMBERED:
-                known, begin, size, ids, old = known.slice(0, 0), begin[:0], size[:0], ids[:0], (ids, begin, size)
-            else:
-                old = None
             place[new] = len(known) + np.arange(len(new))
-            self.memory = pa.concat_arrays([known, fresh]), np.concatenate([ids, more]), np.concatenate([begin, at + len(ids)]), np.concatenate([size, n])
-            if old is not None:  # this group still needs what is forgotten
-                late = np.ones(len(parts), bool)
-                late[new] = False
-                late = np.flatnonzero(late)
-                shift = len(self.memory[1])
-                out_begin, out_size = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
-                out_begin[new], out_size[new] = self.memory[2], self.memory[3]
-                out_begin[late], out_size[late] = old[1][place[late]] + shift, old[2][place[late]]
-                return np.concatenate([self.memory[1], old[0]]), out_begin, out_size
-        _, ids, begin, size = self.memory
-        return ids, begin[place], size[place]
+            known, ids, begin, size = pa.concat_arrays([known, fresh]), np.concatenate([ids, more]), np.concatenate([begin, at + len(ids)]), np.concatenate([size, n])
+            seen = np.concatenate([seen, np.zeros(len(new), np.int32)])
+        seen[place] += 1
+        out = ids, begin[place], size[place]
+        if len(known) > REMEMBERED:
+            stay = np.sort(np.argsort(-seen, kind="stable")[: REMEMBERED // 2])
+            known, begin, size, seen = known.take(pa.array(stay)), begin[stay], size[stay], seen[stay] // 2
+            after = np.cumsum(size)
+            ids = ids[np.repeat(begin - (after - size), size) + np.arange(after[-1])]
+            begin = after - size
+        self.memory = known, ids, begin, size, seen
+        return out
 
     def _new(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begin, size) of parts that the library encodes now."""

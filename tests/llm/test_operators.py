@@ -51,10 +51,18 @@ def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
 
 
-def test_exact(docs, none):
+@pytest.mark.parametrize("with_digest", [True, False])
+@pytest.mark.parametrize("limit", [1_000_000, -1])
+def test_exact(docs, none, monkeypatch, limit, with_digest):
+    monkeypatch.setattr(exact, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(exact, "HOT_SHARE", 20)
     rows = docs.collect()
-    got = exact.exact_duplicates(docs, with_digest=True).collect()
+    got = exact.exact_duplicates(docs, with_digest=with_digest).collect()
     assert len(got) == len(rows)
+    if not with_digest:
+        full = exact.exact_duplicates(docs, with_digest=True).drop("text_sha256").collect()
+        assert sorted(map(str, got)) == sorted(map(str, full))
+        return
     groups = {}
     for r in rows:
         groups.setdefault(r.text or "", []).append(r.doc_id)
@@ -68,17 +76,29 @@ def test_exact(docs, none):
     assert exact.exact_duplicates(none).count() == 0
 
 
-def test_lines(spark, none):
+@pytest.mark.parametrize("limit", [1_000_000, -1])
+def test_lines(spark, none, monkeypatch, limit):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", limit)
     rows = [(i, f"head\nline {i}\n\nhead \nfoot {i % 2}", "a" if i < 8 else None) for i in range(12)] + [(12, None, "a"), (13, "", "b")]
     d = spark.createDataFrame(rows, "doc_id long, text string, host string").withColumn("line_hash", F.lit(1))
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.drop_boilerplate(d, F.col("host"), max_ratio=0.6, min_pages=4).collect()}
     assert got[0] == (5, 2, "line 0\n\nfoot 0") and got[9] == (5, 2, "line 9\n\nfoot 1")  # host of nulls: 4 of 4
     assert got[12] == (1, 0, "") and got[13] == (1, 0, "") and len(got) == 14
     assert line_dedup.drop_boilerplate(none, F.col("host")).count() == 0
+    again = spark.createDataFrame([(1, "same\nown", "h"), (1, "same\nown", "h"), (2, "same\n" + "long line " * 50_000, "h"), (3, "lonely", "alone")], "doc_id long, text string, host string")
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, len(r.text)) for r in line_dedup.drop_boilerplate(again, F.col("host")).collect())
+    assert got == [(1, 2, 2, 0), (1, 2, 2, 0), (2, 2, 1, 500_000), (3, 1, 0, 6)]  # repeated rows are pages each
 
 
+
+
+ROWS = [1_000_000, -1]  # tables broadcast while they are small, and all joined by a shuffle
+
+
+@pytest.mark.parametrize("rows_", ROWS)
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
-def test_jaccard(docs, none, k, percent):
+def test_jaccard(docs, none, k, percent, rows_, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", rows_)
     rows = docs.collect()
     sets = [frozenset(tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1 if w else 0))) for w in (words(r.text) for r in rows)]
     group = {r.doc_id: r.doc_id for r in rows if r.doc_id is not None}
@@ -176,7 +196,9 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
-def test_decontaminate(spark, docs, none):
+@pytest.mark.parametrize("limit", [1_000_000, -1])
+def test_decontaminate(spark, docs, none, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
     rows = docs.collect()
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     passage = " ".join(next(r for r in rows if r.doc_id == 0).text.split()[40:60])
@@ -395,6 +417,27 @@ def test_suffix(spark, docs, none):
     assert len(cut[first.doc_id].split()) == len(re.findall(r"[^\x20\x09-\x0D]+", text[first.doc_id])) - first.n_words and cut[100] is None
 
 
+@pytest.mark.parametrize("batch", [10_000, 5])
+def test_suffix_keeps_the_first_copy(spark, docs, batch):
+    """What is cut with ``later`` is what a smaller id holds as well; each passage stays once."""
+    rows = [(r.doc_id, r.text) for r in docs.dropDuplicates(["doc_id"]).where("doc_id is not null").collect()]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = suffix.repeated_passages(d, later=True)
+    found = {(r.doc_id, p) for r in got.collect() for p in range(r.start_word, r.end_word)}
+    cut = {r.doc_id: r.text for r in suffix.drop_passages(d, got).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    first, want = {}, set()
+    for i, t in sorted(rows):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for p in range(len(w) - 50):
+            if first.setdefault(tuple(w[p : p + 51]), i) < i:
+                want |= {(i, q) for q in range(p, p + 51)}
+    assert found == want and want
+    passage = " ".join(rows[0][1].split()[40:91]) if rows[0][0] == 0 else " ".join(dict(rows)[0].split()[40:91])
+    assert sum(passage in " ".join((t or "").split()) for t in cut.values()) == 1
+
+
 def test_suffix_on_real_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {(r.doc_id, r.start_word, r.end_word) for r in suffix.repeated_passages(d).collect()}
@@ -564,9 +607,9 @@ def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 40)
     e = tokens.Encoder(queries.tokenizer())
     for k in range(6):
-        some = corpus(k, 12)
+        some = corpus(k)[:12]
         assert [x.tolist() for x in e.encode(some)] == [x.ids for x in e.tokenizer.encode_batch(some, add_special_tokens=False)]
-        some += corpus(k // 2, 3)
+        some += corpus(k // 2)[:3]
         assert [x.tolist() for x in e.encode(some)] == [x.ids for x in e.tokenizer.encode_batch(some, add_special_tokens=False)]
 
 
@@ -589,6 +632,114 @@ def test_shared_folder_is_needed_on_a_cluster():
         store.shared_dir(Session())
 
 
+def test_labelled_credentials_are_the_least_of_each_class(spark):
+    r = random.Random(5)
+    secret = lambda: "".join(r.choice("0123456789abcdef") for _ in range(20))
+    every = [secret() for _ in range(300)]
+    d = spark.createDataFrame([(f"x {s} y",) for s in every] * 2, "text string").repartition(5)
+    got = secrets.labelled_credentials(d, per_kind=16)
+    classes = {}
+    for s, c, h in d.sparkSession.createDataFrame([(s,) for s in every], "s string").selectExpr("s", "pmod(xxhash64(s), 16)", "xxhash64(s)").collect():
+        classes.setdefault(c, []).append((h, s))
+    assert got == sorted(("hex", min(v)[1]) for v in classes.values()) and len(got) <= 16
+
+
+def test_secrets_against_brute_force(spark):
+    """The whole query on sf0.001: base spans by plain patterns, format spans by scoring every candidate."""
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    kinds = [("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)]
+    formats = secrets.Formats(secrets.labelled_credentials(d))
+    got = {x.doc_id: x for x in queries.op5_secrets(spark, sf).collect()}
+    for row in d.collect():
+        t = row.text or ""
+        base = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(kinds) for m in re.finditer(p, t) if len(m[g]) >= n)
+        say = lambda x: f"{[*[k[0] for k in kinds], 'format'][x[1]]}:{x[0]}:{x[2]}"
+        more = [(a, 3, e) for a, e in secrets.candidates(t) if formats.likely(t[a:e]) and not any(b[0] < e and a < b[2] for b in base)]
+        r = got[row.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b[1] == k for b in base) for k in range(3))
+        assert r.base_sha256 == hashlib.sha256(",".join(map(say, base)).encode()).hexdigest() and r.spans == ",".join(map(say, sorted([*base, *more])))
+    assert sum(r.n_assign + r.n_hex for r in got.values()) > 3
+
+
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op3_decontaminate", "op6_suffix_dedup", "op9_exact_dedup", "op10_ngram_jaccard"])
+def test_queries_against_their_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = c.execute(queries.SQL[name]).df()
+    got = queries.queries()[name](spark, sf).toPandas()
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    rows = lambda f: sorted(tuple(str(v) for v in r) for r in f[cols].itertuples(index=False))
+    assert rows(got) == rows(want)
+
+
+EDGES = "doc_id long, text string, lang string, source string, n_chars int, row string, id string, _id string, epoch string, _tid string, perplexity string"
+
+
+@pytest.mark.parametrize("limit", [1_000_000, -1])
+def test_pipeline_edges(spark, monkeypatch, limit):
+    """Nulls, empty texts, repeated rows and ids, clashing columns, empty tables: every stage ends with its rule's rows."""
+    import corpus_pipeline
+
+    for module in (corpus_pipeline, jaccard, decontam, quality):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", limit)
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()
+    more = ("x",) * 6
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, *more) for r in d]
+    rows += [rows[3], (900, rows[3][1], "en", "src1", 1, *more), (901, None, None, None, None, *[None] * 6), (902, "", "", "", 0, *more), (None, rows[4][1], rows[4][2], None, None, *more), (rows[5][0], "other text of the same id", "en", "src1", 3, *more)]
+    docs = spark.createDataFrame(rows, EDGES)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        kept[name] = [tuple(r) for r in out.collect()]
+        assert set(kept[name]) <= set(rows) and stage(spark, docs.limit(0), sf).count() == 0
+    near = kept["n-gram Jaccard join"]
+    assert near.count(rows[3]) == 2 and 900 not in {r[0] for r in near} and sum(r[0] is None for r in near) == 1
+    assert not {901, 902} & {r[0] for r in kept["quality classifier"]} and {901, 902} <= {r[0] for r in kept["benchmark decontamination"]}
+    assert all(r[0] is not None for r in kept["mixing to target weights"])
+    assert corpus_pipeline.encode(spark, docs, sf).count() == len(rows) and corpus_pipeline.encode(spark, docs.limit(0), sf).count() == 0
+
+
+def test_pipeline_end_to_end(spark):
+    """``run`` gives what the stages give, one after the other, by plain rules."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = {r.doc_id for r in quality.classify(docs, queries.trusted(spark, sf)).where("keep").collect()}
+    text = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} for i, t in text.items() for w in [words(t)]}
+    group = {i: i for i in text}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, j in itertools.combinations(sorted(text), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            x, y = sorted((find(i), find(j)))
+            group[y] = x
+    left = {i for i in text if find(i) == i}
+    left -= {r.doc_id for r in queries.op3_decontaminate(spark, sf).where("contaminated").collect()}
+    left = docs.where(F.col("doc_id").isin(sorted(left)))
+    drawn = sorted(r.doc_id for r in mixing.mix_sources(left, queries.levels(), queries.WEIGHTS, share=0.6, max_epochs=1).collect())
+    t, start, want = Tokenizer.from_file(queries.tokenizer()), 0, []
+    for i in drawn:
+        ids = [*t.encode(text[i], add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == want and len(want) > 20
+
+
 def test_pipeline_stages_drop_what_they_should(spark):
     import corpus_pipeline
 
