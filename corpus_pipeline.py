@@ -1,4 +1,11 @@
-"""From raw documents to token files, in five stages. Each stage works on all that the one before it kept."""
+"""From raw documents to token files, in five stages. Each stage works on all that the one before it kept.
+
+The classifier judges every row by its own text. In the later stages ``doc_id`` names a document: rows of one id
+(repeated rows, or different texts) stay or go together, and an id goes if the stage's rule takes out any of its rows.
+Rows with a null id pass the second and third stage, as no other row can stand for them, and are not drawn by the
+mixing stage. Null and empty texts do not pass the classifier. Ties: of near duplicates the smallest id stays. Extra
+columns stay, whatever their names. An empty table gives an empty result in every stage.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +19,13 @@ from codelake.llm.store import BROADCAST_ROWS, new_path, written
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = written(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` with (``left_semi``) or without (``left_anti``) an id of ``ids`` (one column), with all their
+    columns, whatever their names. Rows of one id stay or go together; a null id is none of ``ids``."""
+    few = written(ids.select(F.col(ids.columns[0]).alias("_id")).distinct(), "ids")
+    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id")).join(few, F.col("id") == F.col("_id"), how)
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,21 +36,19 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 and more): the smallest id."""
     groups = jaccard.jaccard_components(docs, k=5, percent=80)
-    return _without(docs, groups.where("component_id <> doc_id"))
+    return _by_id(docs, groups.where("component_id <> doc_id"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
     found = decontam.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    return _by_id(docs, found.where("contaminated"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn for the target weights; each at most once, so that ids stay unique."""
     drawn = mixing.mix_sources(docs, queries.levels(), queries.WEIGHTS, share=0.6, max_epochs=1)
-    ids = written(drawn.select(F.col("doc_id").alias("_drawn")).distinct(), "drawn")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(ids, F.col("doc_id") == F.col("_drawn"), "left_semi")
+    return _by_id(docs, drawn, "left_semi")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
