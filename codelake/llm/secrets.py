@@ -20,7 +20,8 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]{16,}"), 16),
 )
 KINDS = (*(k for k, _, _ in BASE), "format")
-_DIGITS = re.compile("[0-9]+")
+#: What a plain word lacks: digits, or a capital after its first letter with small letters beside it.
+_SIGNS = re.compile("[0-9]+|(?<=[a-z])[A-Z]|(?<=[A-Z])[A-Z](?=[a-z])")
 _RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 LEAST = 12  # characters of a candidate
 
@@ -39,9 +40,10 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Maximal runs of credential characters with a digit, of 12 characters and more."""
+    """Maximal runs of credential characters, of 12 characters and more, with a digit or with capitals inside. Words in
+    one case have the shape of a word whatever their letters, so formats cannot tell them from text."""
     end = 0
-    for m in _DIGITS.finditer(text):
+    for m in _SIGNS.finditer(text):
         if m.start() < end:
             continue
         a, b = m.start(), m.end()

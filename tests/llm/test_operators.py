@@ -378,6 +378,15 @@ def test_automaton_learns_a_format():
     assert model.score("c") == -np.inf
 
 
+def test_candidates():
+    runs = lambda t: [t[a:b] for a, b in secrets.candidates(t)]
+    assert runs("plainlongwordonly Capitalisedword ALLCAPITALWORD") == []
+    assert runs("x=aBcDeFgHiJkLmN, QWErtyuiopas ab12cd34ef56/+= short1 " + "k" * 100_000 + "7") == ["x=aBcDeFgHiJkLmN", "QWErtyuiopas", "ab12cd34ef56/+=", "k" * 100_000 + "7"]
+    r = random.Random(1)
+    f = secrets.Formats([("key", "".join(r.choice("gZqQ") for _ in range(18))) for _ in range(300)])
+    assert any(f.likely(s) for s in runs("the key gZqQgQZqgZqgQZgqZQ stands here"))
+
+
 def test_scan(spark, none):
     d = spark.createDataFrame([(1, SECRET, 0), (2, None, 0), (3, "", 0), (4, "key zk-1234-5678-9012-3456 end", 0), (4, "clean words only", 0)], "doc_id long, text string, base int")
     f = secrets.Formats([("key", "zk-" + "-".join(f"{(i + 1) * p % 10000:04d}" for p in (7, 31, 977, 3331))) for i in range(300)])
