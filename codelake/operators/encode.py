@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Generator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -124,12 +125,46 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">HH", marker, len(body) + 2) + body
 
 
-def encode_image(
+Segments = list[tuple[int, bytes]]
+#: A writer asks for blocks, (coefficients, band) of one style, to be coded, and gets (planes, segments) of each.
+Writer = Generator[tuple[list[tuple[np.ndarray, str]], int], list[tuple[int, Segments]], bytes]
+
+
+def encode_image(planes: list[np.ndarray], depth: int = 8, **options) -> bytes:
+    """A bare codestream of integer planes; the options are those of ``writer``."""
+    return encode_images([(planes, {"depth": depth, **options})])[0]
+
+
+def encode_images(pictures: list[tuple[list[np.ndarray], dict]]) -> list[bytes]:
+    """Codestreams of many pictures (planes, options of ``writer``), whose blocks are coded together."""
+    writers = [writer(planes, **options) for planes, options in pictures]
+    out: dict[int, bytes] = {}
+    asked = {i: next(w) for i, w in enumerate(writers)}
+    while asked:
+        done: dict[int, list[tuple[int, Segments]]] = {}
+        for style in {style for _, style in asked.values()}:
+            some = [i for i, (_, s) in asked.items() if s == style]
+            values = [v for i in some for v in asked[i][0]]
+            coded = iter(lanes.encode_blocks(values, style) if style or len(values) >= MANY else [(m, [(n, raw)] if n else []) for m, n, raw in (blocks.encode(*v) for v in values)])
+            done |= {i: [next(coded) for _ in asked[i][0]] for i in some}
+        asked = {}
+        for i, found in done.items():
+            try:
+                asked[i] = writers[i].send(found)
+            except StopIteration as end:
+                out[i] = end.value
+    return [out[i] for i in range(len(writers))]
+
+
+MANY = 256  # blocks from which lanes are faster than one block after the other
+
+
+def writer(
     planes: list[np.ndarray], depth: int = 8, levels: int = 2, tile: int | None = None, progression: int = 0, mct: bool = False, precincts: int | None = None, eph: bool = False, declared: int | None = None, signed: bool = False,
     *, lossy: float | None = None, quantisation: int | None = None, layers: int = 1, parts: int = 1, style: int = 0, block: tuple[int, int] = (6, 6), sampling: list[tuple[int, int]] | None = None, size: tuple[int, int] | None = None, origin: tuple[int, int] = (0, 0), sop: bool = False,
     component_levels: dict[int, int] | None = None, tile_levels: dict[int, int] | None = None, roi: dict[int, int] | None = None,
-) -> bytes:
-    """A bare codestream of integer planes.
+) -> Writer:
+    """The writer of one codestream of integer planes.
 
     ``lossy``: 9/7 with about this step (``quantisation`` 1 derived, 2 expounded); else 5/3. ``layers`` share the passes
     of every block, ``parts`` the packets of every tile, dealt out in turns over the tiles. ``sampling``: (dx, dy) of
@@ -176,7 +211,7 @@ def encode_image(
         if t in (tile_levels or {}):
             own = Style(progression=progression, layers=layers, mct=mct, sop=sop, eph=eph, cod=(b := blocks_of(tile_levels[t])), qcd=steps_of(b), base=main)
             head = cod_segment(b) + _segment(0xFF5C, _qcd(kind, guard, own.qcd.steps))
-        packets = _tile_packets(planes, rect, origin, sampling, depth, signed, own, progression, layers, mct, lossy)
+        packets = yield from _tile_packets(planes, rect, origin, sampling, depth, signed, own, progression, layers, mct, lossy)
         for i in range(parts):
             told.append((i, t, (head if not i else b"") + b"\xff\x93" + b"".join(packets[len(packets) * i // parts : len(packets) * (i + 1) // parts])))
     for i, t, body in sorted(told, key=lambda x: x[:2]):
@@ -185,7 +220,7 @@ def encode_image(
     return bytes(out + b"\xff\xd9")
 
 
-def _tile_packets(planes: list[np.ndarray], rect: tuple[int, int, int, int], origin: tuple[int, int], sampling: list[tuple[int, int]], depth: int, signed: bool, style: Style, progression: int, layers: int, mct: bool, lossy: float | None) -> list[bytes]:
+def _tile_packets(planes: list[np.ndarray], rect: tuple[int, int, int, int], origin: tuple[int, int], sampling: list[tuple[int, int]], depth: int, signed: bool, style: Style, progression: int, layers: int, mct: bool, lossy: float | None) -> Generator[tuple[list[tuple[np.ndarray, str]], int], list[tuple[int, Segments]], list[bytes]]:
     part = []
     for p, (dx, dy) in zip(planes, sampling, strict=True):
         u, v = -(-origin[0] // dx), -(-origin[1] // dy)
@@ -217,7 +252,8 @@ def _tile_packets(planes: list[np.ndarray], rect: tuple[int, int, int, int], ori
                         values.append((x[v0 - band.rect[1] : v1 - band.rect[1], u0 - band.rect[0] : u1 - band.rect[0]], band.name))
     coded: dict[int, _Coded] = {}
     code = style.blocks(0).style
-    for (k, _), (count, segments) in zip(places, lanes.encode_blocks(values, code) if len(values) >= 256 or code else [(m, [(passes, raw)] if passes else []) for m, passes, raw in (blocks.encode(*v) for v in values)], strict=True):
+    found = yield values, code
+    for (k, _), (count, segments) in zip(places, found, strict=True):
         coded[k] = _Coded(count, segments)
         coded[k].deal(layers, code)
     told: dict[int, tuple[_Told, _Told]] = {}

@@ -6,10 +6,11 @@ written from table values and read back (which shows that writer and reader agre
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -310,22 +311,24 @@ def _raster_files(spark, sf, planes: str, by_img: Callable[[int], dict] | None =
     """16x16 pictures of 256 neighbouring order keys, written as codestreams; keys that are missing are black. ``by_img``:
     options of each picture. With ``sampling``, components hold every dx-th sample of every dy-th row."""
 
-    def made(key, p: pd.DataFrame) -> pd.DataFrame:
-        pictures = []
-        for c in planes:
-            x = np.zeros(256, np.int64)
-            x[p["pos"]] = p[c]
-            pictures.append(x.reshape(16, 16))
-        more = by_img(int(key[0])) if by_img else {}
+    def picture(img: int, pixels: list[dict]) -> tuple[list[np.ndarray], dict]:
+        x = np.zeros((len(planes), 256), np.int64)
+        x[:, [r["pos"] for r in pixels]] = np.array([[r[c] for r in pixels] for c in planes])
+        each, more = list(x.reshape(-1, 16, 16)), by_img(img) if by_img else {}
         if "sampling" in options:
             more["size"] = (16, 16)
-            pictures = [x[::dy, ::dx] for x, (dx, dy) in zip(pictures, options["sampling"], strict=True)]
-        return pd.DataFrame({"img": [key[0]], "content": [encode.wrap(encode.encode_image(pictures, **options, **more))]})
+            each = [v[::dy, ::dx] for v, (dx, dy) in zip(each, options["sampling"], strict=True)]
+        return each, {**options, **more}
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = encode.encode_images([picture(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode.wrap(f) for f in files], pa.binary())], ["img", "content"])
 
     ship(spark)
     rows = table(spark, sf, "orders").selectExpr("o_orderkey div 256 as img", "o_orderkey % 256 as pos", *[f"{_RASTER[c]} as {c}" for c in planes])
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
-    return rows.repartition(n, "img").groupBy("img").applyInPandas(made, "img long, content binary")
+    return rows.repartition(n, "img").groupBy("img").agg(F.collect_list(F.struct("pos", *planes)).alias("pixels")).mapInArrow(made, "img long, content binary")
 
 
 def _raster_sql(planes: str) -> str:
