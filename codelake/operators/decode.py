@@ -138,13 +138,17 @@ def _tile_streams(b: bytes | None, permissive: bool) -> dict:
         return {"streams": [{"tile": None, "content": None, "error": image.error(e)}]}
 
 
-def decode_by_tile(df: DataFrame, key: list[str], mode: str = "strict", content: str = "content", max_samples: int = h.MAX_SAMPLES, max_coefficients: int = h.MAX_COEFFICIENTS) -> DataFrame:
+def decode_by_tile(df: DataFrame, key: list[str], mode: str = "strict", content: str = "content", max_samples: int = h.MAX_SAMPLES, max_coefficients: int = h.MAX_COEFFICIENTS, by_block: bool = False) -> DataFrame:
     """(*key, tile, planes, repairs, error): large images tile by tile, as rows of their own over the cluster.
 
     Every tile travels with the main header and its own parts only, so about one file's bytes are shuffled per file.
     ``planes`` has the tile's rectangle of each component (component, x, y, width, height, samples). ``max_samples``
     holds for the components of the whole image, ``max_coefficients`` for a tile's component. A file whose headers are
-    wrong has one row with its error and a null tile; repairs of headers are those that ``headers`` lists."""
+    wrong has one row with its error and a null tile; repairs of headers are those that ``headers`` lists.
+
+    ``by_block`` is for tiles that are too large for one task: their packets are read first, code-blocks travel as rows
+    of their own and are decoded in lanes anywhere, and their coefficients come back to the tile, which is then
+    transformed as a whole."""
     if mode not in ("strict", "permissive"):
         raise ValueError("mode is strict or permissive")
     permissive = mode == "permissive"
@@ -152,17 +156,40 @@ def decode_by_tile(df: DataFrame, key: list[str], mode: str = "strict", content:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = listed.select(*key, F.explode("streams").alias("_s")).select(*key, "_s.tile", "_s.content", F.col("_s.error").alias("_error")).repartition(n, *key, "tile")
 
-    def every(found: Iterable[tuple[bytes | None, int | None]]) -> Iterator[dict]:
-        given = [(b, [t] if t is not None else None) for b, t in found]
-        made = image.decode_files(((b, t) for b, t in given if t), permissive, max_samples, max_coefficients, whole=False)
-        for _, t in given:
+    def every(found: Iterable[tuple]) -> Iterator[dict]:
+        given = [(b, [t] if t is not None else None, *known) for b, t, *known in found]
+        if by_block:
+            made = (image.finish_tile(b, t, known[0], permissive, max_samples, max_coefficients) for b, t, *known in given if t)
+        else:
+            made = image.decode_files(((b, t) for b, t in given if t), permissive, max_samples, max_coefficients, whole=False)
+        for _, t, *_ in given:
             out = next(made) if t else {"repairs": []}
             yield out | {"repairs": [r for r in out["repairs"] if r["kind"] in ("TileMissing", "PacketsRunPastTheirTile", "CodeBlockDamaged")]}
 
-    out = _mapped(rows, [*key, "tile", "_error"], "content", f"planes array<struct<component:int,x:int,y:int,width:int,height:int,samples:array<int>>>, {REPAIRS}, {ERROR}", every, ["tile"])
+    more = ["tile"]
+    if by_block:
+        rows, more = _with_coefficients(rows, key, n, lambda b, t: image.tile_jobs(b, t, permissive, max_samples, max_coefficients)), ["tile", "_coefficients"]
+    out = _mapped(rows, [*key, "tile", "_error"], "content", f"planes array<struct<component:int,x:int,y:int,width:int,height:int,samples:array<int>>>, {REPAIRS}, {ERROR}", every, more)
     return out.select(*key, "tile", "planes", "repairs", F.coalesce("_error", "error").alias("error"))
 
 
+def _with_coefficients(rows: DataFrame, key: list[str], n: int, jobs: Callable[[bytes, int], list[dict]]) -> DataFrame:
+    """``rows`` (*key, tile, content) with the coefficients of each tile's blocks, decoded in rows of their own."""
+    rows = rows.withColumn("_digest", F.xxhash64("content"))
+    same = [*key, "tile", "_digest"]
+    listed = _mapped(rows.where("tile is not null"), same, "content", "jobs array<struct<n:int,width:int,height:int,band:string,planes:int,style:int,segments:array<struct<passes:int,data:binary>>>>", lambda found: ({"jobs": jobs(b, t)} for b, t in found), ["tile"])
+    blocks = listed.select(*same, F.explode("jobs").alias("_j")).select(*same, F.col("_j.n").alias("_n"), "_j").repartition(n, *same, F.call_function("div", F.col("_n"), F.lit(256)))
+
+    def decoded(found: Iterable[dict]) -> Iterator[dict]:
+        given = [(j["width"], j["height"], j["band"], j["planes"], j["style"], [(s["passes"], s["data"]) for s in j["segments"]]) for j in found]
+        return ({"_values": x.astype("<i4").tobytes()} for x in image.decode_jobs(given))
+
+    found = _mapped(blocks, [*same, "_n"], "_j", "_values binary", decoded).groupBy(*same).agg(F.sort_array(F.collect_set(F.struct("_n", "_values"))).alias("_found"))
+    found = found.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(same)], F.col("_found._values").alias("_coefficients"))
+    join = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(same)]
+    return rows.join(found, join, "left").select(*rows.columns, "_coefficients")
+
+
 def samples(decoded: DataFrame, key: list[str]) -> DataFrame:
     """(*key, component, pos, value): one row per sample of decoded images; files with an error have none."""
     each = decoded.where("error is null").select(*key, F.posexplode("components").alias("component", "_c"))

@@ -236,6 +236,20 @@ def decode_files(every: Iterable[tuple[bytes | None, list[int] | None]], permiss
     yield from done()
 
 
+def tile_jobs(data: bytes, t: int, permissive: bool, max_samples: int, max_coefficients: int) -> list[dict]:
+    """The blocks of a tile's own codestream, for decoding elsewhere; none if it cannot be opened."""
+    f = File(data, permissive, max_samples, max_coefficients, [t])
+    jobs = [j for tile in f.tiles for j in tile.jobs]
+    return [{"n": i, **dict(zip(("width", "height", "band", "planes", "style"), j, strict=False)), "segments": [{"passes": n, "data": b} for n, b in j[5]]} for i, j in enumerate(jobs)]
+
+
+def finish_tile(data: bytes, tiles: list[int], values: list[bytes] | None, permissive: bool, max_samples: int, max_coefficients: int) -> dict:
+    """A tile's planes from the coefficients of its blocks, in the order of ``tile_jobs``."""
+    f = File(data, permissive, max_samples, max_coefficients, tiles)
+    jobs = [j for tile in f.tiles for j in tile.jobs]
+    return f.parts([np.frombuffer(v, "<i4").reshape(j[1], j[0]).astype(np.int64) for v, j in zip(values or [], jobs, strict=True)])
+
+
 def decode_file(data: bytes, permissive: bool = False, max_samples: int = headers.MAX_SAMPLES, max_coefficients: int = headers.MAX_COEFFICIENTS, tiles: list[int] | None = None) -> dict:
     return next(decode_files([(data, tiles)], permissive, max_samples, max_coefficients))
 

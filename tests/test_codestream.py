@@ -208,6 +208,16 @@ def test_width_beyond_32_bits(spark):
     assert op.headers(d, ["k"]).where("k = 1").first().header.x1 == 2**32 - 1
 
 
+def test_by_block_is_by_tile(spark):
+    """Blocks as rows of their own give the same tiles, with repeated rows, null keys, damage and errors."""
+    rgb = encode.golden_picture(33, 70)
+    whole = encode.encode_image(rgb, mct=True, tile=32, layers=2, block=(3, 3))
+    d = spark.createDataFrame([("a", whole), ("a", whole), (None, encode.encode_image(rgb[:1], lossy=1 / 8)), ("cut", whole[:-200]), ("bad", b"nothing"), ("null", None)], "k string, content binary")
+    for mode in ("strict", "permissive"):
+        one, two = (op.decode_by_tile(d, ["k"], mode, by_block=b).collect() for b in (False, True))
+        assert sorted(map(str, one)) == sorted(map(str, two)) and len(one) > 10
+
+
 def test_by_tile_keeps_files_with_errors(spark):
     whole = encode.encode_image(encode.golden_picture(channels=1), tile=8)
     d = spark.createDataFrame([("good", whole), ("bad", b"nothing"), ("null", None), ("cut", whole[:-40])], "k string, content binary")
