@@ -29,7 +29,7 @@ STEP = 1024
 SHARD_TOKENS = 1 << 20
 GROUP_CHARS = 4_000_000  # texts encoded together
 REMEMBERED = 1 << 19  # parts whose ids a worker remembers: some 30 MB
-PAIRS = 4096  # pairs that one round replaces at most; the next one takes the rest
+PAIRS = 8192  # pairs that one round replaces at most; the next one takes the rest
 TABLE_BITS, _SPREAD = 17, 0x9E3779B1
 _SPACE, _LINE, _MARK, _LETTER = 1, 2, 3, 4
 _KIND = np.zeros(256, np.uint8)
@@ -44,6 +44,10 @@ _HEAD = struct.Struct("<5sIIIIB")
 #: Parts (in Arrow's pattern language) without white space but for a blank before them, and without any.
 _AFTER_BLANK, _BARE = r"\A [^\s\p{Z}\x{85}\v]+\z", r"\A[^\s\p{Z}\x{85}\v]+\z"
 _ODD = re.compile(r"\s (?:\s|\Z)")
+#: Bytes that a white-space character may end or begin with in UTF-8; only blanks between two such may be odd.
+_ENDS_SPACE, _BEGINS_SPACE = np.zeros(256, bool), np.zeros(256, bool)
+_ENDS_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+_BEGINS_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def repair(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -276,12 +280,9 @@ class Encoder:
         begin[at] = filled + np.cumsum(size[at]) - size[at]
         return np.concatenate([*out, *odd]), begin, size
 
-    def _by_parts(self, texts: list[str]) -> list[np.ndarray]:
-        raw = [t.encode() for t in texts]
-        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-        data = b"".join(raw)
+    def _by_parts(self, data: bytes, ends: np.ndarray) -> list[np.ndarray]:
         if not data:
-            return [np.zeros(0, np.uint32)] * len(texts)
+            return [np.zeros(0, np.uint32)] * len(ends)
         start = np.flatnonzero(part_starts(np.frombuffer(data, np.uint8), ends))
         offsets = np.append(start, len(data)).astype(np.int64)
         coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
@@ -294,13 +295,37 @@ class Encoder:
         cut = np.append(0, after)[np.searchsorted(start, np.append(0, ends))].tolist()
         return [ids[a:b] for a, b in itertools.pairwise(cut)]
 
+    def _odd(self, texts: list[str], data: bytes, ends: np.ndarray) -> list[int]:
+        """The texts whose parts may not hold: with white-space runs around a blank, or with added tokens."""
+        if not self.parted:
+            return list(range(len(texts)))
+        x = np.frombuffer(data, np.uint8)
+        blank = np.flatnonzero(x == 0x20)
+        last = np.zeros(len(x) + 1, bool)
+        last[ends] = True
+        blank = blank[_ENDS_SPACE[x[np.maximum(blank - 1, 0)]]]
+        blank = blank[last[blank + 1] | _BEGINS_SPACE[x[np.minimum(blank + 1, len(x) - 1)]]]
+        maybe = np.unique(np.searchsorted(ends, blank, "right")).tolist()
+        out = {i for i in maybe if _ODD.search(texts[i])}
+        for a in self.added:
+            if a.encode() in data:
+                out |= {i for i, t in enumerate(texts) if a in t}
+        return sorted(out)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """u32 ids of each text."""
-        whole = [i for i, t in enumerate(texts) if not self.parted or _ODD.search(t) or any(a in t for a in self.added)]
+
+        def joined(some: list[str]) -> tuple[bytes, np.ndarray]:
+            raw = [t.encode() for t in some]
+            return b"".join(raw), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+
+        data, ends = joined(texts)
+        whole = self._odd(texts, data, ends)
+        if not whole:
+            return self._by_parts(data, ends)
         out = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True))
         rest = [i for i in range(len(texts)) if i not in out]
-        if rest:
-            out.update(zip(rest, self._by_parts([texts[i] for i in rest]), strict=True))
+        out.update(zip(rest, self._by_parts(*joined([texts[i] for i in rest])), strict=True))
         return [out[i] for i in range(len(texts))]
 
 
