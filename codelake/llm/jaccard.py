@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelake.llm.components import components
@@ -166,6 +166,37 @@ def _cells(k: int, percent: int):
     return run
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (cell, k1) sorted by both, (cell, k1, lead) of the cells that hold two sets and more, each set once; the
+    lead is the smallest. Only one row is held back, however many a cell has."""
+    cell = lead = last = None  # of the row before
+    waits = False  # whether that row is its cell's only one so far
+    for b in batches:
+        c, k = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not len(c):
+            continue
+        new = np.concatenate([[cell is None or c[0] != cell or k[0] != last], (c[1:] != c[:-1]) | (k[1:] != k[:-1])])
+        c, k = c[new], k[new]
+        if not len(c):
+            continue
+        goes_on = cell is not None and c[0] == cell
+        begin = np.flatnonzero(np.concatenate([[not goes_on], c[1:] != c[:-1]]))
+        runs = np.concatenate([[0], begin]) if goes_on else begin
+        size = np.diff(np.append(runs, len(c)))
+        first = k[runs]
+        several = size > 1
+        if goes_on:
+            first[0], several[0] = lead, True
+        out = [np.repeat(x, size)[np.repeat(several, size)] for x in (c[runs], first)]
+        parts = [(out[0], k[np.repeat(several, size)], out[1])]
+        if goes_on and waits:
+            parts.insert(0, tuple(np.array([x]) for x in (cell, lead, lead)))
+        cell, lead, last, waits = c[-1], first[-1], k[-1], not several[-1]
+        for x in parts:
+            if len(x[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in x], ["cell", "k1", "lead"])
+
+
 def _members(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k1", "k2", "n", "vec", "tokens"]
@@ -341,9 +372,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     one = reps.select(F.col("rep").alias("doc_id"))
     one = F.broadcast(one) if reps.count() <= BROADCAST_ROWS else one
     every = src.join(one, "doc_id", "left_semi").mapInArrow(returning_memory(_cells(k, percent)), "cell long, k1 long")
-    whole = Window.partitionBy("cell")
-    every = every.withColumn("lead", F.min("k1").over(whole)).withColumn("_last", F.max("k1").over(whole))
-    held = written(every.where("lead <> _last").select("cell", "k1", "lead").distinct(), "held")
+    every = every.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "k1")
+    held = written(every.mapInArrow(returning_memory(_together), "cell long, k1 long, lead long"), "held")
     stars = written(held.where("k1 <> lead").select(F.col("lead").alias("a"), F.col("k1").alias("b")).distinct(), "stars")
 
     wanted = written(stars.select(F.col("a").alias("k1")).union(stars.select("b")).distinct().join(reps, "k1"), "wanted")

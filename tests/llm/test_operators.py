@@ -169,6 +169,22 @@ def test_a_common_line_does_not_make_a_common_cell():
     assert np.sort(most)[-2] <= 40 and most.max() <= 60
 
 
+@pytest.mark.parametrize("cells_", [3, 40, 400])
+def test_cells_are_read_as_a_stream(cells_):
+    import pyarrow as pa
+
+    r = np.random.default_rng(cells_)
+    rows = sorted(zip(r.integers(0, cells_, 500).tolist(), r.integers(-30, 30, 500).tolist(), strict=True))
+    want = {}
+    for c, k in rows:
+        want.setdefault(c, set()).add(k)
+    want = sorted((c, k, min(v)) for c, v in want.items() if len(v) > 1 for k in v)
+    for step in (1, 2, 7, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + step], strict=True)], ["cell", "k1"]) for i in range(0, 500, step)]
+        got = [x for b in jaccard._together(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert sorted(got) == want and len(got) == len(set(got))
+
+
 def test_bounds_keep_all_linked_pairs():
     import pyarrow as pa
 
