@@ -27,8 +27,8 @@ from codelake.session import ship
 MARK = b"CLRP1"
 STEP = 1024
 SHARD_TOKENS = 1 << 20
-GROUP_CHARS = 4_000_000  # texts encoded together
-REMEMBERED = 1 << 19  # parts whose ids a worker remembers: some 30 MB
+GROUP_CHARS = 6_000_000  # texts encoded together
+REMEMBERED = 1 << 18  # parts whose ids a worker remembers: some 30 MB
 PAIRS = 8192  # pairs that one round replaces at most; the next one takes the rest
 TABLE_BITS, _SPREAD = 17, 0x9E3779B1
 _SPACE, _LINE, _MARK, _LETTER = 1, 2, 3, 4
@@ -43,6 +43,9 @@ _HEAD = struct.Struct("<5sIIIIB")
 #: A white-space run that goes on after a blank inside it: there texts are encoded whole.
 #: Parts (in Arrow's pattern language) without white space but for a blank before them, and without any.
 _AFTER_BLANK, _BARE = r"\A [^\s\p{Z}\x{85}\v]+\z", r"\A[^\s\p{Z}\x{85}\v]+\z"
+#: A blank and Latin letters: one piece for the library's pattern, which its model may be given as it is.
+_WORD = r"\A [A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{17F}]+\z"
+_WRITTEN = np.array([_BYTES.get(b, b) for b in range(256)], "<u4")
 _ODD = re.compile(r"\s (?:\s|\Z)")
 #: Bytes that a white-space character may end or begin with in UTF-8; only blanks between two such may be odd.
 _ENDS_SPACE, _BEGINS_SPACE = np.zeros(256, bool), np.zeros(256, bool)
@@ -203,9 +206,10 @@ class Encoder:
     """Whole texts to ids with the tokenizers library; each different part of a group of texts is encoded once.
 
     Byte-level BPE never merges across the places that its pattern separates, so a text's ids are those of its parts.
-    Arrow numbers the parts of a group of texts, and the different ones go to the library in two joined texts, cut
-    again at the ids that begin with a blank or are a line end. Parts with other white space are encoded one by one;
-    texts where parts do not hold (white-space runs around a blank, added tokens) whole.
+    Arrow numbers the parts of a group of texts. Of the different ones, a blank and Latin letters go to the library's
+    model as they are; the others go to the library in two joined texts, cut again at the ids that begin with a blank
+    or are a line end. Parts with other white space are encoded one by one; texts where parts do not hold (white-space
+    runs around a blank, added tokens) whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -259,8 +263,23 @@ class Encoder:
         """(ids, begin, size) of parts that the library encodes now."""
         begin, size, out, filled = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), [], 0
         left = np.ones(len(parts), bool)
+        own = pc.match_substring_regex(parts, _WORD).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(own)
+        if len(at):
+            blank, tokenize = chr(_BYTES[0x20]), self.tokenizer.model.tokenize
+            raw = "".join(parts.take(pa.array(at)).to_pylist()).encode()
+            words, flat, count = _WRITTEN[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le").split(blank)[1:], [], []
+            for w in words:
+                found = tokenize(blank + w)
+                flat += [t.id for t in found]
+                count.append(len(found))
+            size[at] = count
+            out.append(np.array(flat, np.uint32))
+            begin[at] = np.cumsum(size[at]) - size[at]
+            left &= ~own
+            filled = len(out[0])
         for blank, pattern in (True, _AFTER_BLANK), (False, _BARE):
-            own = pc.match_substring_regex(parts, pattern).to_numpy(zero_copy_only=False)
+            own = pc.match_substring_regex(parts, pattern).to_numpy(zero_copy_only=False) & left
             at = np.flatnonzero(own)
             if not len(at):
                 continue
@@ -353,7 +372,7 @@ def _write(tokenizer_path: str, end_id: int, shard_tokens: int):
             data = pack(np.concatenate([y for x in ids for y in (x, end)]), names, sizes, encoder.vocabulary)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], ["part", "shard", "n_tokens", "data"])
 
-        for b in (batch.slice(k, 1000) for batch in batches for k in range(0, batch.num_rows, 1000)):
+        for b in (batch.slice(k, 2000) for batch in batches for k in range(0, batch.num_rows, 2000)):
             rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
             group: list[tuple[int | None, str]] = []
             chars = 0
