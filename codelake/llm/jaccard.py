@@ -32,7 +32,7 @@ GROUP_BITS = 24  # groups behind the blocks: many more than blocks, so that a bl
 COORDINATES = 256  # least coordinates of the trees in the cells
 LAYOUTS = 8
 WAITING = 200_000  # pairs that a task holds back to name them once
-TOGETHER = 20_000  # rows of cells with the same smallest point that go to one task
+TOGETHER = 5_000  # rows of cells with the same smallest point that go to one task
 CELL = 2048  # points of one tree; larger cells are searched as pairs of chunks
 LEAF = 16
 
