@@ -35,6 +35,7 @@ WAITING = 200_000  # pairs that a task holds back to name them once
 TOGETHER = 5_000  # rows of cells with the same smallest point that go to one task
 CELL = 2048  # points of one tree; larger cells are searched as pairs of chunks
 LEAF = 16
+PAYS = 10  # rounds of best pairs go on while more than one in so many that the bound allows is a link
 
 
 def bands(percent: int, most: int) -> list[tuple[int, int, int, int]]:
@@ -251,40 +252,47 @@ def overlap_bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return low.sum(-1, dtype=np.int64) + (low == 255).sum(-1) * (1 << 20)
 
 
-def tree_pairs(vecs: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs (i, j), i < j, of points that the overlap bound allows.
+def tree_pairs(vecs: np.ndarray, sizes: np.ndarray, percent: int, part: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (i, j), i < j, of points that the overlap bound allows; with ``part``, only those of different parts.
 
     A packed R-tree: points sorted by size, then by the place of their largest coordinate, cut into leaves whose
     rectangles hold the coordinate maxima and the size range; each leaf of queries is held against all rectangles at
-    once, then its points against the points of the rectangles that are left. A leaf alone is searched directly.
+    once, then its points against the points of the rectangles that are left. A leaf alone is searched directly. The
+    points of the largest part come last, so that its leaves are not held against each other.
     """
     count = len(sizes)
+    part = np.arange(count) if part is None else np.unique(part, return_inverse=True)[1]
     if count <= LEAF:
         i, j = np.triu_indices(count, 1)
+        i, j = i[part[i] != part[j]], j[part[i] != part[j]]
         ok = overlap_bound(vecs[i], vecs[j]) >= -(-percent * (sizes[i] + sizes[j]) // (100 + percent))
         return np.stack([i[ok], j[ok]], 1)
-    order = np.lexsort((vecs.argmax(1), sizes))
-    v, n = vecs[order], sizes[order]
+    order = np.lexsort((vecs.argmax(1), sizes, part == np.bincount(part).argmax()))
+    v, n, of = vecs[order], sizes[order], part[order]
     edge = np.arange(0, count, LEAF)
     high = np.maximum.reduceat(v, edge, 0)
     small, big = np.minimum.reduceat(n, edge), np.maximum.reduceat(n, edge)
+    low, top = np.minimum.reduceat(of, edge), np.maximum.reduceat(of, edge)
     out = []
     for q in range(len(edge)):
         a = slice(edge[q], min(edge[q] + LEAF, count))
         later = np.arange(q, len(edge))
+        later = later[(low[q] != top[q]) | (low[later] != low[q]) | (top[later] != low[q])]
         near = later[(100 * big[later] >= percent * small[q]) & (100 * big[q] >= percent * small[later])]
         near = near[overlap_bound(high[q], high[near]) >= -(-percent * (small[q] + small[near]) // (100 + percent))]
         for r in near:
             b = slice(edge[r], min(edge[r] + LEAF, count))
             i, j = np.nonzero(overlap_bound(v[a, None, :], v[None, b, :]) >= -(-percent * (n[a, None] + n[None, b]) // (100 + percent)))
+            i, j = i[of[a][i] != of[b][j]], j[of[a][i] != of[b][j]]
             i, j = order[i + a.start], order[j + b.start]
             out.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1)[(i < j) if q == r else slice(None)])
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def _search(percent: int):
+def _search(percent: int, best: bool = False):
     """Searches cell after cell of rows (cell, _i, _j, _mine, k1, n, part, vec) that stand together by cell, _i, _j. Pairs
-    of one group of copies meet in many cells, most of them in the same task: it names them once."""
+    of one group of copies meet in many cells, most of them in the same task: it names them once. With ``best``, it
+    names one pair of each two parts: the one whose bound is farthest above what a link needs."""
 
     def pairs(t: pa.Table, ends: np.ndarray) -> Iterator[np.ndarray]:
         mine, key, n, part = (t.column(c).to_numpy() for c in ("_mine", "k1", "n", "part"))
@@ -310,12 +318,26 @@ def _search(percent: int):
                     found.append(np.stack([p[ok], q[ok]], 1))
             large = size[cell] > 8
             for a, b in zip(first[:-1][large].tolist(), first[1:][large].tolist(), strict=True):
-                found.append(a + tree_pairs(vecs[a:b], n_[a:b], percent))
+                found.append(a + tree_pairs(vecs[a:b], n_[a:b], percent, part_[a:b]))
             got = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
             p, q = got[:, 0], got[:, 1]
-            ok = (part_[p] != part_[q]) & (~two[rows][p] | (m_[p] != m_[q]))
-            x, y = key[rows][p[ok]], key[rows][q[ok]]
-            yield np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+            ok = ~two[rows][p] | (m_[p] != m_[q])
+            p, q = p[ok], q[ok]
+            x, y = key[rows][p], key[rows][q]
+            named = [np.minimum(x, y), np.maximum(x, y)]
+            if best:
+                step = max((1 << 22) // w, 1)
+                over = np.concatenate([np.zeros(0), *(overlap_bound(vecs[p[c : c + step]], vecs[q[c : c + step]]) for c in range(0, len(p), step))])
+                over = over * (100 + percent) / (n_[p] + n_[q])  # over ``percent``, as far as the bound is above the need
+                named += [np.minimum(part_[p], part_[q]), np.maximum(part_[p], part_[q]), -(over * 1e6).astype(np.int64)]
+            yield once(np.stack(named, 1))
+
+    def once(held: np.ndarray) -> np.ndarray:
+        """Rows (a, b), each once; with ``best`` rows (a, b, part, part, rank), of each two parts the one of least rank."""
+        if not best:
+            return np.unique(held, axis=0)
+        held = held[np.lexsort(held.T[[1, 0, 4, 3, 2]])]
+        return held[np.concatenate([[True], (held[1:, 2:4] != held[:-1, 2:4]).any(1)])[: len(held)]]
 
     def cells_in(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         rest: pa.Table | None = None
@@ -332,15 +354,15 @@ def _search(percent: int):
             yield from pairs(rest, np.array([0, rest.num_rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 2), np.int64)
+        held = np.zeros((0, 5 if best else 2), np.int64)
         for found in cells_in(batches):
             held = np.concatenate([held, found])
             if len(held) > WAITING:
-                held = np.unique(held, axis=0)
+                held = once(held)
                 if len(held) > WAITING // 2:
                     yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], ["a", "b"])
                     held = held[:0]
-        held = np.unique(held, axis=0)
+        held = once(held)
         yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], ["a", "b"])
 
     return run
@@ -356,7 +378,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     Rounds: (1) identical sets collapse to one point, and only one document of each makes cells, which are shuffled
     once and kept where they hold two points; (2) in every cell each point is paired with the smallest one,
     the pairs are verified, and components formed; (3) cells that still hold several components are searched with an
-    R-tree for pairs across components, again verified. So a large group of near copies costs about one pair a copy.
+    R-tree for pairs across components: of each two components that meet in a task only the pair with the most room in
+    the bound is named, verified and joined, again and again while that finds links; (4) a last search names all pairs
+    across the components that are left, again verified. So a large group of near copies costs about one pair a copy, and
+    all of a component's pairs with another one are named only if none of the tried ones is a link.
     Cells of over 2,048 points are searched chunk against chunk, each its own task. Keys are 64-bit; two different
     sets of one key are told apart when verified.
 
@@ -388,7 +413,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 
     members = drawn(wanted, ["n", "vec"], "members")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """(links, how many pairs the overlap bound allows) of pairs (a, b) of keys."""
         left, right = (members.select(F.col("k1").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("vec").alias(f"v{x}")) for x in "ab")
         near = pairs.join(left, "a").join(right, "b").select("ra", "na", "va", "rb", "nb", "vb")
         near = written(near.mapInArrow(lambda it: bounded(it, percent), "ra long, rb long"), "near")
@@ -396,26 +422,53 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         whole = drawn(written(wanted.join(reps_of, "rep", "left_semi"), "near-sets"), ["tokens"], "tokens")
         left, right = (whole.select(F.col("rep").alias(f"r{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
         rows = near.join(left, "ra").join(right, "rb").select("ra", "ta", "rb", "tb")
-        return rows.mapInArrow(lambda it: linked(it, percent), "a long, b long")
-
-    sure = written(verify(stars), "links")
-    label = components(sure)
-    named = members.select("k1", "rep", "n", "vec").join(label, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep")).select("k1", "rep", "n", "vec", "part")
-    named = written(named, "named")
+        return written(rows.mapInArrow(lambda it: linked(it, percent), "a long, b long"), "links"), near.count()
+
+    def joined(named: DataFrame, links: DataFrame) -> DataFrame:
+        """``named`` with the parts joined that links of their points connect."""
+        of = named.select("rep", "part").distinct()
+        left, right = (of.select(F.col("rep").alias(x), F.col("part").alias(f"p{x}")) for x in "ab")
+        label = components(links.join(left, "a").join(right, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+        out = named.join(label, F.col("part") == F.col("node"), "left").withColumn("part", F.coalesce("component", "part"))
+        return written(out.select("k1", "rep", "n", "vec", "part"), "named")
+
+    def found_in(cells_: DataFrame, named: DataFrame, best: bool) -> DataFrame:
+        """Pairs (a, b) of keys across parts that the search finds in the rows (cell, k1, lead) of cells of several parts."""
+        light = cells_.join(named.select("k1", "part"), "k1")
+        split = light.groupBy("cell").agg(F.min("lead").alias("lead"), F.min("part").alias("_x"), F.max("part").alias("_y"), F.count(F.lit(1)).alias("_m")).where("_x <> _y")
+        split = written(split.select("cell", "lead", "_m", F.ceil(F.col("_m") / CELL).cast("int").alias("_parts")), "split")
+        tasks = split.groupBy("lead").agg(F.ceil(F.sum(F.col("_m") * F.col("_parts")) / TOGETHER).alias("_tasks"))
+        rows = cells_.select("cell", "k1").join(split.join(tasks, "lead"), "cell").join(named, "k1")
+        rows = rows.withColumn("_mine", F.pmod(F.xxhash64("k1"), F.col("_parts")).cast("int"))
+        rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        rows = rows.select("cell", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "k1", "n", "part", "vec", "lead", "_tasks")
+        rows = rows.withColumn("_task", F.pmod(F.xxhash64("cell", "_i", "_j"), F.col("_tasks")))
+        rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lead", "_task").sortWithinPartitions("lead", "_task", "cell", "_i", "_j").drop("lead", "_task", "_tasks")
+        pairs = rows.mapInArrow(returning_memory(_search(percent, best)), "a long, b long").distinct()
+        pairs = written(pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), "pairs")
+        tried.append(pairs)
+        forget(split)
+        return pairs
+
+    sure, _ = verify(stars)
+    tried = [stars]
+    named = joined(members.select("k1", "rep", "n", "vec", F.col("rep").alias("part")), sure)
     light = held.join(named.select("k1", "part"), "k1")
-    split = light.groupBy("cell").agg(F.min("lead").alias("lead"), F.min("part").alias("_x"), F.max("part").alias("_y"), F.count(F.lit(1)).alias("_m")).where("_x <> _y")
-    split = written(split.select("cell", "lead", "_m", F.ceil(F.col("_m") / CELL).cast("int").alias("_parts")), "split")
-    tasks = split.groupBy("lead").agg(F.ceil(F.sum(F.col("_m") * F.col("_parts")) / TOGETHER).alias("_tasks"))
-    rows = held.select("cell", "k1").join(split.join(tasks, "lead"), "cell").join(named, "k1")
-    rows = rows.withColumn("_mine", F.pmod(F.xxhash64("k1"), F.col("_parts")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    rows = rows.select("cell", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "k1", "n", "part", "vec", "lead", "_tasks")
-    rows = rows.withColumn("_task", F.pmod(F.xxhash64("cell", "_i", "_j"), F.col("_tasks")))
-    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lead", "_task").sortWithinPartitions("lead", "_task", "cell", "_i", "_j").drop("lead", "_task", "_tasks")
-    across = rows.mapInArrow(returning_memory(_search(percent)), "a long, b long").distinct()
-    more = written(verify(across.join(stars, ["a", "b"], "left_anti")), "links")
-    final = components(reduce(DataFrame.unionByName, [sure, more])) if more.limit(1).count() else label
-    for t in (held, stars, members, named, split):
+    several = light.groupBy("cell").agg(F.min("part").alias("_x"), F.max("part").alias("_y")).where("_x <> _y").select("cell")
+    opened = written(held.join(several, "cell", "left_semi"), "open")
+    forget(held)
+    best = True
+    while True:
+        links, near = verify(found_in(opened, named, best))
+        found = links.count()
+        if found:
+            before, named = named, joined(named, links)
+            forget(before)
+        if not best:
+            break
+        best = found * PAYS > near
+    final = written(named.select(F.col("rep").alias("node"), F.col("part").alias("component")).distinct(), "final")
+    for t in (opened, members, named, *tried):
         forget(t)
     set_label = reps.join(final, F.col("rep") == F.col("node")).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("component"))
     copies = reps.select(F.col("k1").alias("_r1"), F.col("k2").alias("_r2"), "rep")

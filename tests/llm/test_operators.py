@@ -200,6 +200,54 @@ def test_bounds_keep_all_linked_pairs():
     assert {(a, b) for a, b in zip(*(c.to_pylist() for c in got.columns), strict=True)} == want and len(want) >= 3
 
 
+def test_near_copies_cost_a_few_pairs_each(spark, monkeypatch):
+    """300 copies of one text, each with one to three words of its own: some pairs are linked, others just not."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(300):
+        w = list(base)
+        for j in range(r.choice((1, 2, 2, 2, 3))):
+            w[r.randrange(150)] = f"x{i}.{j}"
+        texts.append(" ".join(w))
+    seen = []
+    kept = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: seen.append((name, kept(df, name))) or seen[-1][1])
+    monkeypatch.setattr(jaccard, "forget", lambda t: None)
+    got = {g.doc_id: g.component_id for g in jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(146)} for w in map(str.split, texts)]
+    edges = [(a, b) for a, b in itertools.combinations(range(300), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = list(range(300))
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == dict(enumerate(want))
+    near = [df.count() for name, df in seen if name == "near"]
+    assert sum(near[1:]) <= 300, near  # beyond the pairs with the smallest point of a cell
+
+
+def test_search_names_the_best_pair_of_two_parts():
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    vecs = r.poisson(0.7, (60, jaccard.COORDINATES)).astype(np.uint8)
+    vecs[20:] = vecs[0]
+    vecs[40:] = vecs[1]
+    vecs[20:, :40] += r.integers(0, 2, (40, 40)).astype(np.uint8)
+    sizes, part = vecs.sum(1).astype(np.int64), np.r_[np.arange(20), np.full(20, 100), np.full(10, 101), np.full(10, 102)]
+    got = {tuple(x) for x in jaccard.tree_pairs(vecs, sizes, 90, part).tolist()}
+    assert got == {(i, j) for i, j in jaccard.tree_pairs(vecs, sizes, 90).tolist() if part[i] != part[j]} and len(got) >= 30
+    one = lambda x: pa.array(np.full(60, x))
+    rows = pa.RecordBatch.from_arrays([one(7), one(0), one(0), one(0), pa.array(np.arange(60)), pa.array(sizes), pa.array(part), pa.array([v.tobytes() for v in vecs])], ["cell", "_i", "_j", "_mine", "k1", "n", "part", "vec"])
+    named = {best: [x for b in jaccard._search(90, best)(iter([rows])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)] for best in (False, True)}
+    assert set(named[False]) == got and len(named[False]) == len(got)
+    parts = lambda x: tuple(sorted(part[list(x)].tolist()))
+    room = lambda x: np.minimum(vecs[x[0]], vecs[x[1]]).sum(dtype=int) / (sizes[x[0]] + sizes[x[1]])
+    assert sorted(map(parts, named[True])) == sorted({parts(x) for x in got})
+    for x in named[True]:
+        assert room(x) >= max(room(y) for y in got if parts(y) == parts(x)) - 1e-6
+
+
 def test_large_cells_are_searched_in_chunks(docs, monkeypatch):
     want = sorted(map(str, jaccard.jaccard_components(docs).collect()))
     monkeypatch.setattr(jaccard, "CELL", 3)
