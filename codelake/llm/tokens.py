@@ -57,7 +57,10 @@ def repair(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int | None =
     """(symbols, rules): each round counts all neighbouring pairs and replaces the ``pairs`` most frequent ones by new
     nonterminals, left to right without overlap. Rounds end when no pair is replaced often enough to pay for its rule:
     ``least`` times, which is what a rule's twelve bytes hold of symbols. A rule that would make all symbols four bytes
-    wide instead of two never pays for that, so none is made then."""
+    wide instead of two never pays for that, so none is made then.
+
+    Old pairs only become fewer, so a round looks at the places ``live`` alone: pairs with a symbol of the last round,
+    and those that share a slot with a pair that was frequent in it."""
     narrow = first < 1 << 16  # a pair fits in 32 bits then, which sort twice as fast
     half = 16 if narrow else 32
     least = least or 12 // (2 if narrow else 4) + 1
@@ -65,9 +68,11 @@ def repair(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int | None =
     kind = seq.dtype.type
     mask = kind((1 << half) - 1)
     rules = np.zeros((0, 2), np.int64)
-    while len(seq) >= max(least, 2):
+    slot = lambda x: (x * kind(_SPREAD)) >> kind(2 * half - TABLE_BITS)
+    live = np.arange(len(seq) - 1, dtype=np.int32 if len(seq) < 1 << 31 else np.int64)
+    while len(live) >= max(least, 2):
         room = min(pairs, (1 << 16) - first - len(rules)) if narrow else pairs
-        key = seq[:-1] << kind(half) | seq[1:]
+        key = seq[live] << kind(half) | seq[live + 1]
         order = np.sort(key)
         edge = order[np.flatnonzero(order[least - 1 :] == order[: len(order) - least + 1])]  # only pairs of ``least`` occurrences have these
         if not len(edge) or room <= 0:
@@ -75,12 +80,12 @@ def repair(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int | None =
         begin = np.flatnonzero(np.concatenate([[True], edge[1:] != edge[:-1]]))
         often, spare = edge[begin], np.diff(np.append(begin, len(edge)))
         chosen = np.sort(often[np.argsort(-spare, kind="stable")[:room]])
-        slot = lambda x: (x * kind(_SPREAD)) >> kind(2 * half - TABLE_BITS)
         table = np.zeros(1 << TABLE_BITS, np.int32)  # of two chosen pairs in one slot, one waits for the next round
         table[slot(chosen)] = np.arange(len(chosen))
-        rank = table[slot(key)]
-        at = np.flatnonzero(chosen[rank] == key)
-        rank = rank[at]
+        place = slot(key)
+        rank = table[place]
+        hit = np.flatnonzero(chosen[rank] == key)
+        at, rank = live[hit], rank[hit]
         start = np.concatenate([[True], at[1:] != at[:-1] + 1])
         run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
@@ -93,7 +98,13 @@ def repair(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int | None =
         seq[at] = (first + len(rules) + rank).astype(kind)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        again = np.zeros(1 << TABLE_BITS, bool)
+        again[slot(often)] = True
+        open_ = np.zeros(len(seq), bool)
+        open_[live[again[place]]] = True
+        open_[at] = open_[np.maximum(at - 1, 0)] = True
         seq = seq[keep]
+        live = np.flatnonzero(open_[keep][:-1]).astype(live.dtype)
         rules = np.concatenate([rules, np.stack([chosen >> kind(half), chosen & mask], 1).astype(np.int64)])
     return seq, rules
 

@@ -676,6 +676,47 @@ def test_grammar_goes_on_until_no_rule_pays(first):
     assert (s.tokens() == ids).all() and (s.tokens(301, 909) == ids[301:909]).all()
 
 
+def plain_grammar(ids, first, pairs, least):
+    """``repair`` where every round looks at all places again."""
+    seq, rules = ids.astype(np.int64).tolist(), []
+    bits = 16 if first < 1 << 16 else 32
+    slot = lambda x: ((x[0] << bits | x[1]) * tokens._SPREAD) % (1 << 2 * bits) >> (2 * bits - tokens.TABLE_BITS)
+    while True:
+        n = {}
+        for x in itertools.pairwise(seq):
+            n[x] = n.get(x, 0) + 1
+        room = min(pairs, (1 << 16) - first - len(rules)) if bits == 16 else pairs
+        often = sorted((x for x in n if n[x] >= least), key=lambda x: (-n[x], x))[:room]
+        table = {slot(x): x for x in sorted(often)}
+        taken, free = {}, -1
+        for i, x in enumerate(itertools.pairwise(seq)):
+            if i > free and table.get(slot(x)) == x:
+                taken.setdefault(x, []).append(i)
+                free = i + 1
+        new = sorted(x for x, v in taken.items() if len(v) >= least)
+        if not new:
+            return seq, rules
+        for k, x in enumerate(new):
+            for i in taken[x]:
+                seq[i], seq[i + 1] = first + len(rules) + k, None
+        rules += new
+        seq = [x for x in seq if x is not None]
+
+
+@pytest.mark.parametrize("first", [300, 70_000])
+def test_grammar_rounds_look_at_new_places_only(first, monkeypatch):
+    r = np.random.default_rng(5)
+    phrases = [r.integers(0, 250, 40).astype(np.uint32) for _ in range(12)]
+    ids = np.concatenate([x for _ in range(150) for x in (phrases[r.integers(12)], r.integers(0, 250, 60).astype(np.uint32))])
+    looked, sort = [], np.sort
+    monkeypatch.setattr(tokens.np, "sort", lambda x, *a, **k: looked.append(len(x)) or sort(x, *a, **k))
+    symbols, rules = tokens.repair(ids, first)
+    monkeypatch.undo()
+    assert (symbols.tolist(), [tuple(x) for x in rules.tolist()]) == plain_grammar(ids, first, tokens.PAIRS, 12 // (2 if first < 1 << 16 else 4) + 1)
+    every = looked[::2]  # the others are the pairs chosen in a round
+    assert len(every) >= 4 and every[-1] < every[0] // 8 and len(symbols) > every[0] // 2, every
+
+
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 40)
     e = tokens.Encoder(queries.tokenizer())
