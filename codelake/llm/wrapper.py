@@ -13,10 +13,12 @@ container where a page has one.
 from __future__ import annotations
 
 import difflib
+import functools
+import hashlib
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +45,8 @@ MAIN = frozenset(["article", "main"])
 #: Elements that are containers of an article, rather than pieces of its text.
 CONTAINERS = frozenset("html body div section article main center table tbody tr td".split())
 BROADCAST_BYTES = 16_000_000  # of wrappers that may be broadcast
-SAMPLE = 8  # pages of a host that its wrapper is inferred from
+SHAPES = 64  # shapes of a host that one step aligns
+HELD = 2_000  # shapes that a task holds while it reads pages
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -164,11 +167,11 @@ def blocks(page: str | None) -> list[Block]:
 # --- wrappers: nodes are ("tag", label), ("text", constant, path), ("slot", size, path), ("plus", nodes), ("opt", nodes)
 
 
-def stream(page: str | None) -> list[tuple]:
+def stream(page: str | None | Page) -> list[tuple]:
     """The page as nodes: opening and closing labels of its block structure, and its texts."""
     out: list[tuple] = []
     before: tuple[str, ...] = ()
-    for path, text, _ in blocks(page):
+    for path, text, _ in page.blocks if isinstance(page, Page) else blocks(page):
         same = 0
         while same < min(len(before), len(path)) and before[same] == path[same]:
             same += 1
@@ -188,19 +191,22 @@ def fold(nodes: list[tuple], longest: int = 48) -> list[tuple]:
     """Side-by-side repetitions of up to ``longest`` nodes become one repeated group; a longer one stays written out,
     which changes the wrapper's length and not what it tells of its paths."""
     out: list[tuple] = []
+    kinds: list[tuple] = []
     for node in nodes:
         out.append(node)
+        kinds.append(_kind(node))
         for n in range(1, min(longest, len(out) // 2) + 1):
-            tail, head = out[-n:], out[-2 * n : -n]
-            if any(x[0] == "tag" for x in tail) and [_kind(x) for x in tail] == [_kind(x) for x in head]:
-                del out[-2 * n :]
-                out.append(("plus", [_join(a, b) for a, b in zip(head, tail, strict=True)]))
-                break
-            before = out[-n - 1]
-            if before[0] == "plus" and len(before[1]) == n and [_kind(x) for x in tail] == [_kind(x) for x in before[1]]:
-                del out[-n - 1 :]
-                out.append(("plus", [_join(a, b) for a, b in zip(before[1], tail, strict=True)]))
-                break
+            if kinds[-1] == kinds[-n - 1] and kinds[-n:] == kinds[-2 * n : -n] and any(x[0] == "tag" for x in out[-n:]):
+                head, gone = out[-2 * n : -n], 2 * n
+            elif out[-n - 1][0] == "plus" and kinds[-n - 1][1] == tuple(kinds[-n:]):
+                head, gone = out[-n - 1][1], n + 1
+            else:
+                continue
+            tail, kind = out[-n:], ("plus", tuple(kinds[-n:]))
+            del out[-gone:], kinds[-gone:]
+            out.append(("plus", [_join(a, b) for a, b in zip(head, tail, strict=True)]))
+            kinds.append(kind)
+            break
     return out
 
 
@@ -212,26 +218,84 @@ def _join(a: tuple, b: tuple) -> tuple:
     return a
 
 
+def _flat(nodes: list[tuple]) -> list[tuple[tuple, int]]:
+    """(node, number of its optional group, 0 if none): optional groups written out."""
+    out: list[tuple[tuple, int]] = []
+    for i, node in enumerate(nodes):
+        out += [(x, i + 1) for x, _ in _flat(node[1])] if node[0] == "opt" else [(node, 0)]
+    return out
+
+
 def align(a: list[tuple], b: list[tuple]) -> list[tuple]:
-    """The wrapper of two wrappers: common nodes joined, the rest optional."""
-    out: list[tuple] = []
-    for what, i, j, k, m in difflib.SequenceMatcher(None, [_kind(x) for x in a], [_kind(x) for x in b], autojunk=False).get_opcodes():
+    """The wrapper of two wrappers: common nodes joined, the rest optional. What is optional is aligned as well, and no
+    optional group holds another one, so that a wrapper only grows by what it has not seen."""
+    left, right = _flat(a), _flat(b)
+    out: list[tuple[tuple, tuple | None]] = []
+    for k, (what, i, j, m, n) in enumerate(difflib.SequenceMatcher(None, [_kind(x) for x, _ in left], [_kind(x) for x, _ in right], autojunk=False).get_opcodes()):
         if what == "equal":
-            out += [_join(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
+            out += [(_join(x, y), (g, h) if g or h else None) for (x, g), (y, h) in zip(left[i:j], right[m:n], strict=True)]
             continue
-        for part in (a[i:j], b[k:m]):
-            if part:
-                out.append(part[0] if len(part) == 1 and part[0][0] == "opt" else ("opt", part))
-    return out
+        out += [(x, (k, 0)) for x, _ in left[i:j]] + [(y, (k, 1)) for y, _ in right[m:n]]
+    joined: list[tuple] = []
+    last = None
+    for node, group in out:
+        if group is None:
+            joined.append(node)
+        elif group == last:
+            joined[-1][1].append(node)
+        else:
+            joined.append(("opt", [node]))
+        last = group
+    return joined
+
+
+def learned(page: str) -> tuple[str, dict]:
+    """(shape, state) of one page: pages of one shape have the same wrapper but for their texts."""
+    p = Page(page)
+    named = {b.path[: b.elements.index(e) + 1] for b in p.blocks for e in b.elements if e in p.beside}
+    state = {"nodes": fold(stream(p)), "named": named, "page": hashlib.md5(page.encode("utf-8", "surrogatepass")).hexdigest()}
+    return _shape(state), state
 
 
-def wrapper(pages: list[str]) -> list[tuple]:
-    """The wrapper of a host's sample pages, aligned one after another."""
-    out: list[tuple] | None = None
+def _shape(state: dict) -> str:
+    return hashlib.md5(repr([_kind(x) for x in state["nodes"]]).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _same(a: dict, b: dict) -> dict:
+    """The state of two states of one shape, whatever their order."""
+    nodes = a["nodes"] if a["nodes"] == b["nodes"] else [_join(x, y) for x, y in zip(a["nodes"], b["nodes"], strict=True)]
+    return {"nodes": nodes, "named": a["named"] | b["named"], "page": a["page"] if a["page"] == b["page"] else ""}
+
+
+def _aligned(a: dict, b: dict) -> dict:
+    return {"nodes": fold(align(a["nodes"], b["nodes"])), "named": a["named"] | b["named"], "page": ""}
+
+
+def _pages(pages: list[str]) -> dict | None:
+    """The state of some pages: those of one shape joined, then the shapes aligned in the order of their first pages."""
+    shapes: dict[str, dict] = {}
     for p in pages:
-        s = fold(stream(p))
-        out = s if out is None else fold(align(out, s))
-    return out or []
+        shape, state = learned(p)
+        shapes[shape] = _same(shapes[shape], state) if shape in shapes else state
+    return functools.reduce(_aligned, shapes.values()) if shapes else None
+
+
+def wrapper(pages: list[str]) -> list[tuple]:
+    """The wrapper of some pages of a host."""
+    state = _pages(pages)
+    return state["nodes"] if state else []
+
+
+def _dumped(state: dict) -> str:
+    return json.dumps({**state, "named": sorted(state["named"])})
+
+
+def _loaded(state: str) -> dict:
+    def node(x: list) -> tuple:
+        return (x[0], [node(y) for y in x[1]]) if x[0] in ("plus", "opt") else (x[0], x[1]) if x[0] == "tag" else (x[0], x[1], tuple(x[2]))
+
+    found = json.loads(state)
+    return {**found, "nodes": [node(x) for x in found["nodes"]], "named": {tuple(x) for x in found["named"]}}
 
 
 def expression(nodes: list[tuple]) -> str:
@@ -253,18 +317,21 @@ def _element(label: str) -> str:
 
 
 def infer(pages: list[str]) -> dict:
+    """What extraction needs of a host with these pages."""
+    return told(_pages(sorted(set(pages))) or {"nodes": [], "named": set(), "page": "-"})
+
+
+def told(state: dict) -> dict:
     """What extraction needs of a host, from its wrapper: ``main`` is the path of the container that holds most of what
     is in slots, ``constant`` the constants outside it with their paths.
 
     From the outermost element on, the walk goes into a container while that holds over two thirds of the slots' text (a
     piece counts as long as it was on any page). Of a single page everything counts as a slot.
     """
-    different = sorted(set(pages))
-    taken = [Page(p) for p in different]
-    named = {b.path[: b.elements.index(e) + 1] for p in taken for b in p.blocks for e in b.elements if e in p.beside}
+    named, alone = state["named"], bool(state["page"])
     free = lambda path: not any(path[:i] in named for i in range(1, len(path) + 1))
-    found = [x for x in _leaves(wrapper(different)) if free(x[2])]
-    slots = [(x[2], len(x[1]) if x[0] == "text" else x[1]) for x in found if x[0] == "slot" or len(different) == 1]
+    found = [x for x in _leaves(state["nodes"]) if free(x[2])]
+    slots = [(x[2], len(x[1]) if x[0] == "text" else x[1]) for x in found if x[0] == "slot" or alone]
     main: tuple[str, ...] = ()
     while True:
         volume: dict[str, int] = {}
@@ -275,7 +342,7 @@ def infer(pages: list[str]) -> dict:
         if best is None or 3 * volume[best] <= 2 * sum(size for path, size in slots if path[: len(main)] == main):
             break
         main = (*main, best)
-    constant = sorted({("/".join(x[2]), x[1]) for x in found if x[0] == "text" and x[2][: len(main)] != main}) if len(different) > 1 else []
+    constant = sorted({("/".join(x[2]), x[1]) for x in found if x[0] == "text" and x[2][: len(main)] != main}) if not alone else []
     return {"main": list(main), "constant": constant}
 
 
@@ -302,24 +369,79 @@ def main_text(page: str | None, known: dict | None = None) -> str:
     return ""
 
 
+_STATES = "host string, shape string, state string"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["host", "shape", "state"])
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (host, html), rows (host, shape, state), one for all pages of a shape that a task has read."""
+    held: dict[tuple[str, str], dict] = {}
+    for b in batches:
+        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            shape, state = learned(page)
+            held[host, shape] = _same(held[host, shape], state) if (host, shape) in held else state
+            if len(held) >= HELD:
+                yield _batch([(*k, _dumped(v)) for k, v in held.items()])
+                held = {}
+    yield _batch([(*k, _dumped(v)) for k, v in held.items()])
+
+
+def _reduced(join: Callable[[dict, dict], dict]):
+    """Of rows (host, group, state) that stand together by both, rows (host, shape, state) of the joined groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        whole: dict = {}
+        for b in batches:
+            done = []
+            for *name, state in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if name == last:
+                    whole = join(whole, _loaded(state))
+                    continue
+                if last:
+                    done.append((last[0], _shape(whole), _dumped(whole)))
+                last, whole = name, _loaded(state)
+            if done:
+                yield _batch(done)
+        if last:
+            yield _batch([(last[0], _shape(whole), _dumped(whole))])
+
+    return run
+
+
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): what ``infer`` tells of each host in JSON, from at most ``SAMPLE`` of its different pages: those
-    of the smallest hash in each of eight classes, found by an aggregation that is partial before the shuffle."""
-    pages = pages.where("html <> '' and host <> ''").select("host", "html", F.xxhash64("html").alias("_h"))
-    chosen = pages.groupBy("host", F.pmod("_h", F.lit(SAMPLE)).alias("_class")).agg(F.min(F.struct("_h", "html")).alias("_p"))
+    """(host, wrapper): what ``told`` tells of each host in JSON, from all its pages.
 
-    def run(pdf):
-        import pandas as pd
+    A task joins the pages of one shape before anything is shuffled, and so do the tasks' states after it. A host's
+    shapes are then aligned in the order of their hashes, ``SHAPES`` of them at a time, until it has one; wrappers of one
+    shape are joined again between the steps. So the result does not depend on how the pages are dealt.
+    """
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = pages.where("html <> '' and host <> ''").select("host", "html").mapInArrow(_learn, _STATES)
+    while True:
+        shapes = found.repartition(n, "host", "shape").sortWithinPartitions("host", "shape", "state").mapInArrow(_reduced(_same), _STATES)
+        shapes = written(shapes, "shapes")
+        steps = shapes.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / SHAPES).alias("_steps"))
+        rows = shapes.join(steps, "host").select("host", F.pmod(F.xxhash64("shape"), F.col("_steps")).cast("string").alias("_step"), "state", "shape")
+        rows = rows.repartition(n, "host", "_step").sortWithinPartitions("host", "_step", "shape").select("host", "_step", "state")
+        found = written(rows.mapInArrow(_reduced(_aligned), _STATES), "aligned")
+        if found.count() == found.select("host").distinct().count():
+            break
 
-        return pd.DataFrame({"host": [pdf["host"][0]], "wrapper": [json.dumps(infer(sorted(pdf["html"])))]})
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(told(_loaded(x))) for x in b.column(2).to_pylist()], pa.string())], ["host", "wrapper"])
 
-    return written(chosen.select("host", F.col("_p.html").alias("html")).groupBy("host").applyInPandas(run, "host string, wrapper string"), "wrappers")
+    return written(found.mapInArrow(tell, "host string, wrapper string"), "wrappers")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text (the article, empty if none), n_chars.
 
-    Wrappers are inferred from a bounded sample of each host's pages (``SAMPLE``) and joined by host: broadcast while
+    Wrappers are inferred from all pages of each host and joined by host: broadcast while
     they are few, else by a sort-merge join whose hot hosts AQE splits. Every page is read whole.
 
     Nulls: a null html has the empty text; a null url is a page without a host, whose wrapper is its own. Repeated rows

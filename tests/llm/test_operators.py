@@ -625,6 +625,39 @@ def test_extract_by_wrappers(spark, monkeypatch, limit):
     assert len(got) == len(rows) and all(r.text == truth[r.page_id] for r in got)
 
 
+def test_wrappers_are_inferred_from_all_pages(spark):
+    """A heading outside the article that only one of 90 pages has otherwise is no frame."""
+    r = random.Random(11)
+    rows, truth = [], {}
+    for i, (p, t) in enumerate(template_pages("title outside", 90, r)):
+        title = re.search("<h1>(.*?)</h1>", p)[1]
+        if i != 45:
+            p, t = p.replace(title, "Weekly letter"), t.replace(title, "Weekly letter")
+        rows.append((i, f"http://a.example/{i}", p))
+        truth[i] = t
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in wrapper.extract(d).collect()} == truth
+
+
+def test_wrappers_do_not_depend_on_the_dealing(spark, monkeypatch):
+    """A host of seven templates, whose shapes are aligned two at a time, and one of one template."""
+    monkeypatch.setattr(wrapper, "SHAPES", 2)
+    pages = [p for name in TEMPLATES for p, _ in template_pages(name, 6, random.Random(5))]
+    assert len({wrapper.learned(p)[0] for p in pages}) > 8
+    rows = [("a", p) for p in pages] + [("b", p) for p, _ in template_pages("table", 6, random.Random(6))]
+    d = spark.createDataFrame(rows, "host string, html string")
+    got = [sorted(map(tuple, wrapper.host_wrappers(x).collect())) for x in (d.repartition(1), d.repartition(5), d.union(d).repartition(3, "html"))]
+    assert got[0] == got[1] == got[2] and [h for h, _ in got[0]] == ["a", "b"]
+
+
+def test_wrappers_grow_by_new_parts_only():
+    one, two = (wrapper.fold(wrapper.stream(next(template_pages(name, 1, random.Random(3)))[0])) for name in ("table", "long terms"))
+    both = wrapper.align(one, two)
+    for k in range(400):
+        both = wrapper.fold(wrapper.align(both, (one, two)[k % 2]))
+    assert sum(1 for _ in wrapper._leaves(both)) <= sum(1 for _ in wrapper._leaves(one + two))
+
+
 def test_tokens(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
