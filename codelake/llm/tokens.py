@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelake.llm.store import BROADCAST_ROWS, new_path
-from codelake.llm.textkit import returning_memory
+from codelake.llm.textkit import return_memory, returning_memory
 from codelake.session import ship
 
 MARK = b"CLRP1"
@@ -393,7 +393,9 @@ def _write(tokenizer_path: str, end_id: int, shard_tokens: int):
                     group.append((i, t))
                     chars += len(t)
                 if group and (last or chars > GROUP_CHARS):
-                    for (name, _), x in zip(group, encoder.encode([t for _, t in group]), strict=True):
+                    coded = encoder.encode([t for _, t in group])
+                    return_memory()  # a third of the worker's, which the other workers of its executor may need
+                    for (name, _), x in zip(group, coded, strict=True):
                         names.append(name)
                         ids.append(x)
                         total += len(x) + 1
