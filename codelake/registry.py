@@ -46,6 +46,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt out by a key over all cores. A table of few bytes is read in few tasks, and what a row is turned into
+    (its rectangles, a file) would be made in these alone."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
+
+
 # --- arithmetic on columns
 
 
@@ -172,7 +179,7 @@ bd as (select * from bn where bx1 > bx0 and by1 > by0)"""
 
 def _tiles(spark, sf):
     img = table(spark, sf, "part").selectExpr("p_partkey as img", "p_partkey % 7 as x0", "p_partkey % 5 as y0", "p_partkey % 7 + 20 + p_size * 3 as x1", "p_partkey % 5 + 16 + p_size * 2 as y1", "0L as tx0", "0L as ty0", "33L as tw", "29L as th")
-    return geometry.tiles(img)
+    return geometry.tiles(spread(img, "img"))
 
 
 def _resolutions(spark, sf):
