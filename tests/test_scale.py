@@ -12,6 +12,6 @@ def tasks(rows) -> int:
     return rows.select(F.spark_partition_id().alias("p")).distinct().count()
 
 
-@pytest.mark.parametrize("name", ["precinct_blocks"])
+@pytest.mark.parametrize("name", ["precinct_blocks", "block_grid", "packet_order_lrcp"])
 def test_rectangles_are_made_by_all_cores(spark, name):
     assert tasks(registry.QUERIES[name](spark, SF)) >= spark.sparkContext.defaultParallelism
