@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from codelake.operators import decode as op
 from codelake.operators import encode, report
 from codelake.plans import geometry
-from codelake.registry import _BANDS, _RASTER, _raster_files, _raster_sql, _resolutions, query, table
+from codelake.registry import _BANDS, _RASTER, _raster_files, _raster_sql, _resolutions, query, spread, table
 from codelake.session import ship
 from codelake.sources import headers
 
@@ -158,7 +158,7 @@ def container_fields(spark, sf):
             out.append(encode.box(b"jP  ", b"\r\n\x87\n") + encode.box(b"jp2h", colour + known + palette + maps) + encode.box(b"jp2c", encode.header_only(8, 8)))
         return pd.Series(out)
 
-    files = table(spark, sf, "part").select(F.col("p_partkey").alias("img"), made("p_partkey", "p_size").alias("content"))
+    files = spread(table(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("img"), made("p_partkey", "p_size").alias("content"))
     last = lambda c: F.element_at(c, -1)
     return op.headers(files, ["img"]).select(
         "img", F.col("colour_space.name").alias("colour"), F.col("colour_space.code").alias("code"), F.size("channel_definitions").alias("n_definitions"), last("channel_definitions")["asoc"].alias("last_asoc"),
@@ -181,7 +181,7 @@ def pdf_streams(spark, sf):
             out.append(b"%PDF-1.7\n" + b"8 0 obj << /Filter /FlateDecode /Length 3 >>\nstream\nabc\nendstream endobj\n" + b"".join(objects) + b"9 0 obj << /Names [ /JPXDecode ] >> endobj\n%%EOF")
         return pd.Series(out)
 
-    docs = table(spark, sf, "part").select(F.col("p_partkey").alias("img"), made("p_size").alias("content"))
+    docs = spread(table(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("img"), made("p_size").alias("content"))
     found = op.document_images(docs, ["img"])
     sizes = op.headers(found, ["img", "ord"]).select("img", "ord", F.col("error").isNull().alias("whole"))
     return found.select("img", "ord", F.length("content").cast("long").alias("n_bytes")).join(sizes, ["img", "ord"])
@@ -197,7 +197,7 @@ def unwrapped(spark, sf):
         each = (lambda b: encode.wrap(b), lambda b: b, lambda b: b"nothing")
         return pd.Series([each[k % 3](encode.header_only(8, 8, levels=s % 4)) for k, s in zip(key.astype(int), size.astype(int), strict=True)])
 
-    files = table(spark, sf, "part").select(F.col("p_partkey").alias("img"), made("p_partkey", "p_size").alias("content"))
+    files = spread(table(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("img"), made("p_partkey", "p_size").alias("content"))
     return op.unwrap(files, ["img"]).select("img", F.hex(F.substring("content", 1, 4)).alias("begins"), F.length("content").alias("n_bytes"))
 
 
@@ -211,7 +211,7 @@ def _styled_files(spark, sf):
     def made(key: pd.Series, size: pd.Series) -> pd.Series:
         return pd.Series([encode.header_only(16, 8, 3, levels=s % 5, parts=(1 + s % 2, 1 + k % 3), turns=True, component_levels={1: k % 6} if k % 2 else {}, tile_levels={1: 1 + s % 3} if k % 3 else {}) for k, s in zip(key.astype(int), size.astype(int), strict=True)])
 
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("img"), made("p_partkey", "p_size").alias("content"))
+    return spread(table(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("img"), made("p_partkey", "p_size").alias("content"))
 
 
 @query("""with c as (select unnest([0, 1, 2]) as component), m as (select p_partkey as img, cast(null as int) as tile, component, case when component = 1 and p_partkey % 2 = 1 then p_partkey % 6 else p_size % 5 end as levels from part, c),
@@ -238,7 +238,7 @@ def tile_part_offsets(spark, sf):
     def made(size: pd.Series) -> pd.Series:
         return pd.Series([encode.header_only(8, 8, levels=s % 5, parts=(1 + s % 3,)) for s in size.astype(int)])
 
-    files = table(spark, sf, "part").select(F.col("p_partkey").alias("img"), made("p_size").alias("content"))
+    files = spread(table(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("img"), made("p_size").alias("content"))
     return op.headers(files, ["img"], "strict").select("img", F.explode("tile_parts").alias("p")).select("img", "p.part_index", "p.sot", "p.end")
 
 
@@ -252,7 +252,7 @@ def decode_limits(spark, sf):
     def made(key: pd.Series, size: pd.Series) -> pd.Series:
         return pd.Series([encode.header_only(8 + 8 * (s % 3), 8, 1 + 2 * (k % 2), s % 4, layers=1) for k, s in zip(key.astype(int), size.astype(int), strict=True)])
 
-    files = table(spark, sf, "part").select(F.col("p_partkey").alias("img"), made("p_partkey", "p_size").alias("content"))
+    files = spread(table(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("img"), made("p_partkey", "p_size").alias("content"))
     one = lambda mode: op.decode(files, ["img"], mode, max_samples=300).select("img", F.lit(mode).alias("mode"), F.col("error.kind").alias("error"), F.coalesce(F.size("components"), F.lit(-1)).alias("n_components"))
     return report.unioned([one("strict"), one("permissive")])
 
@@ -267,7 +267,7 @@ def tile_limits(spark, sf):
     def made(size: pd.Series) -> pd.Series:
         return pd.Series([encode.header_only(16, 8, 1, s % 4, layers=1) for s in size.astype(int)])
 
-    files = table(spark, sf, "part").select(F.col("p_partkey").alias("img"), F.col("p_size"), made("p_size").alias("content"))
+    files = spread(table(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("img"), F.col("p_size"), made("p_size").alias("content"))
     some = [op.decode_by_tile(files.where(f"(p_size % 3 = 0) = {low}"), ["img"], max_coefficients=n).select("img", "tile", F.col("error.kind").alias("error")) for low, n in (("true", 63), ("false", 64))]
     return report.unioned(some)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,22 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    """Of lists of planes, the samples are joined as arrays, without an object a sample; of anything else, ``pa.array``."""
+    if not (pa.types.is_list(kind) and pa.types.is_struct(kind.value_type) and kind.value_type.get_field_index("samples") >= 0):
+        return pa.array(values, kind)
+    planes = [p for v in values for p in v or ()]
+    ends = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+    columns = []
+    for f in kind.value_type:
+        if f.name == "samples":
+            samples = np.concatenate([np.zeros(0, np.int32), *(p["samples"] for p in planes)]).astype(np.int32, copy=False)
+            columns.append(pa.ListArray.from_arrays(ends(len(p["samples"]) for p in planes), pa.array(samples), type=f.type))
+        else:
+            columns.append(pa.array([p[f.name] for p in planes], f.type))
+    return pa.ListArray.from_arrays(ends(len(v or ()) for v in values), pa.StructArray.from_arrays(columns, fields=list(kind.value_type)), type=kind, mask=pa.array([v is None for v in values], pa.bool_()))
+
+
 def _mapped(df: DataFrame, key: list[str], content: str, schema: str, every: Callable[[Iterable[bytes | None]], Iterable[dict]], more: list[str] | None = None) -> DataFrame:
     """``key`` and the columns of ``schema`` from what ``every`` makes of the contents of an Arrow batch (or, with
     ``more``, of tuples of the contents and these columns)."""
@@ -46,7 +63,7 @@ def _mapped(df: DataFrame, key: list[str], content: str, schema: str, every: Cal
         for b in batches:
             columns = [b.column(i).to_pylist() for i in range(len(key), b.num_columns)]
             found = list(every(zip(*columns, strict=True) if more else columns[0]))
-            made = [pa.array([r.get(n) for r in found], k) for n, k in zip(fields.names, kinds, strict=True)]
+            made = [_array([r.get(n) for r in found], k) for n, k in zip(fields.names, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(key))), *made], names)
 
     return source.mapInArrow(run, StructType([*kept.fields, *fields.fields]))

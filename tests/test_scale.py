@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelake import registry
+from codelake.kernels import packets, wavelet
+from codelake.operators import encode, image
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,3 +17,17 @@ def tasks(rows) -> int:
 @pytest.mark.parametrize("name", ["precinct_blocks", "block_grid", "packet_order_lrcp"])
 def test_rectangles_are_made_by_all_cores(spark, name):
     assert tasks(registry.QUERIES[name](spark, SF)) >= spark.sparkContext.defaultParallelism
+
+
+def test_files_of_parts_are_made_by_all_cores(spark):
+    assert tasks(registry.QUERIES["decode_limits"](spark, SF)) >= spark.sparkContext.defaultParallelism
+
+
+def test_a_tile_without_packets_is_decoded_without_its_blocks(monkeypatch):
+    def none(*_):
+        raise AssertionError("a block was made, or zeros were transformed")
+
+    monkeypatch.setattr(packets, "Block", none)
+    monkeypatch.setattr(wavelet, "synthesise", none)
+    found = image.decode_file(encode.header_only(24, 8, 3, 3))
+    assert found["error"] is None and [(c["width"], c["height"], set(c["samples"].tolist())) for c in found["components"]] == [(24, 8, {128})] * 3
