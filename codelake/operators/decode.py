@@ -6,7 +6,7 @@ Filters that matter for cost (tiles, limits, mode) are arguments, because nothin
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +49,13 @@ def _array(values: list, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(ends(len(v or ()) for v in values), pa.StructArray.from_arrays(columns, fields=list(kind.value_type)), type=kind, mask=pa.array([v is None for v in values], pa.bool_()))
 
 
-def _mapped(df: DataFrame, key: list[str], content: str, schema: str, every: Callable[[Iterable[bytes | None]], Iterable[dict]], more: list[str] | None = None) -> DataFrame:
+def _mapped(df: DataFrame, key: list[str], content: str, schema: str | StructType, every: Callable[[Iterable[bytes | None]], Iterable[dict]], more: list[str] | None = None) -> DataFrame:
     """``key`` and the columns of ``schema`` from what ``every`` makes of the contents of an Arrow batch (or, with
     ``more``, of tuples of the contents and these columns)."""
     ship(df.sparkSession)
     source = df.select(*[F.col(k) for k in key], F.col(content).alias("_content"), *[F.col(m).alias(f"_more_{i}") for i, m in enumerate(more or [])])
     kept = StructType(source.schema.fields[: len(key)])
-    fields = StructType.fromDDL(schema)
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     kinds = [to_arrow_type(f.dataType) for f in fields]
     names = [*key, *fields.names]
 
@@ -83,7 +83,7 @@ def decode(df: DataFrame, key: list[str], mode: str = "strict", content: str = "
     return _mapped(df, key, content, f"width bigint, height bigint, {COMPONENTS}, {REPAIRS}, {ERROR}, {CONTAINER}", every)
 
 
-def _header(b: bytes | None, permissive: bool) -> dict:
+def _header(b: bytes | None, permissive: bool, columns: Container[str]) -> dict:
     out: dict = {"repairs": [], "error": None, "markers": [], "tile_parts": [], "start": None}
     try:
         where = h.container(b or b"")
@@ -92,22 +92,25 @@ def _header(b: bytes | None, permissive: bool) -> dict:
             raise h.CodestreamError("NotACodestream")
         s = h.parse(b, where["start"], where["end"], permissive)
         code, steps = s.style.blocks(-1), s.style.steps(-1)
-        out |= {
-            "header": {k: s.header[k] for k in ("x0", "y0", "x1", "y1", "tile_x0", "tile_y0", "tile_width", "tile_height", "components")},
-            "tile_style": {"progression": h.PROGRESSIONS[s.style.progression or 0], "layers": s.style.layers, "mct": s.style.mct, "sop": s.style.sop, "eph": s.style.eph, "levels": code.levels, "block_width": 1 << code.width, "block_height": 1 << code.height, "block_style": code.style, "transform": h.TRANSFORMS[code.reversible], "precincts": [{"ppx": x, "ppy": y} for x, y in code.precincts], "quant_style": h.QUANTISATIONS[steps.style], "guard_bits": steps.guard},
-            "component_styles": [{"tile": t, "component": c, "levels": x.blocks(c).levels, "block_style": x.blocks(c).style, "transform": h.TRANSFORMS[x.blocks(c).reversible], "quant_style": h.QUANTISATIONS[x.steps(c).style], "roi_shift": x.shift(c)} for t, x in [(None, s.style), *sorted(s.tiles.items())] if t is None or x.cod or x.coc or x.qcd or x.qcc or x.rgn for c in range(len(s.header["components"]))],
-            "markers": [{"marker": h.NAMES.get(m["marker"], f"{m['marker']:04X}"), "offset": m["offset"], "length": m["length"]} for m in s.markers], "tile_parts": s.parts, "repairs": s.repairs,
+        made = {
+            "header": lambda: {k: s.header[k] for k in ("x0", "y0", "x1", "y1", "tile_x0", "tile_y0", "tile_width", "tile_height", "components")},
+            "tile_style": lambda: {"progression": h.PROGRESSIONS[s.style.progression or 0], "layers": s.style.layers, "mct": s.style.mct, "sop": s.style.sop, "eph": s.style.eph, "levels": code.levels, "block_width": 1 << code.width, "block_height": 1 << code.height, "block_style": code.style, "transform": h.TRANSFORMS[code.reversible], "precincts": [{"ppx": x, "ppy": y} for x, y in code.precincts], "quant_style": h.QUANTISATIONS[steps.style], "guard_bits": steps.guard},
+            "component_styles": lambda: [{"tile": t, "component": c, "levels": x.blocks(c).levels, "block_style": x.blocks(c).style, "transform": h.TRANSFORMS[x.blocks(c).reversible], "quant_style": h.QUANTISATIONS[x.steps(c).style], "roi_shift": x.shift(c)} for t, x in [(None, s.style), *sorted(s.tiles.items())] if t is None or x.cod or x.coc or x.qcd or x.qcc or x.rgn for c in range(len(s.header["components"]))],
+            "markers": lambda: [{"marker": h.NAMES.get(m["marker"], f"{m['marker']:04X}"), "offset": m["offset"], "length": m["length"]} for m in s.markers], "tile_parts": lambda: s.parts, "repairs": lambda: s.repairs,
         }
+        out |= {k: f() for k, f in made.items() if k in columns}
     except (h.CodestreamError, *image.DAMAGE) as e:
         out["error"] = image.error(e)
     return out
 
 
-def headers(df: DataFrame, key: list[str], mode: str = "permissive", content: str = "content") -> DataFrame:
+def headers(df: DataFrame, key: list[str], mode: str = "permissive", content: str = "content", columns: list[str] | None = None) -> DataFrame:
     """(*key, header, tile_style, component_styles, markers, tile_parts, repairs, error, container columns), without
     decoding. ``component_styles`` has what holds for every component by default (null tile) and in each tile whose
-    headers say something else."""
-    return _mapped(df, key, content, HEADER, _one(lambda b: _header(b, mode == "permissive")))
+    headers say something else. ``columns``: only these are made."""
+    kept = StructType([f for f in StructType.fromDDL(HEADER).fields if columns is None or f.name in columns])
+    names = frozenset(kept.names)
+    return _mapped(df, key, content, kept, _one(lambda b: _header(b, mode == "permissive", names)))
 
 
 def boxes(df: DataFrame, key: list[str], content: str = "content") -> DataFrame:

@@ -232,7 +232,7 @@ for _p, _k in {"LRCP": "layer, res, comp, precinct", "RLCP": "res, layer, comp,
 
 def _header_files(spark, sf, declared: str = "null"):
     ship(spark)
-    rows = table(spark, sf, "part").selectExpr("p_partkey as img", "p_size as size", f"cast({declared} as int) as declared")
+    rows = spread(table(spark, sf, "part").selectExpr("p_partkey as img", "p_size as size", f"cast({declared} as int) as declared"), "img")
 
     @F.pandas_udf("binary")
     def made(i: pd.Series, s: pd.Series, d: pd.Series) -> pd.Series:
@@ -270,9 +270,9 @@ def box_walk(spark, sf):
 case when p_partkey % 3 = 0 then 9 end as declared, case when p_partkey % 3 = 0 then 1 end as found from part""")
 def strict_vs_permissive(spark, sf):
     files = _header_files(spark, sf, "case when p_partkey % 3 = 0 then 9 end")
-    a = op.headers(files, ["img"], "strict").select("img", F.col("error.kind").alias("strict_error"))
-    b = op.headers(files, ["img"], "permissive").select("img", F.col("error.kind").alias("permissive_error"), F.size("repairs").alias("repairs"), F.get("repairs", F.lit(0))["declared"].alias("declared"), F.get("repairs", F.lit(0))["found"].alias("found"))
-    return a.join(b, "img")
+    a = op.headers(files, ["img", "content"], "strict", columns=["error"]).select("img", "content", F.col("error.kind").alias("strict_error"))
+    b = op.headers(a, ["img", "strict_error"], "permissive", columns=["repairs", "error"])
+    return b.select("img", "strict_error", F.col("error.kind").alias("permissive_error"), F.size("repairs").alias("repairs"), F.get("repairs", F.lit(0))["declared"].alias("declared"), F.get("repairs", F.lit(0))["found"].alias("found"))
 
 
 @query("select p_partkey as img, true as agrees from part")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from codelake import registry
 from codelake.kernels import packets, wavelet
-from codelake.operators import encode, image
+from codelake.operators import decode, encode, image
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +31,14 @@ def test_a_tile_without_packets_is_decoded_without_its_blocks(monkeypatch):
     monkeypatch.setattr(wavelet, "synthesise", none)
     found = image.decode_file(encode.header_only(24, 8, 3, 3))
     assert found["error"] is None and [(c["width"], c["height"], set(c["samples"].tolist())) for c in found["components"]] == [(24, 8, {128})] * 3
+
+
+def test_headers_make_only_the_columns_asked_for(spark):
+    rows = spark.createDataFrame([(1, bytearray(encode.header_only(24, 8, 3, 3, declared=9)))], "k int, content binary")
+    some, every = decode.headers(rows, ["k"], columns=["repairs", "error"]), decode.headers(rows, ["k"])
+    assert some.columns == ["k", "repairs", "error"] and some.collect() == every.select(*some.columns).collect()
+
+
+def test_strict_and_permissive_headers_read_the_files_once_without_a_join(spark):
+    plan = registry.QUERIES["strict_vs_permissive"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan parquet") == 1
