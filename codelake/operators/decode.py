@@ -6,7 +6,9 @@ Filters that matter for cost (tiles, limits, mode) are arguments, because nothin
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Container, Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +51,34 @@ def _array(values: list, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(ends(len(v or ()) for v in values), pa.StructArray.from_arrays(columns, fields=list(kind.value_type)), type=kind, mask=pa.array([v is None for v in values], pa.bool_()))
 
 
+def _values(column: pa.Array) -> Iterator:
+    """The column's values one at a time; planes' samples stay arrays."""
+    kind = column.type
+    if not (pa.types.is_list(kind) and pa.types.is_struct(kind.value_type) and kind.value_type.get_field_index("samples") >= 0):
+        yield from (v.as_py() for v in column)
+        return
+    others = [f.name for f in kind.value_type if f.name != "samples"]
+    for v in column:
+        if not v.is_valid:
+            yield None
+            continue
+        rest = [v.values.field(n).to_pylist() for n in others]
+        samples = [s.values.to_numpy(zero_copy_only=False) if s.is_valid else None for s in v.values.field("samples")]
+        yield [{**dict(zip(others, r, strict=True)), "samples": s} for s, *r in zip(samples, *rest, strict=True)]
+
+
+def _weight(row: dict) -> int:
+    return 64 + sum(len(p["samples"]) for p in row.get("components") or row.get("planes") or ()) + sum(map(len, row.get("streams") or ())) + len(row.get("file") or b"") // 4
+
+
+#: Samples, about, of the rows that a worker holds before it hands them on.
+AT_ONCE = 1 << 20
+
+
 def _mapped(df: DataFrame, key: list[str], content: str, schema: str | StructType, every: Callable[[Iterable[bytes | None]], Iterable[dict]], more: list[str] | None = None) -> DataFrame:
     """``key`` and the columns of ``schema`` from what ``every`` makes of the contents of an Arrow batch (or, with
-    ``more``, of tuples of the contents and these columns)."""
+    ``more``, of tuples of the contents and these columns), one after the other. Rows are handed on in groups of bounded
+    size, so a worker holds no more of a batch of many files than of one of few."""
     ship(df.sparkSession)
     source = df.select(*[F.col(k) for k in key], F.col(content).alias("_content"), *[F.col(m).alias(f"_more_{i}") for i, m in enumerate(more or [])])
     kept = StructType(source.schema.fields[: len(key)])
@@ -59,12 +86,22 @@ def _mapped(df: DataFrame, key: list[str], content: str, schema: str | StructTyp
     kinds = [to_arrow_type(f.dataType) for f in fields]
     names = [*key, *fields.names]
 
+    def batch(b: pa.RecordBatch, at: int, found: list[dict]) -> pa.RecordBatch:
+        made = [_array([r.get(n) for r in found], k) for n, k in zip(fields.names, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*(b.column(i).slice(at, len(found)) for i in range(len(key))), *made], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = [b.column(i).to_pylist() for i in range(len(key), b.num_columns)]
-            found = list(every(zip(*columns, strict=True) if more else columns[0]))
-            made = [_array([r.get(n) for r in found], k) for n, k in zip(fields.names, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(key))), *made], names)
+            columns = [_values(b.column(i)) for i in range(len(key), b.num_columns)]
+            at, size, found = 0, 0, []
+            for row in every(zip(*columns, strict=True) if more else columns[0]):
+                found.append(row)
+                size += _weight(row)
+                if size >= AT_ONCE:
+                    yield batch(b, at, found)
+                    at, size, found = at + len(found), 0, []
+            if found:
+                yield batch(b, at, found)
 
     return source.mapInArrow(run, StructType([*kept.fields, *fields.fields]))
 
@@ -177,14 +214,23 @@ def decode_by_tile(df: DataFrame, key: list[str], mode: str = "strict", content:
     rows = listed.select(*key, F.explode("streams").alias("_s")).select(*key, "_s.tile", "_s.content", F.col("_s.error").alias("_error")).repartition(n, *key, "tile")
 
     def every(found: Iterable[tuple]) -> Iterator[dict]:
-        given = [(b, [t] if t is not None else None, *known) for b, t, *known in found]
+        whole: deque[bool] = deque()  # rows read and not yet handed on: whether they hold a tile
+
+        def given() -> Iterator[tuple]:
+            for b, t, *known in found:
+                whole.append(t is not None)
+                if t is not None:
+                    yield b, [t], *known
+
         if by_block:
-            made = (image.finish_tile(b, t, known[0], permissive, max_samples, max_coefficients) for b, t, *known in given if t)
+            made = (image.finish_tile(*tile, permissive, max_samples, max_coefficients) for tile in given())
         else:
-            made = image.decode_files(((b, t) for b, t in given if t), permissive, max_samples, max_coefficients, whole=False)
-        for _, t, *_ in given:
-            out = next(made) if t else {"repairs": []}
+            made = image.decode_files(given(), permissive, max_samples, max_coefficients, whole=False)
+        for out in made:
+            while not whole.popleft():
+                yield {"repairs": []}
             yield out | {"repairs": [r for r in out["repairs"] if r["kind"] in ("TileMissing", "PacketsRunPastTheirTile", "CodeBlockDamaged")]}
+        yield from ({"repairs": []} for _ in whole)
 
     more = ["tile"]
     if by_block:
@@ -201,8 +247,9 @@ def _with_coefficients(rows: DataFrame, key: list[str], n: int, jobs: Callable[[
     blocks = listed.select(*same, F.explode("jobs").alias("_j")).select(*same, F.col("_j.n").alias("_n"), "_j").repartition(n, *same, F.call_function("div", F.col("_n"), F.lit(256)))
 
     def decoded(found: Iterable[dict]) -> Iterator[dict]:
-        given = [(j["width"], j["height"], j["band"], j["planes"], j["style"], [(s["passes"], s["data"]) for s in j["segments"]]) for j in found]
-        return ({"_values": x.astype("<i4").tobytes()} for x in image.decode_jobs(given))
+        given = ((j["width"], j["height"], j["band"], j["planes"], j["style"], [(s["passes"], s["data"]) for s in j["segments"]]) for j in found)
+        for some in batched(given, 1024):
+            yield from ({"_values": x.astype("<i4").tobytes()} for x in image.decode_jobs(list(some)))
 
     found = _mapped(blocks, [*same, "_n"], "_j", "_values binary", decoded).groupBy(*same).agg(F.sort_array(F.collect_set(F.struct("_n", "_values"))).alias("_found"))
     found = found.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(same)], F.col("_found._values").alias("_coefficients"))

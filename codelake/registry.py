@@ -314,13 +314,17 @@ def dwt97_flat(spark, sf):
 _RASTER = {"r": "cast(floor(o_totalprice) as bigint) % 256", "g": "o_custkey % 256", "b": "o_orderkey * 7 % 256"}
 
 
+#: Pictures whose blocks are coded together, however many an Arrow batch holds.
+WRITTEN = 512
+
+
 def _raster_files(spark, sf, planes: str, by_img: Callable[[int], dict] | None = None, **options):
     """16x16 pictures of 256 neighbouring order keys, written as codestreams; keys that are missing are black. ``by_img``:
     options of each picture. With ``sampling``, components hold every dx-th sample of every dy-th row."""
 
-    def picture(img: int, pixels: list[dict]) -> tuple[list[np.ndarray], dict]:
+    def picture(img: int, pixels: pa.StructArray) -> tuple[list[np.ndarray], dict]:
         x = np.zeros((len(planes), 256), np.int64)
-        x[:, [r["pos"] for r in pixels]] = np.array([[r[c] for r in pixels] for c in planes])
+        x[:, pixels.field("pos").to_numpy()] = [pixels.field(c).to_numpy() for c in planes]
         each, more = list(x.reshape(-1, 16, 16)), by_img(img) if by_img else {}
         if "sampling" in options:
             more["size"] = (16, 16)
@@ -329,8 +333,10 @@ def _raster_files(spark, sf, planes: str, by_img: Callable[[int], dict] | None =
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            files = encode.encode_images([picture(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode.wrap(f) for f in files], pa.binary())], ["img", "content"])
+            for at in range(0, b.num_rows, WRITTEN):
+                some = b.slice(at, WRITTEN)
+                files = encode.encode_images([picture(i.as_py(), x.values) for i, x in zip(some.column(0), some.column(1), strict=True)])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([encode.wrap(f) for f in files], pa.binary())], ["img", "content"])
 
     ship(spark)
     rows = table(spark, sf, "orders").selectExpr("o_orderkey div 256 as img", "o_orderkey % 256 as pos", *[f"{_RASTER[c]} as {c}" for c in planes])

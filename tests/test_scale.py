@@ -1,5 +1,6 @@
 """Queries at sizes where a file of few bytes is few tasks, or an Arrow batch is many pictures."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +43,21 @@ def test_headers_make_only_the_columns_asked_for(spark):
 def test_strict_and_permissive_headers_read_the_files_once_without_a_join(spark):
     plan = registry.QUERIES["strict_vs_permissive"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Scan parquet") == 1
+
+
+def test_a_worker_hands_on_rows_before_it_has_read_a_batch_of_many_files(spark, monkeypatch):
+    big = encode.header_only(2048, 2048, 1, 1, tile=2048)
+    rows, run = spark.createDataFrame([(0, bytearray(big))], "k int, content binary"), []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, _: run.append(f) or self)
+    decode.decode(rows, ["k"])
+    found = list(run[0](iter([pa.RecordBatch.from_pydict({"k": list(range(4)), "_content": [big] * 4})])))
+    assert [b.num_rows for b in found] == [1] * 4 and [b.column(0).to_pylist() for b in found] == [[0], [1], [2], [3]]
+
+
+def test_rows_without_a_tile_keep_their_place_among_tiles(spark):
+    good = encode.encode_image(encode.golden_picture(channels=1), tile=10)
+    rows = spark.createDataFrame([(i, bytearray(b"nothing" if i % 3 else good)) for i in range(9)], "k int, content binary")
+    for by_block in (False, True):
+        found = decode.decode_by_tile(rows, ["k"], by_block=by_block).collect()
+        assert sorted((r.k, r.tile) for r in found if r.planes) == [(i, t) for i in (0, 3, 6) for t in range(4)]
+        assert sorted(r.k for r in found if r.error) == [1, 2, 4, 5, 7, 8] and not any(r.planes for r in found if r.error)
