@@ -183,8 +183,8 @@ def pdf_streams(spark, sf):
 
     docs = spread(table(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("img"), made("p_size").alias("content"))
     found = op.document_images(docs, ["img"])
-    sizes = op.headers(found, ["img", "ord"]).select("img", "ord", F.col("error").isNull().alias("whole"))
-    return found.select("img", "ord", F.length("content").cast("long").alias("n_bytes")).join(sizes, ["img", "ord"])
+    found = found.withColumn("n_bytes", F.length("content").cast("long"))
+    return op.headers(found, ["img", "ord", "n_bytes"], columns=["error"]).select("img", "ord", "n_bytes", F.col("error").isNull().alias("whole"))
 
 
 @query("select p_partkey as img, case p_partkey % 3 when 0 then 'FF4FFF51' when 1 then 'FF4FFF51' else '6E6F7468' end as begins, cast(case p_partkey % 3 when 2 then 7 else 2 + 43 + 14 + 6 + 3 * (p_size % 4) + 14 + 2 end as int) as n_bytes from part")

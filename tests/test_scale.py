@@ -20,8 +20,9 @@ def test_rectangles_are_made_by_all_cores(spark, name):
     assert tasks(registry.QUERIES[name](spark, SF)) >= spark.sparkContext.defaultParallelism
 
 
-def test_files_of_parts_are_made_by_all_cores(spark):
-    assert tasks(registry.QUERIES["decode_limits"](spark, SF)) >= spark.sparkContext.defaultParallelism
+@pytest.mark.parametrize("name", ["decode_limits", "pdf_streams"])
+def test_files_of_parts_are_made_by_all_cores(spark, name):
+    assert tasks(registry.QUERIES[name](spark, SF)) >= spark.sparkContext.defaultParallelism
 
 
 def test_a_tile_without_packets_is_decoded_without_its_blocks(monkeypatch):
@@ -61,3 +62,8 @@ def test_rows_without_a_tile_keep_their_place_among_tiles(spark):
         found = decode.decode_by_tile(rows, ["k"], by_block=by_block).collect()
         assert sorted((r.k, r.tile) for r in found if r.planes) == [(i, t) for i in (0, 3, 6) for t in range(4)]
         assert sorted(r.k for r in found if r.error) == [1, 2, 4, 5, 7, 8] and not any(r.planes for r in found if r.error)
+
+
+def test_streams_of_documents_are_found_once_without_a_join(spark):
+    plan = registry.QUERIES["pdf_streams"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan parquet") == 1
