@@ -67,3 +67,9 @@ def test_rows_without_a_tile_keep_their_place_among_tiles(spark):
 def test_streams_of_documents_are_found_once_without_a_join(spark):
     plan = registry.QUERIES["pdf_streams"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Scan parquet") == 1
+
+
+def test_a_tile_alone_without_packets_makes_no_blocks(monkeypatch):
+    monkeypatch.setattr(packets, "Block", None)
+    found = list(image.decode_files([(encode.header_only(16, 8, 1, 3), [1])], whole=False))
+    assert found[0]["error"] is None and [(p["x"], p["width"], set(p["samples"].tolist())) for p in found[0]["planes"]] == [(8, 8, {128})]
