@@ -252,7 +252,7 @@ def option_histogram(spark, sf):
 
 @query("""select p_partkey as img, marker, cast(n as bigint) as n from part, lateral (select unnest([{'marker': 'SOC', 'n': 1}, {'marker': 'SIZ', 'n': 1}, {'marker': 'COD', 'n': 1}, {'marker': 'QCD', 'n': 1}, {'marker': 'SOT', 'n': 1 + p_size % 3}, {'marker': 'EOC', 'n': 1}], recursive := true))""")
 def marker_histogram(spark, sf):
-    return report.marker_histogram(op.headers(_header_files(spark, sf), ["img"]), ["img"])
+    return report.marker_histogram(op.headers(_header_files(spark, sf), ["img"], columns=["markers"]), ["img"])
 
 
 @query("""select kind, depth, ord, count(*) as n, cast(sum(size) as bigint) as bytes from (select unnest([{'ord': 0, 'kind': 'jP  ', 'depth': 0, 'size': 4}, {'ord': 1, 'kind': 'ftyp', 'depth': 0, 'size': 12}, {'ord': 2, 'kind': 'jp2h', 'depth': 0, 'size': 37}, {'ord': 3, 'kind': 'ihdr', 'depth': 1, 'size': 14}, {'ord': 4, 'kind': 'colr', 'depth': 1, 'size': 7},

@@ -73,3 +73,9 @@ def test_a_tile_alone_without_packets_makes_no_blocks(monkeypatch):
     monkeypatch.setattr(packets, "Block", None)
     found = list(image.decode_files([(encode.header_only(16, 8, 1, 3), [1])], whole=False))
     assert found[0]["error"] is None and [(p["x"], p["width"], set(p["samples"].tolist())) for p in found[0]["planes"]] == [(8, 8, {128})]
+
+
+def test_markers_are_counted_from_their_column_alone(spark, monkeypatch):
+    asked, headers = [], decode.headers
+    monkeypatch.setattr(decode, "headers", lambda *a, **k: asked.append(k.get("columns")) or headers(*a, **k))
+    assert tasks(registry.QUERIES["marker_histogram"](spark, SF)) and asked == [["markers"]]
