@@ -79,3 +79,15 @@ def test_markers_are_counted_from_their_column_alone(spark, monkeypatch):
     asked, headers = [], decode.headers
     monkeypatch.setattr(decode, "headers", lambda *a, **k: asked.append(k.get("columns")) or headers(*a, **k))
     assert tasks(registry.QUERIES["marker_histogram"](spark, SF)) and asked == [["markers"]]
+
+
+@pytest.mark.parametrize("name", ["decode_overrides"])
+def test_pictures_of_a_large_batch_are_written_in_groups(spark, monkeypatch, name):
+    run, real = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: run.append(f) or real(self, f, schema))
+    monkeypatch.setattr(registry, "WRITTEN", 2, raising=False)
+    registry.QUERIES[name](spark, SF)
+    pixels = [[{"pos": 0, "r": 1, "g": 2, "b": 3}]] * 5
+    found = list(run[0](iter([pa.RecordBatch.from_pydict({"img": list(range(5)), "pixels": pixels})])))
+    assert [b.column(0).to_pylist() for b in found] == [[0, 1], [2, 3], [4]]
+    assert [image.decode_file(f)["components"][0]["samples"][0] for f in found[2].column(1).to_pylist()] == [1 if name != "decode_layers" and name != "decode_tiled" else 2]
