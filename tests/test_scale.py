@@ -81,7 +81,7 @@ def test_markers_are_counted_from_their_column_alone(spark, monkeypatch):
     assert tasks(registry.QUERIES["marker_histogram"](spark, SF)) and asked == [["markers"]]
 
 
-@pytest.mark.parametrize("name", ["decode_overrides", "decode_layers"])
+@pytest.mark.parametrize("name", ["decode_overrides", "decode_layers", "decode_tiled"])
 def test_pictures_of_a_large_batch_are_written_in_groups(spark, monkeypatch, name):
     run, real = [], type(spark.range(1)).mapInArrow
     monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: run.append(f) or real(self, f, schema))
